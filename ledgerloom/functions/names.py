@@ -54,13 +54,18 @@ class CloseNames:
         )
 
     def similar(self, query: str) -> list[str]:
-        """Candidates whose similarity to the query reaches the threshold."""
+        """Candidates whose similarity to the query reaches the threshold.
+
+        Stops at CLOSE_MATCHES: from the second on, the name is ambiguous whatever else there is.
+        """
         if not self.folded:
             return []
         total = self._lengths + len(query)
         # Shared letters bound the ratio from above, so nothing that qualifies is lost here.
         shared = np.minimum(self._letters, _letters(query)).sum(axis=1)
-        possible = np.flatnonzero(2.0 * shared >= SIMILARITY * total - 1e-9)
+        bound = 2.0 * shared / np.maximum(total, 1)
+        possible = np.flatnonzero(bound >= SIMILARITY - 1e-9)
+        possible = possible[np.argsort(-bound[possible], kind="stable")]
         matcher = SequenceMatcher()
         matcher.set_seq2(query)
         close = []
@@ -68,6 +73,8 @@ class CloseNames:
             matcher.set_seq1(self.folded[at])
             if matcher.ratio() >= SIMILARITY:
                 close.append(self.folded[at])
+                if len(close) == CLOSE_MATCHES:
+                    break
         return close
 
     def containing(self, query: str) -> list[str]:

@@ -1,9 +1,9 @@
 """Running totals that do not need one task per key.
 
-A window over a whole key sorts the key in one task. Here only the small table of daily totals is summed per
-key; each day then runs its own window, opened with the total of the days before. The join with the opening
-totals and the window share one shuffle. A day that is itself too large is split once more, by instant and
-by blocks of row numbers.
+Keys of ordinary size run in one window each: one shuffle, nothing else. A key with more rows than a task
+should sort is cut by day; a day that is still too large by second, and a second by instant and blocks of row
+numbers. Each piece runs its own window, opened with the total of the pieces before it. Those totals come
+from pre-aggregated tables, and the join with them shares its shuffle with the window.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.lookup import HOT_ROWS, hot_keys
 
-# Rows without a time sort first.
-_NO_DAY = "0001-01-01"
-_NO_INSTANT = "0001-01-01 00:00:00"
+# Rows without a time sort first, and pieces that are not cut further carry this as their time.
+_NEVER = "0001-01-01 00:00:00"
 
 
 def running_total(
@@ -30,56 +29,65 @@ def running_total(
     """Add `out`: the sum of the decimal `value` up to each row, per key, in order of (`when`, `row`).
 
     `row` is a whole number, unique per key and instant, and the keys are not null. A null value gives a null
-    total at its own row and counts as nothing afterwards.
+    total at its own row and counts as nothing afterwards. Counts the rows per key when called.
     """
     sum_type = f"decimal(36,{df.schema[value].dataType.scale})"
-    no_instant = F.lit(_NO_INSTANT).cast("timestamp_ntz")
-    instant = F.coalesce(F.col(when).cast("timestamp_ntz"), no_instant)
-    day = [*keys, "_day"]
-    slot = [*day, "_instant", "_block"]
-
-    def summed() -> Column:
-        return F.coalesce(F.sum(value).cast(sum_type), F.lit(0).cast(sum_type)).alias("_total")
-
-    def opening(within: list[str], order: list[str]) -> Column:
-        earlier = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("_total").over(earlier).cast(sum_type), F.lit(0).cast(sum_type))
-
-    dated = df.withColumn("_day", F.coalesce(F.to_date(when), F.lit(_NO_DAY).cast("date")))
-    # At most (all rows / hot_rows) days, so this side is safe to broadcast.
-    hot = hot_keys(dated.select(*day), day, hot_rows).select(*day, F.lit(True).alias("_hot"))
-    slotted = (
-        dated.join(F.broadcast(hot), day, "left")
-        .withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-        .withColumn("_instant", F.when(F.col("_hot"), instant).otherwise(no_instant))
-        .withColumn(
-            "_block", F.when(F.col("_hot"), F.floor(F.col(row) / hot_rows)).otherwise(F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast(sum_type)
+    never = F.lit(_NEVER).cast("timestamp_ntz")
+    instant = F.coalesce(F.col(when).cast("timestamp_ntz"), never)
+    whole_blocks = F.floor(F.col(row) / hot_rows)
+    cuts = {
+        "_day": (F.to_date(instant), never.cast("date")),
+        "_second": (F.date_trunc("second", instant).cast("timestamp_ntz"), never),
+        "_moment": (_moment(instant, whole_blocks), _moment(never, F.lit(0).cast("bigint"))),
+    }
+
+    pieces, made = df, []
+    for name, (cut, uncut) in cuts.items():
+        # At most (all rows / hot_rows) groups are too large, so they are safe to broadcast.
+        hot = hot_keys(pieces.select(*keys, *made), [*keys, *made], hot_rows).drop("_pieces")
+        if hot.isEmpty():
+            break
+        pieces = (
+            pieces.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), [*keys, *made], "left")
+            .withColumn(name, F.when(F.col("_hot"), cut).otherwise(uncut))
+            .drop("_hot")
+        )
+        made.append(name)
+
+    group = [*keys, *made]
+    upto = Window.partitionBy(*group).orderBy(instant, row).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.coalesce(F.sum(value).over(upto).cast(sum_type), zero)
+    if not made:
+        return df.withColumn(out, F.when(F.col(value).isNotNull(), total))
+
+    totals = pieces.groupBy(*group).agg(F.sum(value).cast(sum_type).alias("_total"))
+    openings = _openings(totals, keys, made, sum_type)
+    opened = pieces.join(openings, group, "left")
+    return opened.withColumn(
+        out, F.when(F.col(value).isNotNull(), total + F.coalesce(F.col("_opening"), zero))
+    ).drop(*made, "_opening")
+
+
+def _moment(instant: Column, block: Column) -> Column:
+    return F.struct(instant.alias("instant"), block.alias("block"))
+
+
+def _openings(totals: DataFrame, keys: list[str], cuts: list[str], sum_type: str) -> DataFrame:
+    """For each piece, the total of all pieces of its key that come before it.
+
+    One window per level, over the children of one parent: days of a key, seconds of a day, instants and
+    blocks of a second.
+    """
+    opened = totals
+    for depth, cut in enumerate(cuts):
+        parent = [*keys, *cuts[:depth]]
+        earlier = Window.partitionBy(*parent).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
+        before = (
+            totals.groupBy(*parent, cut)
+            .agg(F.sum("_total").cast(sum_type).alias("_total"))
+            .select(*parent, cut, F.sum("_total").over(earlier).cast(sum_type).alias(f"_before_{depth}"))
         )
-    )
-
-    by_day = (
-        dated.groupBy(*day)
-        .agg(summed(), F.count("*").alias("_rows"))
-        .select(*day, (F.col("_rows") > hot_rows).alias("_hot"), opening(keys, ["_day"]).alias("_opening"))
-    )
-    within_hot_day = (
-        slotted.where("_hot")
-        .groupBy(*slot)
-        .agg(summed())
-        .select(*slot, opening(day, ["_instant", "_block"]).alias("_offset"))
-        .join(by_day.where("_hot"), day)
-        .select(*slot, (F.col("_opening") + F.col("_offset")).cast(sum_type).alias("_opening"))
-    )
-    openings = (
-        by_day.where(~F.col("_hot"))
-        .select(*day, no_instant.alias("_instant"), F.lit(0).cast("bigint").alias("_block"), "_opening")
-        .unionByName(within_hot_day)
-    )
-
-    upto = Window.partitionBy(*slot).orderBy(instant, row).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.coalesce(F.sum(value).over(upto).cast(sum_type), F.lit(0).cast(sum_type)) + F.col("_opening")
-    return (
-        slotted.join(openings, slot)
-        .withColumn(out, F.when(F.col(value).isNotNull(), total))
-        .drop("_day", "_hot", "_instant", "_block", "_opening")
-    )
+        opened = opened.join(before, [*parent, cut])
+    befores = [F.coalesce(F.col(f"_before_{depth}"), F.lit(0)) for depth in range(len(cuts))]
+    return opened.select(*keys, *cuts, sum(befores, F.lit(0)).cast(sum_type).alias("_opening"))

@@ -279,11 +279,13 @@ def fuzzy_resolve(spark, sf):
 
 @query()
 def fuzzy_resolve_similar(spark, sf):
-    """Every customer name with a letter dropped or two swapped, against all customer names."""
-    name = F.col("c_name")
+    """Part and customer names with a letter dropped, two swapped or one doubled, against the right ones."""
+    parts, customers = table(spark, sf, "part"), table(spark, sf, "customer")
+    names = parts.select(F.col("p_name").alias("name")).unionByName(customers.select(F.col("c_name").alias("name")))
+    name, size = F.col("name"), F.length("name")
     spellings = F.array(
-        F.replace(name, F.lit("Customer"), F.lit("Custmer")),
-        F.replace(F.replace(name, F.lit("#0"), F.lit("0#")), F.lit("tom"), F.lit("otm")),
+        F.concat(F.substring(name, 1, 2), F.substring(name, F.lit(4), size)),
+        F.concat(F.substring(name, 2, 1), F.substring(name, 1, 1), F.substring(name, F.lit(3), size)),
+        F.concat(F.substring(name, 1, 1), name),
     )
-    customers = table(spark, sf, "customer")
-    return resolve_names(customers.select(F.explode(spellings).alias("spelt")), "spelt", customers, "c_name")
+    return resolve_names(names.select(F.explode(spellings).alias("spelt")), "spelt", names, "name")
