@@ -24,18 +24,19 @@ def running_total(
     row: str,
     value: str,
     out: str,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add `out`: the sum of the decimal `value` up to each row, per key, in order of (`when`, `row`).
 
     `row` is a whole number, unique per key and instant, and the keys are not null. A null value gives a null
-    total at its own row and counts as nothing afterwards. Counts the rows per key when called.
+    total at its own row and counts as nothing afterwards. Counts the rows per key when called, unless
+    `hot_rows` is None because the keys are known to be small.
     """
     sum_type = f"decimal(36,{df.schema[value].dataType.scale})"
     zero = F.lit(0).cast(sum_type)
     never = F.lit(_NEVER).cast("timestamp_ntz")
     instant = F.coalesce(F.col(when).cast("timestamp_ntz"), never)
-    whole_blocks = F.floor(F.col(row) / hot_rows)
+    whole_blocks = F.floor(F.col(row) / (hot_rows or 1))
     cuts = {
         "_day": (F.to_date(instant), never.cast("date")),
         "_second": (F.date_trunc("second", instant).cast("timestamp_ntz"), never),
@@ -43,7 +44,7 @@ def running_total(
     }
 
     pieces, made = df, []
-    for name, (cut, uncut) in cuts.items():
+    for name, (cut, uncut) in cuts.items() if hot_rows else ():
         # At most (all rows / hot_rows) groups are too large, so they are safe to broadcast.
         hot = hot_keys(pieces.select(*keys, *made), [*keys, *made], hot_rows).drop("_pieces")
         if hot.isEmpty():

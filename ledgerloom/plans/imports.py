@@ -129,9 +129,9 @@ def import_rows(
     strict: bool = False,
 ) -> ImportResult:
     """Standardise, register and append rows that have been read; `files` maps `path` to `account_name`."""
-    canonical = [(layout, to_canonical(raw.rows, layout)) for layout, raw in parts]
+    canonical = [(layout, raw.hot_rows, to_canonical(raw.rows, layout)) for layout, raw in parts]
     rejected_files = _all(raw.rejected_files for _, raw in parts)
-    rejected_rows = _all(rows.where(F.col(REASON).isNotNull()) for _, rows in canonical)
+    rejected_rows = _all(rows.where(F.col(REASON).isNotNull()) for *_, rows in canonical)
     if strict:
         for layout, raw in parts:
             require_all_files(raw, layout)
@@ -147,8 +147,8 @@ def import_rows(
         F.col("path").alias("source_file"),
     )
     good = _all(
-        to_ledger_values(with_balance(rows.where(F.col(REASON).isNull()).drop(REASON, RAW_LINE), layout))
-        for layout, rows in canonical
+        to_ledger_values(with_balance(rows.where(F.col(REASON).isNull()).drop(REASON, RAW_LINE), layout, hot_rows))
+        for layout, hot_rows, rows in canonical
     )
     named = lookup(good, files, "_src_file", "path", "inner")
     rows = named.withColumn("imported_from", natural_id("account_name", "_src_file", F.lit(import_key)))

@@ -28,6 +28,7 @@ from ledgerloom.operators.rules import (
 )
 from ledgerloom.plans import imports, retrieve
 from ledgerloom.schema import ACCOUNT_TYPES, ACCOUNTS, CANONICAL_COLUMNS, UNIQUE_KEY
+from ledgerloom.session import tune
 from ledgerloom.sources.layouts import find_layout
 from ledgerloom.sources.shared import stage
 from ledgerloom.sources.store import Store
@@ -39,8 +40,8 @@ class Ledger:
     """A ledger stored under one folder. Results are lazy DataFrames."""
 
     def __init__(self, spark: SparkSession, root: str):
+        self.spark = tune(spark)
         self.store = Store(spark, root)
-        self.spark = spark
 
     # Tables
 

@@ -18,7 +18,7 @@ from ledgerloom.operators.lookup import HOT_ROWS
 from ledgerloom.operators.running import running_total
 from ledgerloom.schema import CANONICAL_COLUMNS, DEFAULTS, IGNORE, TIMELIKE
 from ledgerloom.sources.layouts import Layout, run_steps
-from ledgerloom.sources.statements import RAW_LINE
+from ledgerloom.sources.statements import RAW_LINE, RawStatements
 
 REASON = "reason"
 _TEXT = ("name", "category", "currency", "notes")
@@ -70,14 +70,14 @@ def _reason() -> Column:
 
 
 def running_balance(
-    df: DataFrame, keys: list[str] | None = None, row: str = "_row", hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str] | None = None, row: str = "_row", hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Replace `balance` by the sum of the amounts so far, per statement unless other keys are given."""
     totals = running_total(df, keys or ["_src_file"], "date", row, "amount", "_balance", hot_rows)
     return totals.withColumn("balance", F.col("_balance")).drop("_balance").select(*df.columns)
 
 
-def with_balance(good: DataFrame, layout: Layout, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_balance(good: DataFrame, layout: Layout, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Accepted rows with the running balance, where the statement does not supply one."""
     return good if layout.has_balance else running_balance(good, hot_rows=hot_rows)
 
@@ -94,19 +94,24 @@ def to_ledger_values(df: DataFrame) -> DataFrame:
     )
 
 
-def standardise(raw: DataFrame, layout: Layout) -> DataFrame:
+def standardise(raw: RawStatements, layout: Layout) -> DataFrame:
     """The canonical statement: accepted rows in the seven canonical columns, oldest first.
 
     Rows keep `_src_file` and `_row`; ties in time are in file order.
     """
+    return standardise_rows(raw.rows, layout, raw.hot_rows)
+
+
+def standardise_rows(raw: DataFrame, layout: Layout, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """`standardise` for rows that did not come from files: raw cells, `_src_file`, `_row`, `_raw_line`."""
     canonical = to_canonical(raw, layout)
     good = canonical.where(F.col(REASON).isNull()).drop(REASON, RAW_LINE)
-    rounded = with_balance(good, layout).withColumns(
+    rounded = with_balance(good, layout, hot_rows).withColumns(
         {"amount": quantise(F.col("amount")), "balance": quantise(F.col("balance"))}
     )
     return rounded.orderBy("date", "_src_file", "_row")
 
 
-def rejected(raw: DataFrame, layout: Layout) -> DataFrame:
+def rejected(raw: RawStatements, layout: Layout) -> DataFrame:
     """Rows that cannot be stored, with the reason."""
-    return to_canonical(raw, layout).where(F.col(REASON).isNotNull())
+    return to_canonical(raw.rows, layout).where(F.col(REASON).isNotNull())

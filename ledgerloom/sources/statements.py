@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.cleaning import null_if_na
+from ledgerloom.operators.lookup import HOT_ROWS
 from ledgerloom.sources.layouts import Layout
 from ledgerloom.sources.shared import stage
 
 RAW_LINE = "_raw_line"
 
 
+# Larger files are cut into blocks where their content allows it; smaller ones are read whole.
+LARGE_FILE = 64 * 1024 * 1024
+
+
 @dataclass(frozen=True)
 class RawStatements:
     """Data rows of the files that fit the layout, and the files that do not.
 
     `rows` has the raw columns, `_src_file`, `_row` (ascending in file order, unique per file) and
-    `_raw_line`, filled only where the row has too few or too many cells.
+    `_raw_line`, filled only where the row has too few or too many cells. `hot_rows` is the size from which
+    one statement is spread over several tasks; None when no file is large enough to need it.
     """
 
     rows: DataFrame
     rejected_files: DataFrame
+    hot_rows: int | None = HOT_ROWS
 
 
 class LayoutMismatch(ValueError):
@@ -61,70 +68,95 @@ def read_statements(
     layout: Layout,
     multi_line: bool | None = None,
     staged: bool = False,
+    large_file: int = LARGE_FILE,
 ) -> RawStatements:
     """Read statement files of one layout.
 
-    Files whose quoted cells never run over a line end are split, so one large file feeds many tasks. Files
-    with line ends inside cells are read whole, one per task. `multi_line` forces one way or the other.
-    `staged` writes the numbered rows to a shared folder first, so the files are parsed only once.
+    Ordinary files are read whole, each by one task. Large files are cut into blocks for many tasks, unless
+    some quoted cell in them runs over a line end. `multi_line` forces whole files (True) or blocks (False).
+    `staged` writes the numbered rows to a shared folder first, so the files are parsed only once; it is
+    implied by large files.
     """
+    size = F.col("_metadata.file_size")
     if multi_line is not None:
-        return place_rows(_scan(spark, paths, layout, multi_line), layout, staged)
-    whole = set(_files_with_long_cells(spark, paths))
-    if not whole:
-        return place_rows(_scan(spark, paths, layout, False), layout, staged)
-    split = _scan(spark, paths, layout, False)
-    spanning = spark.createDataFrame([(path,) for path in whole], "_spanning string")
-    # One short name per file; the driver lists the files for the scan anyway.
-    split = split.join(F.broadcast(spanning), F.col("_src_file") == F.col("_spanning"), "left_anti")
-    return place_rows(split.unionByName(_scan(spark, sorted(whole), layout, True)), layout, staged)
-
-
-def _files_with_long_cells(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Files with a line that opens a quoted cell without closing it."""
-    lines = spark.read.text(paths).select("value", file_name(F.col("_metadata.file_path")).alias("file"))
+        numbered = number_rows(_scan(spark, paths, layout, multi_line), blocks=not multi_line)
+        return place_rows(numbered, layout, blocks=not multi_line, staged=staged)
+    listed = spark.read.format("binaryFile").load(paths).select("length")
+    if listed.where(F.col("length") > large_file).isEmpty():
+        numbered = number_rows(_scan(spark, paths, layout, True), blocks=False)
+        return replace(place_rows(numbered, layout, blocks=False, staged=staged), hot_rows=None)
+
+    large = size > large_file
+    numbered = number_rows(_scan(spark, paths, layout, True, size <= large_file), blocks=False)
+    whole = _files_with_long_cells(spark, paths, large)
+    split = large & ~file_name(F.col("_metadata.file_path")).isin(whole) if whole else large
+    numbered = numbered.unionByName(number_rows(_scan(spark, paths, layout, False, split), blocks=True))
+    if whole:
+        kept = large & file_name(F.col("_metadata.file_path")).isin(whole)
+        numbered = numbered.unionByName(number_rows(_scan(spark, paths, layout, True, kept), blocks=False))
+    return place_rows(numbered, layout, blocks=True, staged=True)
+
+
+def _files_with_long_cells(spark: SparkSession, paths: list[str], chosen: Column) -> list[str]:
+    """The chosen files with a line that opens a quoted cell without closing it.
+
+    One short name per large file at most; the driver lists the files for the scan anyway.
+    """
+    lines = spark.read.text(paths).where(chosen)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return [found.file for found in lines.where(quotes % 2 == 1).select("file").distinct().collect()]
+    files = lines.where(quotes % 2 == 1).select(file_name(F.col("_metadata.file_path")).alias("file")).distinct()
+    return [found.file for found in files.collect()]
 
 
-def _scan(spark: SparkSession, paths: list[str], layout: Layout, multi_line: bool) -> DataFrame:
+def _scan(
+    spark: SparkSession, paths: list[str], layout: Layout, multi_line: bool, chosen: Column | None = None
+) -> DataFrame:
     cells = spark.read.schema(csv_schema(layout)).options(**csv_options(multi_line)).csv(paths)
-    return locate(cells)
+    return locate(cells if chosen is None else cells.where(chosen))
 
 
 def locate(cells: DataFrame) -> DataFrame:
-    """Add where each row was read: its file, the start of its block and its number within the task."""
+    """Add where each row was read: its file and the start of its block."""
     # Spark refuses to read nothing but the malformed line, so it is tied to a cell.
     raw_line = F.when(F.col(RAW_LINE).isNotNull(), F.coalesce(F.col(RAW_LINE), F.col("_c0")))
     return cells.withColumn(RAW_LINE, raw_line).select(
         "*",
         file_name(F.col("_metadata.file_path")).alias("_src_file"),
         F.col("_metadata.file_block_start").alias("_block_start"),
-        F.monotonically_increasing_id().alias("_read_order"),
     )
 
 
-def place_rows(cells: DataFrame, layout: Layout, staged: bool = False) -> RawStatements:
-    """Number the rows, check the header line and drop it together with the title lines."""
-    # Partitions of this window are file blocks, so none is larger than what one task has read.
-    in_block = Window.partitionBy("_src_file", "_block_start").orderBy("_read_order")
-    placed = cells.withColumn("_line", F.row_number().over(in_block))
+def number_rows(located: DataFrame, blocks: bool) -> DataFrame:
+    """Add `_line`, the place of each row in its file, or in its block of the file.
+
+    The window holds what one task has read, a file or a block, and never more.
+    """
+    part = ["_src_file", "_block_start"] if blocks else ["_src_file"]
+    ordered = located.withColumn("_read_order", F.monotonically_increasing_id())
+    in_part = Window.partitionBy(*part).orderBy("_read_order")
+    return ordered.withColumn("_line", F.row_number().over(in_part)).drop("_read_order")
+
+
+def place_rows(numbered: DataFrame, layout: Layout, blocks: bool, staged: bool = False) -> RawStatements:
+    """Check the header line of each file and drop it together with the title lines."""
     if staged:
-        placed = stage(placed, "statement-rows")
+        numbered = stage(numbered, "statement-rows")
     header_line = layout.title_rows + 1
-    headers = placed.where(
-        (F.col("_block_start") == 0) & (F.col("_line") == header_line) & F.col(RAW_LINE).isNotNull()
-    )
-    rejected = headers.select(
+    is_header = (F.col("_block_start") == 0) & (F.col("_line") == header_line)
+    rejected = numbered.where(is_header & F.col(RAW_LINE).isNotNull()).select(
         F.col("_src_file").alias("source_file"),
         F.lit(len(layout.columns)).alias("expected_columns"),
         F.col(RAW_LINE).alias("header_line"),
     )
+    if blocks or staged:
+        fitting = numbered.join(rejected, F.col("_src_file") == F.col("source_file"), "left_anti")
+    else:
+        misfit = F.max(F.when(is_header, F.col(RAW_LINE))).over(Window.partitionBy("_src_file"))
+        fitting = numbered.withColumn("_misfit", misfit).where(F.col("_misfit").isNull())
     rows = (
-        placed.where((F.col("_block_start") > 0) | (F.col("_line") > header_line))
+        fitting.where((F.col("_block_start") > 0) | (F.col("_line") > header_line))
         # A row takes at least one byte, so block start plus line number rises through the file.
         .withColumn("_row", F.col("_block_start") + F.col("_line"))
-        .join(rejected, F.col("_src_file") == F.col("source_file"), "left_anti")
         .select(
             *[null_if_na(F.col(name)).alias(name) for name in layout.raw_columns],
             "_src_file",

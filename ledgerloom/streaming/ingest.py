@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerloom.operators.rules import Rule
 from ledgerloom.plans.imports import import_rows, require_accounts
 from ledgerloom.sources.layouts import Layout
-from ledgerloom.sources.statements import csv_options, csv_schema, file_name, place_rows
+from ledgerloom.sources.statements import csv_options, csv_schema, locate, number_rows, place_rows
 from ledgerloom.sources.store import Store
 
 
@@ -34,20 +34,11 @@ def stream_statements(
     """
     spark = store.spark
     rules = list(rules)
-    cells = (
-        spark.readStream.schema(csv_schema(layout))
-        .options(**csv_options(multi_line))
-        .csv(folder)
-        .select(
-            "*",
-            file_name(F.col("_metadata.file_path")).alias("_src_file"),
-            F.col("_metadata.file_block_start").alias("_block_start"),
-        )
-    )
+    cells = locate(spark.readStream.schema(csv_schema(layout)).options(**csv_options(multi_line)).csv(folder))
 
     def import_batch(batch: DataFrame, epoch: int) -> None:
-        numbered = batch.withColumn("_read_order", F.monotonically_increasing_id())
-        raw = place_rows(numbered, layout, staged=True)
+        blocks = not multi_line
+        raw = place_rows(number_rows(batch, blocks), layout, blocks, staged=True)
         named = raw.rows.select(F.col("_src_file").alias("path")).distinct().withColumn(
             "account_name", account_of(F.col("path"))
         )

@@ -14,20 +14,10 @@ from ledgerloom.operators.rules import Action, Condition, Rule, category_rule
 from ledgerloom.operators.rules import apply_rules as run_rules
 from ledgerloom.operators.rules import rule_audit as audit
 from ledgerloom.operators.rules import tag_rules
+from registry.catalogue import catalogue
 from registry.views import TX_EVENTS, TX_ORDERS, table, tx_events, tx_orders, with_views
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(oracle: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if oracle:
-            ORACLES[fn.__name__] = oracle
-        return fn
-
-    return register
+query, QUERIES, ORACLES = catalogue()
 
 
 @query(

@@ -11,20 +11,10 @@ from ledgerloom.functions.predicates import Matches, PerValue, Text
 from ledgerloom.operators import relations, totals
 from ledgerloom.operators.filtering import by_name, filter_frame, filter_ledger
 from ledgerloom.plans.retrieve import retrieve_transactions, transactions_in_date_range
+from registry.catalogue import catalogue
 from registry.views import ACCOUNTS, TX_ORDERS, accounts, table, tx_orders, with_views
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(oracle: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if oracle:
-            ORACLES[fn.__name__] = oracle
-        return fn
-
-    return register
+query, QUERIES, ORACLES = catalogue()
 
 
 def _named_parts(spark, sf):

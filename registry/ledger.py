@@ -11,6 +11,7 @@ from ledgerloom.operators.filtering import all_of, filter_ledger
 from ledgerloom.operators.rules import reclassify as set_category
 from ledgerloom.operators.running import running_total
 from ledgerloom.plans.retrieve import transactions_in_date_range
+from registry.catalogue import catalogue
 from registry.views import (
     ACCOUNTS,
     STATEMENTS,
@@ -27,18 +28,7 @@ from registry.views import (
     with_views,
 )
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(oracle: str | None = None):
-    def register(fn):
-        QUERIES[fn.__name__] = fn
-        if oracle:
-            ORACLES[fn.__name__] = oracle
-        return fn
-
-    return register
+query, QUERIES, ORACLES = catalogue()
 
 
 _SUMMARY = """account_name,

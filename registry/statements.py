@@ -10,27 +10,17 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.rules import category_rule
 from ledgerloom.plans.imports import import_folder, natural_id, register_statements as register
 from ledgerloom.plans.retrieve import retrieve_transactions
-from ledgerloom.plans.standardise import standardise
+from ledgerloom.plans.standardise import standardise, standardise_rows
 from ledgerloom.schema import ACCOUNTS as ACCOUNT_SCHEMA
 from ledgerloom.sources.layouts import CHASE, LLOYDS_CC, MONZO, Layout
 from ledgerloom.sources.shared import shared_folder
 from ledgerloom.sources.statements import read_statements
 from ledgerloom.sources.store import Store
 from ledgerloom.streaming.ingest import stream_statements
+from registry.catalogue import catalogue
 from registry.views import STATEMENTS, statements, table, with_views
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(oracle: str | None = None):
-    def register_query(fn):
-        QUERIES[fn.__name__] = fn
-        if oracle:
-            ORACLES[fn.__name__] = oracle
-        return fn
-
-    return register_query
+query, QUERIES, ORACLES = catalogue()
 
 
 _CHASE_HEAD = ['"Statement of account"', '"Date","Time","Transaction Type","Transaction Description","Amount","Currency","Balance"']
@@ -157,7 +147,7 @@ def account_of(path: Column) -> Column:
 def _standardised(spark, sf: str, layout: Layout) -> DataFrame:
     pattern = write_statements(table(spark, sf, "events"), layout, shared_folder(spark, "statements"))
     raw = read_statements(spark, [pattern], layout)
-    return standardise(raw.rows, layout).select(
+    return standardise(raw, layout).select(
         account_of(F.col("_src_file")).alias("account_name"),
         "date",
         "name",
@@ -210,7 +200,7 @@ def standardise_defaults(spark, sf):
         F.col("event_id").alias("_row"),
         F.lit(None).cast("string").alias("_raw_line"),
     )
-    return standardise(raw, _SPARSE).drop("_src_file")
+    return standardise_rows(raw, _SPARSE).drop("_src_file")
 
 
 def _new_ledger(spark, sf: str, layouts: list[Layout]) -> Store:

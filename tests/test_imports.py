@@ -54,7 +54,7 @@ def write(folder, name, lines):
 def test_chase(spark, tmp_path):
     path = write(tmp_path, "a b+c.csv", CHASE_LINES)
     raw = read_statements(spark, [path], CHASE)
-    rows = standardise(raw.rows, CHASE).collect()
+    rows = standardise(raw, CHASE).collect()
     assert [(r.date, r.name, r.category, r.amount, r.balance, r.notes) for r in rows] == [
         (datetime(2025, 5, 16, 9), "Till", "cash_withdrawal", Decimal("-20.00"), Decimal("124.74"), "Cash withdrawal | EUR 20"),
         (datetime(2025, 5, 17, 10, 54), "Coach & Horses", "Purchase", Decimal("-7.10"), Decimal("117.64"), ""),
@@ -62,14 +62,14 @@ def test_chase(spark, tmp_path):
         (datetime(2025, 5, 19, 12), "Round up", "roundup", Decimal("-0.10"), Decimal("85.98"), ""),
     ]
     assert rows[0]._src_file == path
-    reasons = {r.name: r.reason for r in rejected(raw.rows, CHASE).collect()}
+    reasons = {r.name: r.reason for r in rejected(raw, CHASE).collect()}
     assert reasons == {"Bad money": "amount", "Bad date": "date", "Short": "columns"}
     assert raw.rejected_files.count() == 0
 
 
 def test_lloyds_running_balance(spark, tmp_path):
     raw = read_statements(spark, [write(tmp_path, "l.csv", LLOYDS_LINES)], LLOYDS_CC)
-    rows = standardise(raw.rows, LLOYDS_CC).collect()
+    rows = standardise(raw, LLOYDS_CC).collect()
     assert [(r.date.day, r.name, r.category, r.currency, r.amount, r.balance) for r in rows] == [
         (24, "SQ *CITY SIPS", "None", "GBP", Decimal("-10.50"), Decimal("-10.50")),
         (25, "SQ *CITY SIPS", "None", "GBP", Decimal("-10.50"), Decimal("-21.00")),
@@ -79,17 +79,18 @@ def test_lloyds_running_balance(spark, tmp_path):
     assert rows[1]._row < rows[2]._row
 
 
-def test_monzo_cells_over_line_ends(spark, tmp_path):
+@pytest.mark.parametrize("large_file", [10, 300, 100_000])
+def test_monzo_cells_over_line_ends(spark, tmp_path, large_file):
     plain = write(tmp_path, "plain.csv", [MONZO_HEADER, MONZO_LINES[1]])
     spanning = write(tmp_path, "spanning.csv", MONZO_LINES)
-    raw = read_statements(spark, [plain, spanning], MONZO)
-    rows = standardise(raw.rows, MONZO).where(F.col("_src_file") == spanning).collect()
+    raw = read_statements(spark, [plain, spanning], MONZO, large_file=large_file)
+    rows = standardise(raw, MONZO).where(F.col("_src_file") == spanning).collect()
     assert [(r.date, r.name, r.category, r.notes, r.balance) for r in rows] == [
         (datetime(2025, 5, 1, 2, 1, 58), "Round Ups Pot", "roundup", None, Decimal("0.05")),
         (datetime(2025, 5, 2, 3), "Flex payment", "General", "Flex, one\nof three", Decimal("-9.94")),
         (datetime(2025, 5, 3, 3), "Overdraft fees", "fee", "OVERDRAFT charge", Decimal("-11.94")),
     ]
-    assert standardise(raw.rows, MONZO).count() == 4
+    assert standardise(raw, MONZO).count() == 4
 
 
 def test_large_files_are_split_and_keep_their_order(spark, tmp_path):
@@ -98,18 +99,20 @@ def test_large_files_are_split_and_keep_their_order(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        raw = read_statements(spark, [path], LLOYDS_CC)
-        rows = standardise(raw.rows, LLOYDS_CC).orderBy("_row").select("name", "balance").collect()
+        raw = read_statements(spark, [path], LLOYDS_CC, large_file=1000)
+        assert raw.hot_rows is not None
+        rows = standardise(raw, LLOYDS_CC).orderBy("_row").select("name", "balance").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [r.name for r in rows] == [f"row {i}" for i in range(1, 3001)]
     assert [r.balance for r in rows] == [Decimal(i * (i + 1) // 2) for i in range(1, 3001)]
 
 
-def test_file_of_another_layout(spark, tmp_path):
+@pytest.mark.parametrize("large_file", [10, 100_000])
+def test_file_of_another_layout(spark, tmp_path, large_file):
     good = write(tmp_path, "good.csv", LLOYDS_LINES)
     bad = write(tmp_path, "bad.csv", ["a,b", "1,2", "25/02/2026,x,y,z,1"])
-    raw = read_statements(spark, [good, bad], LLOYDS_CC)
+    raw = read_statements(spark, [good, bad], LLOYDS_CC, large_file=large_file)
     assert [(r.source_file, r.expected_columns) for r in raw.rejected_files.collect()] == [(bad, 5)]
     assert {r._src_file for r in raw.rows.collect()} == {good}
     with pytest.raises(LayoutMismatch, match="5 columns"):
@@ -123,7 +126,7 @@ def test_steps_run_in_order(spark, tmp_path):
     seen = seen.with_after(lambda df: df.withColumn("category", F.lit("raw")), 0)
     seen = seen.with_before(lambda df: df.withColumn(seen.raw("amount"), F.lit("10000")))
     raw = read_statements(spark, [write(tmp_path, "s.csv", ["d,n,a", "1/2/2025,x,1"])], seen)
-    row = standardise(raw.rows, seen).collect()[0]
+    row = standardise(raw, seen).collect()[0]
     assert (row.name, row.category, row.amount) == ("second", "leisure", Decimal("10000.00"))
 
 
