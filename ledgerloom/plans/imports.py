@@ -23,7 +23,6 @@ from ledgerloom.sources.shared import stage
 from ledgerloom.sources.statements import (
     RAW_LINE,
     RawStatements,
-    file_name,
     read_statements,
     require_all_files,
 )
@@ -98,11 +97,9 @@ def import_folder(
     The account comes from the path of each file, so there is no list of files to hand over.
     """
     stamp = imported_at or datetime.now()
-    # Selecting only the path lists the files without reading them.
-    listed = store.spark.read.format("binaryFile").load(folder).select(file_name(F.col("path")).alias("path"))
-    files = listed.withColumn("account_name", account_of(F.col("path")))
-    require_accounts(store, files)
     raw = read_statements(store.spark, [folder], layout, multi_line, staged=True)
+    files = raw.files.withColumn("account_name", account_of(F.col("path")))
+    require_accounts(store, files)
     return import_rows(store, [(layout, raw)], files, f"{stamp:%Y-%m-%dT%H:%M:%S.%f}", stamp, rules, strict)
 
 

@@ -25,12 +25,14 @@ class RawStatements:
     """Data rows of the files that fit the layout, and the files that do not.
 
     `rows` has the raw columns, `_src_file`, `_row` (ascending in file order, unique per file) and
-    `_raw_line`, filled only where the row has too few or too many cells. `hot_rows` is the size from which
-    one statement is spread over several tasks; None when no file is large enough to need it.
+    `_raw_line`, filled only where the row has too few or too many cells. `files` has the `path` of every
+    file with at least one line. `hot_rows` is the size from which one statement is spread over several
+    tasks; None when no file is large enough to need it.
     """
 
     rows: DataFrame
     rejected_files: DataFrame
+    files: DataFrame
     hot_rows: int | None = HOT_ROWS
 
 
@@ -77,23 +79,22 @@ def read_statements(
     `staged` writes the numbered rows to a shared folder first, so the files are parsed only once; it is
     implied by large files.
     """
-    size = F.col("_metadata.file_size")
     if multi_line is not None:
-        numbered = number_rows(_scan(spark, paths, layout, multi_line), blocks=not multi_line)
+        numbered = number_rows(locate(_cells(spark, paths, layout, multi_line)), blocks=not multi_line)
         return place_rows(numbered, layout, blocks=not multi_line, staged=staged)
-    listed = spark.read.format("binaryFile").load(paths).select("length")
-    if listed.where(F.col("length") > large_file).isEmpty():
-        numbered = number_rows(_scan(spark, paths, layout, True), blocks=False)
+    cells = _cells(spark, paths, layout, True)
+    # Filters on file metadata choose files before any is opened.
+    large = F.col("_metadata.file_size") > large_file
+    if cells.where(large).isEmpty():
+        numbered = number_rows(locate(cells), blocks=False)
         return replace(place_rows(numbered, layout, blocks=False, staged=staged), hot_rows=None)
 
-    large = size > large_file
-    numbered = number_rows(_scan(spark, paths, layout, True, size <= large_file), blocks=False)
     whole = _files_with_long_cells(spark, paths, large)
-    split = large & ~file_name(F.col("_metadata.file_path")).isin(whole) if whole else large
-    numbered = numbered.unionByName(number_rows(_scan(spark, paths, layout, False, split), blocks=True))
-    if whole:
-        kept = large & file_name(F.col("_metadata.file_path")).isin(whole)
-        numbered = numbered.unionByName(number_rows(_scan(spark, paths, layout, True, kept), blocks=False))
+    kept_whole = ~large | file_name(F.col("_metadata.file_path")).isin(whole) if whole else ~large
+    split = _cells(spark, paths, layout, False).where(~kept_whole)
+    numbered = number_rows(locate(cells.where(kept_whole)), blocks=False).unionByName(
+        number_rows(locate(split), blocks=True)
+    )
     return place_rows(numbered, layout, blocks=True, staged=True)
 
 
@@ -108,11 +109,8 @@ def _files_with_long_cells(spark: SparkSession, paths: list[str], chosen: Column
     return [found.file for found in files.collect()]
 
 
-def _scan(
-    spark: SparkSession, paths: list[str], layout: Layout, multi_line: bool, chosen: Column | None = None
-) -> DataFrame:
-    cells = spark.read.schema(csv_schema(layout)).options(**csv_options(multi_line)).csv(paths)
-    return locate(cells if chosen is None else cells.where(chosen))
+def _cells(spark: SparkSession, paths: list[str], layout: Layout, multi_line: bool) -> DataFrame:
+    return spark.read.schema(csv_schema(layout)).options(**csv_options(multi_line)).csv(paths)
 
 
 def locate(cells: DataFrame) -> DataFrame:
@@ -164,7 +162,8 @@ def place_rows(numbered: DataFrame, layout: Layout, blocks: bool, staged: bool =
             RAW_LINE,
         )
     )
-    return RawStatements(rows, rejected)
+    files = numbered.select(F.col("_src_file").alias("path")).distinct()
+    return RawStatements(rows, rejected, files)
 
 
 def require_all_files(statements: RawStatements, layout: Layout) -> None:

@@ -39,9 +39,7 @@ def stream_statements(
     def import_batch(batch: DataFrame, epoch: int) -> None:
         blocks = not multi_line
         raw = place_rows(number_rows(batch, blocks), layout, blocks, staged=True)
-        named = raw.rows.select(F.col("_src_file").alias("path")).distinct().withColumn(
-            "account_name", account_of(F.col("path"))
-        )
+        named = raw.files.withColumn("account_name", account_of(F.col("path")))
         require_accounts(store, named)
         import_rows(store, [(layout, raw)], named, f"{checkpoint}#{epoch}", datetime.now(), rules)
 
