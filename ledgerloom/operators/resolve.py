@@ -135,17 +135,26 @@ def _compare_in_blocks(
     def banded(df: DataFrame, key: str, band: str) -> DataFrame:
         return df.select(F.col(key), F.length(F.bin(F.length(key))).alias(band))
 
-    def blocks(df: DataFrame, band: str, size: int, as_name: str) -> DataFrame:
-        """One row per band, of which there are as many as the longest name has binary digits."""
-        return df.groupBy(band).agg(F.ceil(F.count("*") / size).cast("int").alias(as_name))
+    def blocks(df: DataFrame, band: str, size: int) -> dict[int, int]:
+        """Blocks per band; there are as many bands as the longest name has binary digits."""
+        counted = df.groupBy(band).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+        return {row[band]: row.blocks for row in counted.collect()}
 
     names = banded(open_names, "folded", "name_band")
     keys = banded(known, "key", "key_band")
-    name_blocks = blocks(names, "name_band", name_block, "name_blocks")
-    key_blocks = blocks(keys, "key_band", candidate_block, "key_blocks")
-    meetings = F.broadcast(
-        name_blocks.join(F.broadcast(key_blocks), F.col("key_band") >= F.col("name_band") - 1)
-    )
+    name_blocks = blocks(names, "name_band", name_block)
+    key_blocks = blocks(keys, "key_band", candidate_block)
+    pairs = [
+        (name_band, key_band, name_blocks[name_band], key_blocks[key_band])
+        for name_band in name_blocks
+        for key_band in key_blocks
+        if key_band >= name_band - 1
+    ]
+
+    def meetings() -> DataFrame:
+        """Bands that can match, with their numbers of blocks: bands squared at most."""
+        schema = "name_band int, key_band int, name_blocks int, key_blocks int"
+        return F.broadcast(open_names.sparkSession.createDataFrame(pairs, schema))
 
     def part(key: str, count: str) -> Column:
         return F.pmod(F.xxhash64(key), F.col(count)).cast("int")
@@ -155,13 +164,13 @@ def _compare_in_blocks(
 
     cell = ["name_band", "key_band", "name_part", "key_part"]
     left = (
-        names.join(meetings, "name_band")
+        names.join(meetings(), "name_band")
         .withColumn("name_part", part("folded", "name_blocks"))
         .withColumn("key_part", every("key_blocks"))
         .select("folded", *cell)
     )
     right = (
-        keys.join(meetings, "key_band")
+        keys.join(meetings(), "key_band")
         .withColumn("key_part", part("key", "key_blocks"))
         .withColumn("name_part", every("name_blocks"))
         .select("key", *cell)
