@@ -137,7 +137,7 @@ def as_timestamp(value: str | date | datetime) -> datetime:
     if isinstance(value, date):
         return datetime.combine(value, time.min)
     if not isinstance(value, str):
-        raise TypeError(f"Cannot parse {type(value).__name__} as a datetime: {value!r}")
+        raise TypeError(f"Neither a date nor a text: {value!r}")
     text = value.strip().lower()
     for shapes in (_NUMBER_SHAPES, _NAME_SHAPES):
         pattern, (years, months, days, clock) = _any_of(shapes)

@@ -120,5 +120,5 @@ def resolve_name(query: str, candidates: Iterable[str]) -> str:
         return found.match
     listed = ", ".join(candidates)
     if found.method == "none":
-        raise NoMatch(f"No matches for {query!r} among: {listed}")
-    raise AmbiguousMatch(f"More than one match for {query!r} among: {listed}")
+        raise NoMatch(f"Nothing resembles {query!r} among: {listed}")
+    raise AmbiguousMatch(f"{query!r} could be {found.n_candidates} of: {listed}")

@@ -20,7 +20,7 @@ def from_accounts(transactions: DataFrame, accounts: DataFrame) -> DataFrame:
 
 def from_bank(transactions: DataFrame, accounts: DataFrame, bank: str) -> DataFrame:
     """Transactions of the accounts held at a bank."""
-    return from_accounts(transactions, accounts_with_bank(accounts, bank))
+    return lookup(transactions, accounts_with_bank(accounts, bank), "account_name", "name", "left_semi")
 
 
 def accounts_with_bank(accounts: DataFrame, bank: str) -> DataFrame:
@@ -89,9 +89,10 @@ def new_accounts(
     unknown_bank = proposed.where(~known).withColumn("reason", F.lit("unknown bank"))
     valid = proposed.where(known)
     first = first_wins(valid, ["name"], order)
+    kept = first.select(F.col("name").alias("_kept"), F.struct(*order).alias("_place"))
     repeats = (
-        valid.join(first.select("name", *[F.col(c).alias(f"_first_{c}") for c in order]), "name")
-        .where(~F.struct(*order).eqNullSafe(F.struct(*[F.col(f"_first_{c}").alias(c) for c in order])))
+        lookup(valid, kept, "name", "_kept", "inner")
+        .where(~F.struct(*order).eqNullSafe(F.col("_place")))
         .select(*proposed.columns)
     )
     taken = first.join(accounts.select("name"), "name", "left_semi").select(*proposed.columns)

@@ -85,7 +85,7 @@ class Ledger:
         )
         taken = refused.limit(1).collect()
         if taken:
-            raise ValueError(f"Account with name {taken[0].name!r} already exists.")
+            raise ValueError(f"There is already an account named {taken[0].name!r}")
         self.store.append("accounts", accepted.withColumn("id", imports.natural_id("name")))
 
     def delete_account(self, name: str) -> None:

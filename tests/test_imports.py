@@ -166,7 +166,7 @@ def test_accounts(ledger):
     assert {r.name for r in ledger.account_names().collect()} == {"Main", "Card", "Pot"}
     assert ledger.account("crd").collect()[0].bank == "LloydsCC"
     assert [r.name for r in ledger.accounts_with_bank("lloyds").collect()] == ["Card"]
-    with pytest.raises(ValueError, match="already exists"):
+    with pytest.raises(ValueError, match="already an account"):
         ledger.add_account("Main", "Chase")
     with pytest.raises(ValueError, match="account type"):
         ledger.add_account("Other", "Chase", "piggy bank")

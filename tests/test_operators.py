@@ -79,7 +79,7 @@ def test_dates(spark):
     stamp = datetime(2005, 1, 1, 12, 3)
     assert as_timestamp(stamp) is stamp
     for wrong in (12, time(3), [0]):
-        with pytest.raises(TypeError, match="as a datetime"):
+        with pytest.raises(TypeError, match="Neither a date"):
             as_timestamp(wrong)
 
 
@@ -178,9 +178,9 @@ def test_ledger_filters(spark, name, setting, rows):
 def test_filter_errors(spark):
     df = spark.createDataFrame(FRAME, "column_one double, column_two double, column_three string")
     for setting, message in [
-        (max, "Can't parse this function call"),
-        (df, "Invalid filter setting"),
-        (datetime(2025, 1, 1), "Invalid filter setting"),
+        (max, "not a predicate"),
+        (df, "No filter is written"),
+        (datetime(2025, 1, 1), "No filter is written"),
         ("==abc", "Not a literal"),
         (("a", "b"), "Cannot compare"),
     ]:
