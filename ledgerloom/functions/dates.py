@@ -91,12 +91,18 @@ def _usual_shapes(text: Column) -> Column:
     def part(start: int, length: int = 9) -> Column:
         return F.substring(text, start, length)
 
-    dash = F.lit("-")
-    found = F.instr(F.lit("".join(_MONTHS)), F.lower(part(4, 3)))
-    month = F.when(found % 3 == 1, ((found + 2) / 3).cast("int").cast("string"))
+    def dated(year: int, month: Column, day: int, day_size: int, rest: int) -> Column:
+        dash = F.lit("-")
+        return F.concat(part(year, 4), dash, month, dash, part(day, day_size), part(rest))
+
+    def month_at(start: int) -> Column:
+        found = F.instr(F.lit("".join(_MONTHS)), F.lower(part(start, 3)))
+        return F.when(found % 3 == 1, ((found + 2) / 3).cast("int").cast("string"))
+
     iso = (
-        F.when(signs({3: "/", 6: "/"}) & clocked(10), F.concat(part(7, 4), dash, part(4, 2), dash, part(1, 2), part(11)))
-        .when(signs({3: " ", 7: " "}) & clocked(11), F.concat(part(8, 4), dash, month, dash, part(1, 2), part(12)))
+        F.when(signs({3: "/", 6: "/"}) & clocked(10), dated(7, part(4, 2), 1, 2, 11))
+        .when(signs({3: " ", 7: " "}) & clocked(11), dated(8, month_at(4), 1, 2, 12))
+        .when(signs({2: " ", 6: " "}) & clocked(10), dated(7, month_at(3), 1, 1, 11))
         .when(signs({5: "-", 8: "-"}) & clocked(10), text)
     )
     return iso.try_cast("timestamp_ntz")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.predicates import LEDGER
@@ -10,7 +12,10 @@ from ledgerloom.operators.dedupe import first_wins, merge
 from ledgerloom.operators.filtering import all_of, filter_ledger
 from ledgerloom.operators.rules import reclassify as set_category
 from ledgerloom.operators.running import running_total
+from ledgerloom.plans.imports import to_transactions
+from ledgerloom.plans.ledger import Ledger
 from ledgerloom.plans.retrieve import transactions_in_date_range
+from ledgerloom.sources.shared import shared_folder
 from registry.catalogue import catalogue
 from registry.views import (
     ACCOUNTS,
@@ -322,3 +327,27 @@ def reclassify(spark, sf):
     rows = tx_orders(spark, sf)
     condition = all_of(rows, {"amount": (-200000, 0), "name": "^urgent"}, LEDGER)
     return set_category(rows, condition, "bill", changed="changed").select("o_orderkey", "category", "changed")
+
+
+@query(
+    with_views(
+        TX_ORDERS,
+        query="""select cast(o_orderkey as varchar) as imported_from, account_name, date, amount,
+               case when name ilike '%urgent%' and amount between -200000 and 0 then 'bill'
+                    when name ilike '%high%' then 'groceries' else category end as category,
+               (name ilike '%urgent%' and amount between -200000 and 0) or name ilike '%high%' as touched
+        from tx_orders""",
+    )
+)
+def rules_retroactive(spark, sf):
+    """All orders stored as a ledger, then rules added to it and applied to what is stored."""
+    ledger = Ledger(spark, shared_folder(spark, "ledger"))
+    rows = tx_orders(spark, sf).withColumn("imported_from", F.col("o_orderkey").cast("string"))
+    ledger.store.append("transactions", to_transactions(rows, datetime(2025, 1, 1)))
+    ledger.add_rule({"name": "^high"}, "groceries", priority=1)
+    ledger.add_rule({"name": "^urgent", "amount": (-200000, 0)}, "bill", priority=2)
+    ledger.apply_rules()
+    touched = F.col("updated_at") > F.col("created_at")
+    return ledger.transactions.select(
+        "imported_from", "account_name", "date", "amount", "category", touched.alias("touched")
+    )

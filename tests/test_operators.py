@@ -49,6 +49,8 @@ DATES = {
     "01/05/2025": datetime(2025, 5, 1),
     "01/05/2025 02:01:58": datetime(2025, 5, 1, 2, 1, 58),
     "17 May 2025 10:54": datetime(2025, 5, 17, 10, 54),
+    "7 MAY 2025 10:54:09": datetime(2025, 5, 7, 10, 54, 9),
+    "7 Anf 2025": None,
     "25/02/2026": datetime(2026, 2, 25),
     "05/13/2025": datetime(2025, 5, 13),
     "2025-05-01T10:00:01.25": datetime(2025, 5, 1, 10, 0, 1, 250000),
