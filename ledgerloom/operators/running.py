@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.lookup import HOT_ROWS, hot_keys
+from ledgerloom.sources.shared import stage
 
 # Rows without a time sort first, and pieces that are not cut further carry this as their time.
 _NEVER = "0001-01-01 00:00:00"
@@ -52,6 +53,7 @@ def running_total(
         pieces = (
             pieces.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), [*keys, *made], "left")
             .withColumn(name, F.when(F.col("_hot"), cut).otherwise(uncut))
+            .withColumn("_cut", F.coalesce(F.col("_hot") if not made else F.col("_cut"), F.lit(False)))
             .drop("_hot")
         )
         made.append(name)
@@ -62,12 +64,12 @@ def running_total(
     if not made:
         return df.withColumn(out, F.when(F.col(value).isNotNull(), total))
 
-    totals = pieces.groupBy(*group).agg(F.sum(value).cast(sum_type).alias("_total"))
-    openings = _openings(totals, keys, made, sum_type)
+    totals = pieces.where("_cut").groupBy(*group).agg(F.sum(value).cast(sum_type).alias("_total"))
+    openings = _openings(stage(totals, "running-totals"), keys, made, sum_type)
     opened = pieces.join(openings, group, "left")
     return opened.withColumn(
         out, F.when(F.col(value).isNotNull(), total + F.coalesce(F.col("_opening"), zero))
-    ).drop(*made, "_opening")
+    ).drop(*made, "_cut", "_opening")
 
 
 def _moment(instant: Column, block: Column) -> Column:
