@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import pii, quality, sharding
+from ledgerloom.llm import mixing, pii, quality, sharding
 from ledgerloom.llm.common import documents, query
 
 
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix of all sources takes each document."""
+    docs = documents(spark, sf_dir, "doc_id", "source", "text")
+    plan = mixing.mix(docs, mixing.size_of(F.col("text")))
+    return plan.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
+    )
+
+
 @query
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards by jump consistent hashing of doc_id."""
@@ -37,5 +47,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {fn.__name__: fn for fn in (op3_sharding, op5_quality_divergence, op10_personal_data)}
+QUERIES = {fn.__name__: fn for fn in (op1_mixing, op3_sharding, op5_quality_divergence, op10_personal_data)}
 ORACLES: dict[str, str] = {}
