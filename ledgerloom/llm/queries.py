@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, pii, quality, sharding
+from ledgerloom.llm import decontaminate, mixing, pii, quality, sharding
 from ledgerloom.llm.common import documents, query
 
 
@@ -34,6 +34,18 @@ def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside ten-word windows of benchmark items."""
+    found = decontaminate.decontaminate(
+        documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    )
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest(F.col("item_ids")).alias("items_sha256"),
+        "contaminated", "n_near",
+    )
+
+
 @query
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data of every document."""
@@ -47,5 +59,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {fn.__name__: fn for fn in (op1_mixing, op3_sharding, op5_quality_divergence, op10_personal_data)}
+QUERIES = {fn.__name__: fn for fn in (op1_mixing, op3_sharding, op5_quality_divergence, op7_decontamination, op10_personal_data)}
 ORACLES: dict[str, str] = {}
