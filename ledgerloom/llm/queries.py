@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, mixing, pii, quality, sharding
+from ledgerloom.llm import decontaminate, jaccard, mixing, pii, quality, sharding
 from ledgerloom.llm.common import documents, query
 
 
@@ -19,6 +19,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles agree by 90 % or more."""
+    return jaccard.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
 @query
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards by jump consistent hashing of doc_id."""
@@ -59,5 +65,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {fn.__name__: fn for fn in (op1_mixing, op3_sharding, op5_quality_divergence, op7_decontamination, op10_personal_data)}
+QUERIES = {fn.__name__: fn for fn in (op1_mixing, op2_near_duplicates, op3_sharding, op5_quality_divergence, op7_decontamination, op10_personal_data)}
 ORACLES: dict[str, str] = {}
