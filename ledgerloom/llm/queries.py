@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, jaccard, mixing, pii, quality, sharding
-from ledgerloom.llm.common import documents, query
+from ledgerloom.llm import decontaminate, jaccard, mixing, pii, quality, sharding, toxicity
+from ledgerloom.llm.common import crc_mod, documents, query
 
 
 @query
@@ -52,6 +52,23 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a model of three quarters of the labels."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels, crc_mod(F.col("doc_id"), 4) != 2)
+    scored = docs.select("doc_id", toxicity.toxicity(F.col("text"), model).alias("t"))
+    return scored.select(
+        "doc_id",
+        (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"),
+        F.col("t.score").alias("score"),
+        (F.col("t.score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.col("t.worst_start").alias("worst_start"),
+        F.col("t.worst_end").alias("worst_end"),
+    )
+
+
 @query
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data of every document."""
@@ -65,5 +82,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {fn.__name__: fn for fn in (op1_mixing, op2_near_duplicates, op3_sharding, op5_quality_divergence, op7_decontamination, op10_personal_data)}
+QUERIES = {fn.__name__: fn for fn in (op1_mixing, op2_near_duplicates, op3_sharding, op5_quality_divergence, op7_decontamination, op9_toxicity, op10_personal_data)}
 ORACLES: dict[str, str] = {}
