@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, jaccard, mixing, pii, quality, sharding, toxicity
+from ledgerloom.llm import decontaminate, jaccard, lm, mixing, pii, quality, sharding, toxicity
 from ledgerloom.llm.common import crc_mod, documents, query
 
 
@@ -52,6 +52,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document by models of six sevenths of them."""
+    return lm.score(documents(spark, sf_dir, "doc_id", "text"), crc_mod(F.col("doc_id"), 7) == 2)
+
+
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by a model of three quarters of the labels."""
@@ -82,5 +88,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {fn.__name__: fn for fn in (op1_mixing, op2_near_duplicates, op3_sharding, op5_quality_divergence, op7_decontamination, op9_toxicity, op10_personal_data)}
+QUERIES = {fn.__name__: fn for fn in (op1_mixing, op2_near_duplicates, op3_sharding, op5_quality_divergence, op7_decontamination, op8_lm_scoring, op9_toxicity, op10_personal_data)}
 ORACLES: dict[str, str] = {}
