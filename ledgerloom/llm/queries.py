@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, jaccard, lm, mixing, pii, quality, sharding, toxicity
+from ledgerloom.llm import decontaminate, jaccard, lm, mixing, pii, quality, repeats, sharding, toxicity
 from ledgerloom.llm.common import crc_mod, documents, query
 
 
@@ -40,6 +40,13 @@ def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document inside 100-byte strings that start earlier."""
+    cut = repeats.without_repeats(documents(spark, sf_dir, "doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside ten-word windows of benchmark items."""
@@ -88,5 +95,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {fn.__name__: fn for fn in (op1_mixing, op2_near_duplicates, op3_sharding, op5_quality_divergence, op7_decontamination, op8_lm_scoring, op9_toxicity, op10_personal_data)}
+QUERIES = {fn.__name__: fn for fn in (op1_mixing, op2_near_duplicates, op3_sharding, op5_quality_divergence, op6_repeated_substrings, op7_decontamination, op8_lm_scoring, op9_toxicity, op10_personal_data)}
 ORACLES: dict[str, str] = {}
