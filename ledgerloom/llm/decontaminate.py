@@ -265,6 +265,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, s
     )
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
+    """The rows of `docs` that no window of a benchmark item occurs in, with all their columns."""
+    found = decontaminate(docs, benchmark, length)
+    dirty = stage(
+        found.where("contaminated").select(F.col("doc_id").alias("_d"), F.col("body_hash").alias("_h")).distinct(),
+        "contaminated",
+    )
+    few = count_rows_up_to(dirty, BROADCAST_ROWS) <= BROADCAST_ROWS
+    rows = docs.select(
+        F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_row"),
+        F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_b"),
+    )
+    return rows.join(
+        F.broadcast(dirty) if few else dirty,
+        F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_b") == F.col("_h")),
+        "left_anti",
+    ).select("_row.*")
+
+
 def _checked(text, found):
     kind = pa.struct(
         [("n_words", pa.int64()), ("n_hit", pa.int64()), ("phrases", pa.list_(pa.string())), ("n_near", pa.int64())]

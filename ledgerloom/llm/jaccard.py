@@ -146,7 +146,7 @@ class Scheme:
         return np.unique(np.concatenate(keys))
 
 
-_SETS = "doc_id {id}, n_shingles long, sid long, lists array<long>, subsets array<long>"
+_SETS = "doc_id {id}, body_hash long, n_shingles long, sid long, lists array<long>, subsets array<long>"
 
 
 def set_id(elements: np.ndarray) -> int:
@@ -172,7 +172,7 @@ def _sets(docs: DataFrame, percent: int, width: int) -> DataFrame:
         for batch in batches:
             for piece in _pieces(batch):
                 sizes, sids, lists, subsets = [], [], [], []
-                for text in piece.column(1):
+                for text in piece.column(2):
                     elements = shingles(text.as_py(), known, width)
                     n = len(elements)
                     sid = set_id(elements) if n else 0
@@ -185,11 +185,14 @@ def _sets(docs: DataFrame, percent: int, width: int) -> DataFrame:
                     lists.append(scheme.list_keys(elements) if new else none)
                     subsets.append(scheme.subset_keys(elements) if new and n <= SMALL_MOST else none)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), _longs(lists), _longs(subsets)],
-                    names=["doc_id", "n_shingles", "sid", "lists", "subsets"],
+                    [
+                        piece.column(0), piece.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()),
+                        _longs(lists), _longs(subsets),
+                    ],
+                    names=["doc_id", "body_hash", "n_shingles", "sid", "lists", "subsets"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", F.xxhash64("text").alias("body_hash"), "text").mapInArrow(run, schema)
 
 
 def _pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -365,7 +368,7 @@ def links(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
-    """For each document: n_shingles and component_id, the smallest doc_id that links lead to, itself included.
+    """For each document: body_hash (of the text), n_shingles and component_id, the smallest doc_id that links lead to, itself included.
 
     Two documents link when their sets of `width`-word shingles have a Jaccard similarity of `percent` / 100 or more.
     Sets up to a size chosen by cost share the hash of a subset of fixed size, larger ones an entry of inverted lists
@@ -384,10 +387,38 @@ def near_duplicates(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stage(placed.join(least, "root").select("sid", "component_id"), "components")
     return (
-        sets.select("doc_id", "n_shingles", "sid")
+        sets.select("doc_id", "body_hash", "n_shingles", "sid")
         .join(named, (F.col("n_shingles") > 0) & (sets["sid"] == named["sid"]), "left")
         .select(
-            "doc_id", "n_shingles",
+            "doc_id", "body_hash", "n_shingles",
             F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         )
     )
+
+
+def one_of_each(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
+    """The rows of `docs` but for near duplicates: of each component the document with the smallest id stays.
+
+    Documents without shingles all stay. Of rows that agree in id and text, one stays. Rows that share the smallest id
+    of their component but not its text all stay. All columns are kept, whatever their names.
+    """
+    found = stage(near_duplicates(docs, percent, width), "near-duplicates")
+    dropped = found.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("_d"), F.col("body_hash").alias("_h")
+    )
+    few = count_rows_up_to(dropped, BROADCAST_ROWS) <= BROADCAST_ROWS
+    rows = docs.select(
+        F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_row"),
+        F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_b"),
+    )
+    kept = rows.join(
+        F.broadcast(dropped) if few else dropped,
+        F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_b") == F.col("_h")),
+        "left_anti",
+    )
+    names = found.where("n_shingles > 0").select("doc_id", "body_hash")
+    if names.count() > names.distinct().count():
+        # Repeated rows.
+        blank = F.coalesce(F.col("_row.text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*\z")
+        kept = kept.where(~blank).dropDuplicates(["_i", "_b"]).unionByName(kept.where(blank))
+    return kept.select("_row.*")

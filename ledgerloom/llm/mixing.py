@@ -223,18 +223,22 @@ def mix(df: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "sour
 
 def mixed(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows of the mix: each input row as often as the mix takes it, with the input's columns."""
-    names = df.columns
-    plan = mix(df, size_of(F.col(text))).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies"
+    names = [F.col(f"`{name}`") for name in df.columns]
+    plan = mix(df, size_of(F.col(text))).where("copies > 0").select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
+        F.col("copies").alias("_copies"),
+    )
+    rows = df.select(
+        F.struct(*names).alias("_row"), F.col("doc_id").alias("_i"), F.col("source").alias("_s"),
+        size_of(F.col(text)).alias("_n"),
     )
-    sized = df.withColumn("_n", size_of(F.col(text)))
     return (
-        sized.join(
-            plan.where("copies > 0"),
-            F.col("doc_id").eqNullSafe(F.col("_id"))
-            & F.col("source").eqNullSafe(F.col("_source"))
+        rows.join(
+            plan,
+            F.col("_i").eqNullSafe(F.col("_id"))
+            & F.col("_s").eqNullSafe(F.col("_source"))
             & (F.col("_n") == F.col("_size")),
         )
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
-        .select(*[F.col(f"`{name}`") for name in names])
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+        .select("_row.*")
     )

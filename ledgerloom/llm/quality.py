@@ -241,3 +241,11 @@ def quality(df: DataFrame, rules: Rules | None = None, keep: list[str] | None =
     narrow = df.select("doc_id", "lang", "text", *(keep or []))
     measured = stage(measures(narrow, rules).drop("text"), "quality")
     return judge(measured, references(measured, rules), rules)
+
+
+def good(df: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """The rows of the input that `quality` keeps, with all their columns, whatever their names."""
+    rows = df.select(
+        "doc_id", "lang", "text", F.struct(*[F.col(f"`{name}`") for name in df.columns]).alias("_row")
+    )
+    return quality(rows, rules, ["_row"]).where("kept").select("_row.*")

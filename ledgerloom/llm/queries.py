@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, jaccard, lm, mixing, pii, quality, repeats, sharding, toxicity
+from ledgerloom.llm import decontaminate, jaccard, licences, lm, mixing, pii, quality, repeats, sharding, toxicity
 from ledgerloom.llm.common import crc_mod, documents, query
 
 
@@ -31,6 +31,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir, "doc_id", "text"), 40)
 
 
+@query
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document by the sentences in it."""
+    return licences.licences(documents(spark, sf_dir, "doc_id", "text"))
+
+
 @query
 def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document by distance from its language."""
@@ -95,5 +101,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {fn.__name__: fn for fn in (op1_mixing, op2_near_duplicates, op3_sharding, op5_quality_divergence, op6_repeated_substrings, op7_decontamination, op8_lm_scoring, op9_toxicity, op10_personal_data)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    fn.__name__: fn
+    for fn in (
+        op1_mixing, op2_near_duplicates, op3_sharding, op4_licence_scan, op5_quality_divergence, op6_repeated_substrings,
+        op7_decontamination, op8_lm_scoring, op9_toxicity, op10_personal_data,
+    )
+}
+ORACLES: dict[str, str] = {"op4_licence_scan": licences.oracle()}
