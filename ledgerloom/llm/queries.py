@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, jaccard, licences, lm, mixing, pii, quality, repeats, sharding, toxicity
+from ledgerloom.llm import decontaminate, jaccard, licences, lm, mixing, pii, quality, repeats, sharding, sql, toxicity
 from ledgerloom.llm.common import crc_mod, documents, query
 
 
@@ -22,7 +22,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingles agree by 90 % or more."""
-    return jaccard.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+    found = jaccard.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @query
@@ -61,7 +62,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest(F.col("item_ids")).alias("items_sha256"),
-        "contaminated", "n_near",
+        "contaminated",
     )
 
 
@@ -108,4 +109,9 @@ QUERIES = {
         op7_decontamination, op8_lm_scoring, op9_toxicity, op10_personal_data,
     )
 }
-ORACLES: dict[str, str] = {"op4_licence_scan": licences.oracle()}
+ORACLES: dict[str, str] = {
+    "op2_near_duplicates": sql.NEAR_DUPLICATES,
+    "op3_sharding": sql.sharding_sql(40),
+    "op4_licence_scan": licences.oracle(),
+    "op7_decontamination": sql.DECONTAMINATION,
+}
