@@ -178,6 +178,8 @@ def _pieces(texts: DataFrame, repeated: DataFrame) -> DataFrame:
                         if known is None:
                             earliest[key] = here
                             continue
+                        if known == here:  # a repeated row
+                            continue
                         late = max(known, here)
                         earliest[key] = min(known, here)
                         # The number of its bytes stands in for the body of what is repeated as a whole.
@@ -306,7 +308,7 @@ def _sort_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = bodies.get((offset, body))
             if known is None:
                 bodies[(offset, body)] = here
-            else:
+            elif known != here:
                 late = max(known, here)
                 bodies[(offset, body)] = min(known, here)
                 found.append((*late, late[2] + len(body), None, None))
