@@ -234,9 +234,8 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
         .select("key", "least"),
         "shared-keys",
     )
-    few = count_rows_up_to(shared, BROADCAST_ROWS) <= BROADCAST_ROWS
     return (
-        postings.join(F.broadcast(shared) if few else shared, "key")
+        postings.join(shared, "key")
         .where("sid != least")
         .select(F.col("sid").alias("a"), F.col("least").alias("b"))
         .distinct()
