@@ -109,12 +109,12 @@ def _flight(sizes: list[float], counts: list[float], chances: list[float], rng:
 
 
 def _reserve(sizes: list[float], chances: list[float]) -> list[int]:
-    """Undecided units to be kept for the landing: sizes near a half, a quarter, an eighth ... of the largest."""
+    """Undecided units to be kept for the landing: the largest, and sizes near a half, a quarter, an eighth ... of it."""
     open_units = [i for i, p in enumerate(chances) if _EPSILON < p < 1 - _EPSILON]
     ranked = sorted(open_units, key=lambda i: (sizes[i], i))
     values = [sizes[i] for i in ranked]
     chosen: dict[int, None] = {}
-    for halving in range(1, LANDING + 1):
+    for halving in range(LANDING + 1):
         at = bisect.bisect_left(values, values[-1] / 2**halving) if values else 0
         while at < len(ranked) and ranked[at] in chosen:
             at += 1

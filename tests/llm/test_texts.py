@@ -213,8 +213,9 @@ def test_gradients():
         assert g[name][at] == pytest.approx((found[0] - found[1]) / 2e-4, rel=0.05, abs=2e-5)
 
 
-def test_each_token_is_scored_once():
+def test_each_token_is_scored_once(monkeypatch):
     """Scores in overlapping windows equal those of one window around each token, computed alone."""
+    monkeypatch.setattr(lm, "STEPS", 5)
     rng = np.random.default_rng(4)
     classes, within = lm.assign_classes(rng.integers(0, 50, 60), own=8, shared=4)
     model = lm.fit([np.append(rng.integers(1, 13, 200), 0).astype(np.int32)], classes, within)
@@ -333,7 +334,7 @@ def test_further_spans_need_checks_and_context():
     assert kinds("my ssn is 123-45-6789") == ["ssn"] and kinds("see 123-45-6789") == []
     assert kinds("credit card 378282246310005") == ["short_card"]
     assert kinds("call 555-867-5309 now") == ["local_phone"] and kinds("part 555-867-5309") == []
-    plain, near = pii.spans_of("378282246310005 4111111111111111")[0], pii.spans_of("visa card 4111111111111111")[0]
+    plain, near = pii.spans_of("4111111111111111")[0], pii.spans_of("visa card 4111111111111111")[0]
     assert near["score"] > plain["score"]
     assert pii.spans_of("a" * 200_000) == [] and pii.spans_of("1" * 100_000 + ".") == []
 
