@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.session import tune
-from ledgerloom.sources.shared import stage
+from ledgerloom.sources.shared import stage, with_local_folder
 
 #: Fixed value: what separates words, as a class for Java and Python patterns alike.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -21,12 +21,17 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table.select(*columns) if columns else table
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with the settings of this package and, where none is named, a folder for stages."""
+    return with_local_folder(tune(spark))
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Run a query in a session with the settings of this package."""
 
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(tune(spark), sf_dir)
+        return fn(ready(spark), sf_dir)
 
     return run
 
