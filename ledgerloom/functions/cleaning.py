@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 from ledgerloom.schema import MISSING_CATEGORY, MISSING_NAME, MONEY, NA_TOKENS, WIDE_MONEY
 
 
+# Entities that are decoded without Python; the ampersand has to be the last.
+_USUAL_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "#x27": "'", "amp": "&"}
+
+
 def null_if_na(col: Column) -> Column:
     """Null for the cell texts that stand for "no value"."""
     return F.when(~col.isin(*NA_TOKENS), col)
@@ -36,9 +40,17 @@ def _unescape(text: pd.Series) -> pd.Series:
 
 
 def decode_html(col: Column) -> Column:
-    """Decode HTML entities. Only texts that hold an ampersand are sent to Python."""
+    """Decode HTML entities.
+
+    The usual ones are replaced by built-in functions, the ampersand last, as what it leaves is not decoded again.
+    Only texts with other entities reach the Python function; it gets nulls for the rest.
+    """
     unescape = F.pandas_udf(_unescape, T.StringType())
-    return F.coalesce(unescape(F.when(col.contains("&"), col)), col)
+    usual = col
+    for entity, sign in _USUAL_ENTITIES.items():
+        usual = F.replace(usual, F.lit(f"&{entity};"), F.lit(sign))
+    others = col.rlike("&(?!(?:" + "|".join(_USUAL_ENTITIES) + ");)[#A-Za-z]")
+    return F.when(others, unescape(F.when(others, col))).otherwise(usual)
 
 
 def fold_name(col: Column) -> Column:

@@ -1,7 +1,8 @@
 """Day-first dates, as a column expression and as a driver-side value parser.
 
 Both read the same shapes: `25/02/2026`, `17 May 2025`, `20th June 27`, `June 19 27`, `2025-05-01`, each
-with an optional time. ISO dates are read as ISO. Texts without a full date are not dates.
+with an optional time. Blanks separate numbers as well as `/`, `.` and `-` do. ISO dates are read as ISO. A zone after
+the time is dropped, as ledger times have none. Texts without a full date are not dates.
 """
 
 from __future__ import annotations
@@ -30,12 +31,15 @@ _CLOCK = (
 _AFTERNOON = r"\b(?:0?[1-9]|1[01]):[0-9:]+ ?pm$"
 _AFTER_MIDNIGHT = r"\b12:[0-9:]+ ?am$"
 
+# A zone after a time of day.
+_ZONE = r"(\d:\d{2}(?:\.\d+)?) ?(?:z|utc|gmt|[+\-]\d{2}:?\d{2})$"
+
 # (date pattern, group of the year, of the month, of the day).
 _NUMBER_SHAPES = (
-    (r"(\d{1,2})[/.\-](0?[1-9]|1[0-2])[/.\-]" + _YEAR, 3, 2, 1),
+    (r"(\d{1,2})[/.\- ](0?[1-9]|1[0-2])[/.\- ]" + _YEAR, 3, 2, 1),
     # 05/13/2025 can only be read month first.
-    (r"(0?[1-9]|1[0-2])[/.\-](1[3-9]|2\d|3[01])[/.\-]" + _YEAR, 3, 1, 2),
-    (r"(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})", 1, 2, 3),
+    (r"(0?[1-9]|1[0-2])[/.\- ](1[3-9]|2\d|3[01])[/.\- ]" + _YEAR, 3, 1, 2),
+    (r"(\d{4})[/.\- ](\d{1,2})[/.\- ](\d{1,2})", 1, 2, 3),
     (r"(\d{4})(\d{2})(\d{2})", 1, 2, 3),
 )
 _NAME_SHAPES = (
@@ -114,6 +118,7 @@ def _any_shape(text: Column) -> Column:
     The text is rewritten to `@year-month-day clock`, each step using the one before once, so the expression
     stays small; only texts that a shape recognised carry the mark.
     """
+    text = F.regexp_replace(text, _ZONE, "$1")
     named = _rewritten(text, _NAME_SHAPES)
     for number, month in enumerate(_MONTHS, start=1):
         named = F.replace(named, F.lit(f"-{month}-"), F.lit(f"-{number}-"))
@@ -144,7 +149,7 @@ def as_timestamp(value: str | date | datetime) -> datetime:
         return datetime.combine(value, time.min)
     if not isinstance(value, str):
         raise TypeError(f"Neither a date nor a text: {value!r}")
-    text = value.strip().lower()
+    text = re.sub(_ZONE, r"\1", value.strip().lower())
     for shapes in (_NUMBER_SHAPES, _NAME_SHAPES):
         pattern, (years, months, days, clock) = _any_of(shapes)
         found = re.match(pattern, text)

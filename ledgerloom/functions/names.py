@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterable
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -33,8 +34,25 @@ class NameMatch:
     n_candidates: int
 
 
+# Blanks and commas do not count when names are compared.
+_UNCOUNTED = str.maketrans("", "", " ,")
+
+
 def fold(name: str) -> str:
-    return name.lower().replace(" ", "").replace(",", "")
+    return name.translate(_UNCOUNTED).lower()
+
+
+class KnownNames:
+    """Candidates by folded name, in order, so that all with one beginning lie next to each other."""
+
+    def __init__(self, candidates: Iterable[str]):
+        self.original = {fold(candidate): candidate for candidate in candidates}
+        self.folded = sorted(self.original)
+
+    def beginning(self, query: str) -> list[str]:
+        """Up to two folded names that begin with the query: more than one is as good as many."""
+        place = bisect.bisect_left(self.folded, query)
+        return [name for name in self.folded[place : place + 2] if name.startswith(query)]
 
 
 def _letters(text: str) -> np.ndarray:
@@ -83,33 +101,30 @@ class CloseNames:
 
 def match_name(query: str, candidates: Iterable[str]) -> NameMatch:
     """Exact, then unique prefix, then one close match, then one substring match."""
-    names = {fold(candidate): candidate for candidate in candidates}
-    wanted = fold(query)
-    if wanted in names:
-        return NameMatch(names[wanted], "exact", 1)
-    started = [key for key in names if key.startswith(wanted)]
-    if len(started) == 1:
-        return NameMatch(names[started[0]], "prefix", 1)
-    index = CloseNames(list(names))
-    close = index.similar(wanted)
-    held = index.containing(wanted)
-    method, count, pick = settle(len(close), len(held), close, held)
-    return NameMatch(names[pick] if pick is not None else None, method, count)
+    known, wanted = KnownNames(candidates), fold(query)
+    begun = known.beginning(wanted)
+    if begun and begun[0] == wanted:  # the shortest of all that begin so
+        method, count, pick = "exact", 1, wanted
+    elif len(begun) == 1:
+        method, count, pick = "prefix", 1, begun[0]
+    else:
+        index = CloseNames(list(known.original))
+        close, held = index.similar(wanted), index.containing(wanted)
+        method, count, pick = settle(len(close), len(held), close, held)
+    return NameMatch(known.original.get(pick), method, count)
 
 
 def settle(
     n_close: int, n_held: int, close: list[str], held: list[str]
 ) -> tuple[str, int, str | None]:
-    """Decide between close and substring matches: (method, candidates, folded name)."""
-    if n_close == 1:
-        return "similar", 1, close[0]
-    if n_close > 1:
-        return "ambiguous", min(n_close, CLOSE_MATCHES), None
-    if n_held == 1:
-        return "substring", 1, held[0]
-    if n_held > 1:
-        return "ambiguous", n_held, None
-    return "none", 0, None
+    """Decide between close and substring matches: (method, candidates, folded name).
+
+    Close matches speak first; names that hold the query are asked only if nothing is close.
+    """
+    method, count, found = ("similar", min(n_close, CLOSE_MATCHES), close) if n_close else ("substring", n_held, held)
+    if count == 0:
+        return "none", 0, None
+    return (method, 1, found[0]) if count == 1 else ("ambiguous", count, None)
 
 
 def resolve_name(query: str, candidates: Iterable[str]) -> str:

@@ -43,8 +43,6 @@ COMPARISONS = {">=": "gte", "<=": "lte", "==": "same", "!=": "differs", ">": "gt
 ABSOLUTE_TOLERANCE = 1e-8
 RELATIVE_TOLERANCE = 1e-5
 
-_TOLERANCE = re.compile(r"(?P<anchor>[+-]?\d+(\.\d+)?)\((?P<reach>\d+|\d*\.\d+)\)")
-
 
 @dataclass(frozen=True)
 class Text:
@@ -97,10 +95,9 @@ def read_setting(setting: Any, dialect: str = FRAME) -> Test:
 def read_shorthand(text: str) -> Test | None:
     """Comparison and tolerance shorthand; None when the text is neither."""
     bare = text.strip()
-    ranged = _TOLERANCE.fullmatch(bare)
-    if ranged:
-        anchor, reach = Decimal(ranged["anchor"]), Decimal(ranged["reach"])
-        return Test("between", (anchor - reach, anchor + reach))
+    ends = _tolerance(bare)
+    if ends is not None:
+        return Test("between", ends)
     for sign, op in COMPARISONS.items():
         operand = bare.removeprefix(sign).strip()
         if bare.startswith(sign) and operand:
@@ -111,6 +108,20 @@ def read_shorthand(text: str) -> Test | None:
     return None
 
 
+def _tolerance(bare: str) -> tuple[Decimal, Decimal] | None:
+    """The ends of `middle(reach)`, both plain decimal numbers and the reach without a sign."""
+    middle, bracket, rest = bare.partition("(")
+    if not bracket or not rest.endswith(")"):
+        return None
+    reach = rest[:-1]
+    unsigned = middle[1:] if middle[:1] in ("+", "-") else middle
+    for digits, may_lack_units in ((unsigned, False), (reach, True)):
+        units, point, decimals = digits.partition(".")
+        if not (units + decimals).isdecimal() or (point and not decimals) or not (units or may_lack_units):
+            return None
+    return Decimal(middle) - Decimal(reach), Decimal(middle) + Decimal(reach)
+
+
 def _read_text(text: str) -> Test:
     if text.startswith(CONTAINS_SIGN):
         return Test("contains", text[1:])

@@ -21,9 +21,18 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     )
 
 
-def not_stored(df: DataFrame, ledger: DataFrame, keys: list[str] = list(UNIQUE_KEY)) -> DataFrame:
-    """Rows whose key the ledger does not hold. Both sides are unique on the key, so neither is skewed."""
-    return df.join(ledger.select(*keys), keys, "left_anti")
+def not_stored(
+    df: DataFrame, ledger: DataFrame, keys: list[str] = list(UNIQUE_KEY), small: bool = False
+) -> DataFrame:
+    """Rows whose key the ledger does not hold. Both sides are unique on the key, so neither is skewed.
+
+    `small` says that `df` has been counted and may be broadcast: the ledger is then cut to the keys of the batch
+    where it is read, and only those move.
+    """
+    held = ledger.select(*keys)
+    if small:
+        held = held.join(F.broadcast(df.select(*keys)), keys, "left_semi")
+    return df.join(held, keys, "left_anti")
 
 
 def merge(ledger: DataFrame, staged: DataFrame, order: list[str], keys: list[str] = list(UNIQUE_KEY)) -> DataFrame:

@@ -13,38 +13,18 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.names import resolve_name
 from ledgerloom.functions.predicates import FRAME, LEDGER, predicate, read_setting
 
-# Longer membership lists are joined instead of being written into the predicate.
-LONG_LIST = 1000
-
-
 class NoRows(ValueError):
     """A filter that had to find rows found none."""
 
 
 def where_all(df: DataFrame, settings: Mapping[str, Any], dialect: str = FRAME) -> DataFrame:
     """Rows that satisfy every setting. Column names may be abbreviated or misspelt."""
-    joined: list[tuple[str, list]] = []
-    tests: list[Column] = []
+    tests = []
     for name, setting in settings.items():
         column = resolve_name(name, df.columns)
-        test = read_setting(setting, dialect)
-        if test.op == "in" and len(test.value) > LONG_LIST and None not in test.value:
-            joined.append((column, test.value))
-        else:
-            tests.append(predicate(df[column], df.schema[column].dataType, test, dialect))
-    kept = df.where(reduce(and_, tests)) if tests else df
-    for column, values in joined:
-        kept = _member_rows(kept, column, values)
-    return kept
-
-
-def _member_rows(df: DataFrame, column: str, values: list) -> DataFrame:
-    """Long membership lists. The list came from the driver, so it fits a broadcast."""
-    dtype = df.schema[column].dataType
-    members = df.sparkSession.createDataFrame(
-        [(str(value),) for value in set(values)], "member string"
-    ).select(F.col("member").try_cast(dtype).alias("member"))
-    return df.join(F.broadcast(members), df[column] == members.member, "left_semi")
+        # Lists of any length become one predicate; Catalyst turns long ones into a hash set.
+        tests.append(predicate(df[column], df.schema[column].dataType, read_setting(setting, dialect), dialect))
+    return df.where(reduce(and_, tests)) if tests else df
 
 
 def all_of(df: DataFrame, settings: Mapping[str, Any], dialect: str = FRAME) -> Column:

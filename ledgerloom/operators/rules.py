@@ -134,7 +134,9 @@ def apply_rules(
     if not targets:
         return df.withColumn(changed, F.lit(False)) if changed else df
     new = {column: f"_new_{column}" for column in targets}
-    current = df.withColumns({name: F.col(column) for column, name in new.items()})
+    # Between passes a number keeps all its places: it is rounded once, after the last rule.
+    between = {column: _running_type(df.schema[column].dataType, column, ordered) for column in targets}
+    current = df.withColumns({name: F.col(column).cast(between[column]) for column, name in new.items()})
     for start in range(0, len(ordered), per_pass):
         if start:
             current = stage(current, "rules")
@@ -143,18 +145,39 @@ def apply_rules(
         hits = [matches(current, rule, folded) for rule in batch]
         current = prepared.withColumns(
             {
-                name: _changed(F.col(name), df.schema[column].dataType, column, batch, hits)
+                name: _changed(F.col(name), df.schema[column].dataType, between[column], column, batch, hits)
                 for column, name in new.items()
             }
         ).drop(*[f"_upper_{column}" for column in folded])
-    after = [F.col(new[column]).alias(column) if column in new else F.col(column) for column in df.columns]
+    final = {column: _final(F.col(name), df.schema[column].dataType) for column, name in new.items()}
+    after = [final[column].alias(column) if column in new else F.col(column) for column in df.columns]
     if changed:
-        differs = reduce(or_, [~F.col(column).eqNullSafe(F.col(name)) for column, name in new.items()])
+        differs = reduce(or_, [~F.col(column).eqNullSafe(final[column]) for column in new])
         after.append(differs.alias(changed))
     return current.select(*after)
 
 
-def _changed(value: Column, dtype: T.DataType, column: str, rules: list[Rule], hits: list[Column]) -> Column:
+def _running_type(dtype: T.DataType, column: str, rules: list[Rule]) -> T.DataType:
+    """The type that holds a column between rules: a decimal with the places of every step."""
+    if not isinstance(dtype, T.DecimalType):
+        return dtype
+    places = [
+        -Decimal(str(action.value)).as_tuple().exponent
+        for rule in rules
+        for action in rule.actions
+        if action.apply_to == column and action.operation in ("increment", "decrement")
+    ]
+    scale = min(max([dtype.scale, *places]), 38 - (dtype.precision - dtype.scale))
+    return T.DecimalType(38, scale)
+
+
+def _final(value: Column, dtype: T.DataType) -> Column:
+    return (F.bround(value, dtype.scale) if isinstance(dtype, T.DecimalType) else value).cast(dtype)
+
+
+def _changed(
+    value: Column, dtype: T.DataType, running: T.DataType, column: str, rules: list[Rule], hits: list[Column]
+) -> Column:
     """Fold the actions on one column. Each step refers to the value before it once only."""
     steps = [
         (hit, action)
@@ -166,9 +189,12 @@ def _changed(value: Column, dtype: T.DataType, column: str, rules: list[Rule], h
     if edited:
         value = F.coalesce(value, F.when(reduce(or_, edited), F.lit("")))
     sets: list[Column] = []
+    adds: list[Column] = []
     for hit, action in steps:
+        if adds and action.operation not in ("increment", "decrement"):
+            value, adds = _added(value, adds, running), []
         if action.operation == "set":
-            sets.append(F.when(hit, _literal(action.value, dtype)))
+            sets.append(F.when(hit, _literal(action.value, dtype).cast(running)))
             continue
         value = _latest(sets, value)
         sets = []
@@ -178,11 +204,16 @@ def _changed(value: Column, dtype: T.DataType, column: str, rules: list[Rule], h
             value = F.concat(F.when(hit, F.lit(str(action.value))).otherwise(F.lit("")), value)
         else:
             step = Decimal(str(action.value)) * (1 if action.operation == "increment" else -1)
-            value = value + F.when(hit, F.lit(step)).otherwise(F.lit(0))
-    value = _latest(sets, value)
-    if isinstance(dtype, T.DecimalType):
-        value = F.bround(value, dtype.scale)
-    return value.cast(dtype)
+            adds.append(F.when(hit, F.lit(step)).otherwise(F.lit(0)).cast(running))
+    if adds:
+        value = _added(value, adds, running)
+    return _latest(sets, value).cast(running)
+
+
+def _added(value: Column, steps: list[Column], running: T.DataType) -> Column:
+    """The value plus all steps, as one flat sum: nested additions of many rules would be too deep a tree."""
+    total = F.aggregate(F.array(*steps), F.lit(0).cast(running), lambda a, b: (a + b).cast(running))
+    return (value + total).cast(running)
 
 
 def _latest(sets: list[Column], value: Column) -> Column:

@@ -30,11 +30,19 @@ def month_of(when: str = "date") -> Column:
     return F.date_trunc("month", F.col(when)).cast("timestamp_ntz")
 
 
-def account_summary(transactions: DataFrame) -> DataFrame:
-    """Per account: outgoings, incomings, net (their sum), turnover (incomings minus outgoings), rows."""
+def account_summary(transactions: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
+    """Per account: outgoings, incomings, net (their sum), turnover (incomings minus outgoings), rows.
+
+    With `accounts`, exactly those are listed; one without transactions has zeros.
+    """
     sums = transactions.groupBy("account_name").agg(
         outgoings().alias("outgoings"), incomings().alias("incomings"), F.count("*").alias("n_tx")
     )
+    if accounts is not None:
+        names = accounts.select(F.col("name").alias("account_name"))
+        sums = names.join(sums, "account_name", "left").withColumns(
+            {column: F.coalesce(column, F.lit(0).cast(sums.schema[column].dataType)) for column in sums.columns[1:]}
+        )
     return sums.select(
         "account_name",
         "outgoings",

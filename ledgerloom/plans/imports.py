@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.dedupe import first_wins, not_stored
-from ledgerloom.operators.lookup import lookup
+from ledgerloom.operators.lookup import fits
 from ledgerloom.operators.rules import Rule, apply_rules
 from ledgerloom.plans.standardise import REASON, to_canonical, to_ledger_values, with_balance
 from ledgerloom.schema import TRANSACTIONS, UNIQUE_KEY
@@ -58,28 +58,30 @@ def import_statements(
 ) -> ImportResult:
     """Import `(account, path)` pairs; a path may be a file, a folder or a pattern.
 
+    A file that an account lists several times counts once; one that several accounts list goes to each of them.
     The driver holds the list of files, as it does for any scan, and never their rows.
     """
     spark = store.spark
     stamp = imported_at or datetime.now()
-    files = [(file, account) for account, path in manifest for file in _files(store, path)]
-    listed = spark.createDataFrame(files, "path string, account_name string")
-    banks = dict(
-        lookup(listed.select("account_name").distinct(), store.read("accounts"), "account_name", "name", "inner")
-        .select("account_name", "bank")
-        .collect()  # at most one short row per listed file
-    )
-    unknown = sorted({account for _, account in files} - set(banks))
+    asked = list(dict.fromkeys(manifest))
+    names = spark.createDataFrame([(account,) for account in {account for account, _ in asked}], "name string")
+    banks = {row.name: row.bank for row in store.read("accounts").join(names, "name", "left_semi").collect()}
+    unknown = sorted({account for account, _ in asked} - set(banks))
     if unknown:
         raise ValueError(f"No such account: {', '.join(unknown)}")
-    by_bank: dict[str, list[str]] = defaultdict(list)
+    by_path: dict[str, list[str]] = defaultdict(list)
+    for account, path in asked:
+        by_path[path].append(account)
+    files = sorted({(file, account) for path, accounts in by_path.items() for file in _files(store, path) for account in accounts})
+    by_bank: dict[str, list[tuple[str, str]]] = defaultdict(list)
     for file, account in files:
-        by_bank[banks[account]].append(file)
+        by_bank[banks[account]].append((file, account))
     parts = []
-    for bank, paths in sorted(by_bank.items()):
+    for bank, own in sorted(by_bank.items()):
         layout = find_layout(bank)
-        parts.append((layout, read_statements(spark, paths, layout, multi_line, staged=True)))
-    return import_rows(store, parts, listed, f"{stamp:%Y-%m-%dT%H:%M:%S.%f}", stamp, rules, strict)
+        raw = read_statements(spark, sorted({file for file, _ in own}), layout, multi_line, staged=True)
+        parts.append((layout, raw, spark.createDataFrame(own, "path string, account_name string")))
+    return import_rows(store, parts, f"{stamp:%Y-%m-%dT%H:%M:%S.%f}", stamp, rules, strict)
 
 
 def import_folder(
@@ -100,7 +102,7 @@ def import_folder(
     raw = read_statements(store.spark, [folder], layout, multi_line, staged=True)
     files = raw.files.withColumn("account_name", account_of(F.col("path")))
     require_accounts(store, files)
-    return import_rows(store, [(layout, raw)], files, f"{stamp:%Y-%m-%dT%H:%M:%S.%f}", stamp, rules, strict)
+    return import_rows(store, [(layout, raw, files)], f"{stamp:%Y-%m-%dT%H:%M:%S.%f}", stamp, rules, strict)
 
 
 def require_accounts(store: Store, files: DataFrame) -> None:
@@ -118,36 +120,43 @@ def _files(store: Store, path: str) -> list[str]:
 
 def import_rows(
     store: Store,
-    parts: list[tuple[Layout, RawStatements]],
-    files: DataFrame,
+    parts: list[tuple[Layout, RawStatements, DataFrame]],
     import_key: str,
     imported_at: datetime,
     rules: Iterable[Rule] = (),
     strict: bool = False,
 ) -> ImportResult:
-    """Standardise, register and append rows that have been read; `files` maps `path` to `account_name`."""
-    canonical = [(layout, raw.hot_rows, to_canonical(raw.rows, layout)) for layout, raw in parts]
-    rejected_files = _all(raw.rejected_files for _, raw in parts)
+    """Standardise, register and append rows that have been read.
+
+    Each part has its layout, its rows, and a table of `path` and `account_name`: a file may have several accounts.
+    """
+    canonical = [(layout, raw, files, to_canonical(raw.rows, layout)) for layout, raw, files in parts]
+    rejected_files = _all(raw.rejected_files for _, raw, _ in parts)
     rejected_rows = _all(rows.where(F.col(REASON).isNotNull()) for *_, rows in canonical)
     if strict:
-        for layout, raw in parts:
+        for layout, raw, _ in parts:
             require_all_files(raw, layout)
         bad = rejected_rows.select("_src_file", "_row", REASON).limit(1).collect()
         if bad:
             raise RejectedRows(f"{bad[0]._src_file}, row {bad[0]._row}: bad {bad[0][REASON]}")
 
-    statements = files.join(rejected_files, F.col("path") == F.col("source_file"), "left_anti").select(
+    fitting = _all(
+        files.join(raw.rejected_files, F.col("path") == F.col("source_file"), "left_anti") for _, raw, files in parts
+    )
+    statements = fitting.select(
         natural_id("account_name", "path", F.lit(import_key)).alias("id"),
         F.lit(imported_at).alias("created_at"),
         F.col("account_name").alias("account"),
         F.lit(imported_at).alias("import_timestamp"),
         F.col("path").alias("source_file"),
     )
-    good = _all(
-        to_ledger_values(with_balance(rows.where(F.col(REASON).isNull()).drop(REASON, RAW_LINE), layout, hot_rows))
-        for layout, hot_rows, rows in canonical
+    named = _all(
+        # Balances run over a file before its rows are given to its accounts.
+        to_ledger_values(with_balance(rows.where(F.col(REASON).isNull()).drop(REASON, RAW_LINE), layout, raw.hot_rows))
+        .join(files.withColumnRenamed("path", "_path"), F.col("_src_file") == F.col("_path"))
+        .drop("_path")
+        for layout, raw, files, rows in canonical
     )
-    named = lookup(good, files, "_src_file", "path", "inner")
     rows = named.withColumn("imported_from", natural_id("account_name", "_src_file", F.lit(import_key)))
     staged = stage(first_wins(apply_rules(rows, rules), list(UNIQUE_KEY), _ORDER), "import")
     register_statements(store, statements)
@@ -162,7 +171,7 @@ def _all(frames: Iterable[DataFrame]) -> DataFrame:
 def register_statements(store: Store, statements: DataFrame) -> None:
     """One history row per imported file; a repeated run of the same import adds nothing."""
     known = store.read("imported_statements").select("id")
-    store.append("imported_statements", statements.join(known, "id", "left_anti"))
+    store.append("imported_statements", not_stored(statements, known, ["id"], small=fits(statements)))
 
 
 def to_transactions(rows: DataFrame, stamp: datetime) -> DataFrame:
@@ -186,4 +195,4 @@ def append_transactions(store: Store, staged: DataFrame, stamp: datetime) -> Non
     new = to_transactions(staged, stamp)
     months = store.months_of(new)
     ledger = store.read("transactions").where(F.col("month").isin(months))
-    store.append("transactions", not_stored(new, ledger))
+    store.append("transactions", not_stored(new, ledger, small=fits(new)))

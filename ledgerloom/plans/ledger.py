@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions.cleaning import known_category, known_name, quantise
-from ledgerloom.functions.names import AmbiguousMatch, NoMatch
+from ledgerloom.functions.cleaning import fold_name, known_category, known_name, quantise
+from ledgerloom.functions.names import AmbiguousMatch, NoMatch, fold
 from ledgerloom.functions.predicates import LEDGER
 from ledgerloom.operators import relations, totals
 from ledgerloom.operators.dedupe import first_wins
@@ -107,6 +107,9 @@ class Ledger:
 
     def resolve_account(self, name: str) -> str:
         """The account meant by a possibly misspelt name."""
+        exact = self.accounts.where(fold_name(F.col("name")) == fold(name)).select("name").limit(2).collect()
+        if len(exact) == 1:
+            return exact[0].name
         wanted = self.spark.createDataFrame([(name,)], "wanted string")
         found = resolve_names(wanted, "wanted", self.accounts, "name").collect()[0]
         if found.method == "none":
@@ -132,8 +135,13 @@ class Ledger:
     def add_transactions(
         self, account: str, rows: DataFrame, order: list[str], imported_from: str | None = None
     ) -> None:
-        """Insert or ignore canonical rows; of rows with one key, the first in `order` counts."""
+        """Insert or ignore canonical rows; of rows with one key, the first in `order` counts.
+
+        `imported_from`, if given, must be the id of a registered statement.
+        """
         name = self.resolve_account(account)
+        if imported_from is not None and by_id(self.statements, imported_from).isEmpty():
+            raise ValueError(f"No statement has the id {imported_from!r}")
         shaped = rows.select(
             *[F.col(c) for c in CANONICAL_COLUMNS if c not in ("name", "category", "amount", "balance")],
             known_name(F.col("name")).alias("name"),
@@ -178,11 +186,12 @@ class Ledger:
     # Totals
 
     def account_summary(self) -> DataFrame:
-        return totals.account_summary(self.transactions)
+        return totals.account_summary(self.transactions, self.accounts)
 
     def summary_of(self, name: str) -> DataFrame:
         """Outgoings, incomings, net and turnover of one account."""
-        return totals.account_summary(self.from_account(name))
+        account = self.resolve_account(name)
+        return totals.account_summary(relations.from_account(self.transactions, account), by_name(self.accounts, account))
 
     def dashboard(self, categories: list[str] | None = None, **filters: Any) -> DataFrame:
         rows = retrieve.retrieve_transactions(self.transactions, **filters)
@@ -211,6 +220,10 @@ class Ledger:
     def apply_rules(self) -> None:
         """Apply the stored rules to the stored transactions."""
         rules = load_rules(self.rules)
+        # The key of a stored row is what its id is made from, and no two rows may share one.
+        moved = sorted({a.apply_to for rule in rules for a in rule.actions} & {*UNIQUE_KEY, "id", "month"})
+        if moved:
+            raise ValueError(f"Rules cannot change {', '.join(moved)} of stored transactions")
         self._rewrite(lambda rows: apply_rules(rows, rules, changed=_CHANGED))
 
     def reclassify(self, category: str, /, **filters: Any) -> None:

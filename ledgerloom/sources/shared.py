@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,19 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder name under the session's `spark.checkpoint.dir`.
-
-    Only a local session without that setting falls back to a temporary folder.
-    """
+    """A new folder name under the session's `spark.checkpoint.dir`, which must be a folder that all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
-        base = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def with_local_folder(spark: SparkSession) -> SparkSession:
+    """For sessions on one machine only: name a temporary folder if none is set. Elsewhere nothing is changed."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None and re.match(r"local(\[|$)", spark.sparkContext.master):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ledgerloom-"))
+    return spark
+
+
 def stage(df: DataFrame, purpose: str, folder: str | None = None) -> DataFrame:
     """Write the rows to a shared folder and read them back.
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -114,7 +116,11 @@ def _cells(spark: SparkSession, paths: list[str], layout: Layout, multi_line: bo
 
 
 def locate(cells: DataFrame) -> DataFrame:
-    """Add where each row was read: its file and the start of its block."""
+    """Add where each row was read: its file and the start of its block. Lines of blanks are no rows."""
+    # Reading by blocks drops them in the reader; whole files are read with them.
+    others = [F.col(name).isNull() for name in cells.columns if name not in ("_c0", RAW_LINE)]
+    blank = reduce(and_, others, F.coalesce("_c0", F.lit("")).rlike(r"^[\x00-\x20]*$"))
+    cells = cells.where(~(blank & F.col(RAW_LINE).isNotNull()))
     # Spark refuses to read nothing but the malformed line, so it is tied to a cell.
     raw_line = F.when(F.col(RAW_LINE).isNotNull(), F.coalesce(F.col(RAW_LINE), F.col("_c0")))
     return cells.withColumn(RAW_LINE, raw_line).select(

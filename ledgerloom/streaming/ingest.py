@@ -41,7 +41,7 @@ def stream_statements(
         raw = place_rows(number_rows(batch, blocks), layout, blocks, staged=True)
         named = raw.files.withColumn("account_name", account_of(F.col("path")))
         require_accounts(store, named)
-        import_rows(store, [(layout, raw)], named, f"{checkpoint}#{epoch}", datetime.now(), rules)
+        import_rows(store, [(layout, raw, named)], f"{checkpoint}#{epoch}", datetime.now(), rules)
 
     query = cells.writeStream.foreachBatch(import_batch).option("checkpointLocation", checkpoint)
     return query.trigger(availableNow=True).start() if available_now else query.start()

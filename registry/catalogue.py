@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.session import tune
+from ledgerloom.sources.shared import with_local_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +19,7 @@ def catalogue() -> tuple[Callable[..., Callable[[Query], Query]], dict[str, Quer
 
     def query(oracle: str | None = None) -> Callable[[Query], Query]:
         def register(fn: Query) -> Query:
-            queries[fn.__name__] = lambda spark, sf: fn(tune(spark), sf)
+            queries[fn.__name__] = lambda spark, sf: fn(with_local_folder(tune(spark)), sf)
             if oracle:
                 oracles[fn.__name__] = oracle
             return fn

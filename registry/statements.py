@@ -23,11 +23,11 @@ from registry.views import STATEMENTS, statements, table, with_views
 query, QUERIES, ORACLES = catalogue()
 
 
-_CHASE_HEAD = ['"Statement of account"', '"Date","Time","Transaction Type","Transaction Description","Amount","Currency","Balance"']
-_LLOYDS_HEAD = ["Transaction Date,Transaction Cleared Date,Transaction Type,Transaction Description,Transaction Amount"]
+_CHASE_HEAD = ['"Account overview"', '"Day","Clock","Kind","Who","Sum","Money","Left"']
+_LLOYDS_HEAD = ["Booked,Cleared,Kind,Who,Sum"]
 _MONZO_HEAD = [
-    "Transaction ID,Date,Time,Type,Name,Emoji,Category,Amount,Currency,Local amount,Local currency,"
-    "Notes and #tags,Address,Receipt,Description,Category split,Money Out,Money In"
+    "Key,Day,Clock,Kind,Who,Sign,Group,Sum,Money,Foreign sum,Foreign money,"
+    "Remarks,Place,Slip,Text,Split,Spent,Got"
 ]
 
 
