@@ -22,13 +22,13 @@ ANCHOR = 40
 #: Distinct pieces of one anchor that are sorted together; an anchor with more is cut into parts.
 PIECES = 32
 #: Bytes whose suffixes are sorted in one go, text by text.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 400_000
 #: Up to so many repeated anchors (8 bytes each) travel to the tasks as a filter; more are joined by a shuffle.
 FILTER_ANCHORS = 2_000_000
 #: Up to so many rows of a few numbers are broadcast.
 BROADCAST_ROWS = 500_000
 #: Pieces that a task remembers to merge copies before the shuffle.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 #: Bytes of a long text that are hashed at once.
 SEGMENT = 1 << 19
 
