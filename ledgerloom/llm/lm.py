@@ -23,15 +23,17 @@ SAMPLE = 2000
 #: Words of one document of the sample that training may see.
 SAMPLE_WORDS = 4000
 #: The most frequent subwords have a class of their own; the others share classes of about equal weight.
-OWN, SHARED = 319, 64
+OWN, SHARED = 447, 64
+#: Classes are predicted in two steps: a group of so many neighbouring classes, then one of them.
+SPAN = 16
 #: Context window, and how far one window is from the next: each token is scored in one of them only.
 CONTEXT, STRIDE = 32, 24
 WIDTH, INNER = 32, 64
-STEPS, BATCH, RATE = 240, 96, 0.006
+STEPS, BATCH, RATE = 220, 96, 0.006
 #: Text of one block of documents: its words are numbered and counted together.
 BLOCK_BYTES, BLOCK_DOCS = 8_000_000, 4096
 #: Windows that are computed at once.
-WINDOWS = 128
+WINDOWS = 256
 #: Longer words are cut for the tokenizer, whose time grows faster than their length.
 PIECE = 64
 
@@ -73,7 +75,8 @@ class Model:
 
     classes: np.ndarray  # of each subword id
     within: np.ndarray  # log10 share of each subword id in its class
-    follows: np.ndarray  # log odds of a class after another, from counts
+    group_follows: np.ndarray  # log odds of a group after a class, from counts: [class, group]
+    class_follows: np.ndarray  # log odds of a class in its group after a class: [group, class before, class in it]
     weights: dict[str, np.ndarray]
 
 
@@ -100,13 +103,14 @@ def new_weights(n_classes: int, rng: np.random.Generator) -> dict[str, np.ndarra
     def normal(*shape: int, scale: float) -> np.ndarray:
         return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-    d = WIDTH
+    d, groups = WIDTH, n_classes // SPAN
     return {
+        "group": normal(d, groups, scale=0.02), "group_bias": np.zeros(groups, np.float32),
         "token": normal(n_classes, d, scale=0.3), "place": normal(CONTEXT, d, scale=0.1),
         "q": normal(d, d, scale=d**-0.5), "k": normal(d, d, scale=d**-0.5), "v": normal(d, d, scale=d**-0.5),
         "o": normal(d, d, scale=d**-0.5), "w1": normal(d, INNER, scale=d**-0.5), "b1": np.zeros(INNER, np.float32),
-        "w2": normal(INNER, d, scale=INNER**-0.5), "out": normal(d, n_classes, scale=0.02),
-        "bias": np.zeros(n_classes, np.float32),
+        "w2": normal(INNER, d, scale=INNER**-0.5), "out": normal(groups, d, SPAN, scale=0.02),
+        "bias": np.zeros((groups, SPAN), np.float32),
     }
 
 
@@ -144,28 +148,55 @@ def forward(w: dict[str, np.ndarray], inputs: np.ndarray, since: int = 0) -> dic
     }
 
 
-def log_probabilities(weights: dict, follows: np.ndarray, hidden: np.ndarray, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the probabilities of the target classes; all arguments flat. `follows` has the bias."""
-    logits = follows[inputs]
-    logits += hidden @ weights["out"]
+def _chosen(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log probabilities of one entry of each row; the logits are used up."""
     np.minimum(logits, 80, out=logits)
-    chosen = logits[np.arange(len(targets)), targets].astype(np.float64)
+    chosen = logits[np.arange(len(at)), at].astype(np.float64)
     return chosen - np.log(np.exp(logits, out=logits).sum(-1).astype(np.float64))
 
 
+def log_probabilities(model: Model, hidden: np.ndarray, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the probabilities of the target classes; all arguments flat."""
+    w = model.weights
+    group, within = targets // SPAN, targets % SPAN
+    out = _chosen(hidden @ w["group"] + w["group_bias"] + model.group_follows[inputs], group)
+    order = np.argsort(group, kind="stable")
+    edges = np.searchsorted(group[order], np.arange(len(w["out"]) + 1))
+    for number in range(len(w["out"])):
+        own = order[edges[number] : edges[number + 1]]
+        if len(own):
+            logits = hidden[own] @ w["out"][number] + w["bias"][number] + model.class_follows[number][inputs[own]]
+            out[own] += _chosen(logits, within[own])
+    return out
+
+
 def gradients(model: Model, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray) -> tuple[float, dict]:
     """Mean loss of the valid places, and its derivatives."""
     w, f = model.weights, forward(model.weights, inputs)
     d = WIDTH
     flat = f["hidden"].reshape(-1, d)
-    p = _softmax(flat @ w["out"] + w["bias"] + model.follows[inputs.ravel()])
-    at, goal, ok = np.arange(targets.size), targets.ravel(), valid.ravel()
+    before, ok = inputs.ravel(), valid.ravel()
+    at, group, within = np.arange(targets.size), targets.ravel() // SPAN, targets.ravel() % SPAN
     count = max(1, int(ok.sum()))
-    loss = -float((np.log(p[at, goal] + 1e-30) * ok).sum() / count)
-    p[at, goal] -= 1
-    p *= (ok / count).astype(np.float32)[:, None]
-    g = {"out": flat.T @ p, "bias": p.sum(0)}
-    by_hidden = (p @ w["out"].T).reshape(f["hidden"].shape)
+    share = (ok / count).astype(np.float32)[:, None]
+    p_group = _softmax(flat @ w["group"] + w["group_bias"] + model.group_follows[before])
+    # Of each place, the classes of its target's group.
+    own = w["out"][group]
+    p_class = _softmax((flat[:, None, :] @ own)[:, 0] + w["bias"][group] + model.class_follows[group, before])
+    loss = -float(((np.log(p_group[at, group] + 1e-30) + np.log(p_class[at, within] + 1e-30)) * ok).sum() / count)
+    p_group[at, group] -= 1
+    p_class[at, within] -= 1
+    p_group *= share
+    p_class *= share
+    chosen_group = np.zeros((targets.size, len(w["out"])), np.float32)
+    chosen_group[at, group] = 1
+    spread = (flat[:, :, None] * p_class[:, None, :]).reshape(targets.size, -1)
+    g = {
+        "group": flat.T @ p_group, "group_bias": p_group.sum(0),
+        "out": (chosen_group.T @ spread).reshape(w["out"].shape), "bias": chosen_group.T @ p_class,
+    }
+    by_flat = p_group @ w["group"].T + (own @ p_class[:, :, None])[:, :, 0]
+    by_hidden = by_flat.reshape(f["hidden"].shape)
     by_inner = by_hidden @ w["w2"].T * (f["inner"] > 0)
     g["w2"] = f["inner"].reshape(-1, INNER).T @ by_hidden.reshape(-1, d)
     g["w1"] = f["joined"].reshape(-1, d).T @ by_inner.reshape(-1, INNER)
@@ -192,15 +223,17 @@ def gradients(model: Model, inputs: np.ndarray, targets: np.ndarray, valid: np.n
 def fit(streams: list[np.ndarray], classes: np.ndarray, within: np.ndarray, seed: int = 7) -> Model:
     """A model trained on streams of class ids, each ending in END, by Adam on random windows. Without streams the
     model stays as it was drawn, and predicts every class about alike."""
-    n = int(classes.max()) + 1
+    n = -(-(int(classes.max()) + 1) // SPAN) * SPAN
     rng = np.random.default_rng(seed)
     pairs = np.full((n, n), 0.02)
     for stream in streams:
         np.add.at(pairs, (np.concatenate(([END], stream[:-1])), stream), 1.0)
     # A class that was met a few times leans on how frequent the next class is at all.
-    overall = pairs.sum(0) / pairs.sum()
-    follows = np.log((pairs + 20 * overall) / (pairs.sum(1, keepdims=True) + 20)).astype(np.float32)
-    model = Model(classes, within, follows, new_weights(n, rng))
+    pairs += 20 * pairs.sum(0) / pairs.sum()
+    in_groups = pairs.reshape(n, -1, SPAN)
+    group_follows = np.log(in_groups.sum(2) / pairs.sum(1, keepdims=True)).astype(np.float32)
+    class_follows = np.log(in_groups / in_groups.sum(2, keepdims=True)).transpose(1, 0, 2).astype(np.float32)
+    model = Model(classes, within, group_follows, np.ascontiguousarray(class_follows), new_weights(n, rng))
     if not streams:
         return model
     inputs, targets, valid = zip(*(windows(s) for s in streams))
@@ -234,7 +267,6 @@ def score_streams(model: Model, stream: np.ndarray, starts: np.ndarray, lengths:
     out = np.zeros(len(starts))
     before = np.concatenate(([END], stream[:-1])).astype(np.int32)
     before[starts] = END
-    follows = model.follows + model.weights["bias"]
 
     def run(text: np.ndarray, begin: np.ndarray, since: int) -> None:
         places = np.arange(CONTEXT)
@@ -245,8 +277,7 @@ def score_streams(model: Model, stream: np.ndarray, starts: np.ndarray, lengths:
             hidden = forward(model.weights, inputs, since)["hidden"].reshape(-1, WIDTH)
             real = (first[:, None] + places[since:] < (starts + lengths)[own][:, None]).ravel()
             found = log_probabilities(
-                model.weights, follows, hidden[real],
-                inputs[:, since:].ravel()[real], stream[index[:, since:]].ravel()[real],
+                model, hidden[real], inputs[:, since:].ravel()[real], stream[index[:, since:]].ravel()[real]
             )
             np.add.at(out, np.repeat(own, CONTEXT - since)[real], found)
 
@@ -372,14 +403,16 @@ def train(spark: SparkSession, docs: DataFrame, totals: DataFrame, vocabulary: s
         for _ in batches:
             model = fit(streams, classes, within)
             buffer = io.BytesIO()
-            np.savez(buffer, follows=model.follows, **model.weights)
+            np.savez(
+                buffer, group_follows=model.group_follows, class_follows=model.class_follows, **model.weights
+            )
             yield pa.RecordBatch.from_arrays([pa.array([buffer.getvalue()], pa.binary())], names=["weights"])
 
     # A task trains on the bounded sample: its numpy keeps to the task's core, the driver's would take all.
     found = spark.range(1).coalesce(1).mapInArrow(run, "weights binary").first()
     with np.load(io.BytesIO(found.weights)) as arrays:
         weights = {name: arrays[name] for name in arrays.files}
-    return Model(classes, within, weights.pop("follows"), weights), ranks
+    return Model(classes, within, weights.pop("group_follows"), weights.pop("class_follows"), weights), ranks
 
 
 def score(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -419,8 +452,10 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULARY) -> Da
         ]
         return pa.concat_tables(parts)
 
+    # Of the vocabulary only the words travel again.
+    texts = blocks.select("block", "doc_ids", "held_out", "lengths", "codes", F.col("vocabulary.word").alias("words"))
     return (
-        blocks.groupBy("block")
+        texts.groupBy("block")
         .cogroup(counted.select("block", "at", "c").groupBy("block"))
         .applyInArrow(
             run,
@@ -433,7 +468,7 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULARY) -> Da
 def _scored(block: pa.Table, counts: pa.Table, model: Model, subwords: Subwords, n: int, v: int, ends: int) -> pa.Table:
     lengths = np.frombuffer(block["lengths"][0].as_py(), np.int32).astype(np.int64)
     codes = np.frombuffer(block["codes"][0].as_py(), np.int32)
-    words = block["vocabulary"].combine_chunks().flatten().field("word").to_pylist()
+    words = block["words"].combine_chunks().flatten().to_pylist()
     # The end is one more word of the block, after each document's own.
     known = np.zeros(len(words) + 1, np.int64)
     known[np.asarray(counts["at"])] = np.asarray(counts["c"])

@@ -195,9 +195,10 @@ def test_proximity(spark):
 
 def test_gradients():
     rng = np.random.default_rng(0)
-    classes, within = lm.assign_classes(rng.integers(0, 50, 60), own=8, shared=4)
-    streams = [np.append(rng.integers(1, 13, 40), 0).astype(np.int32)]
+    classes, within = lm.assign_classes(rng.integers(0, 50, 60), own=28, shared=4)
+    streams = [np.append(rng.integers(1, 33, 40), 0).astype(np.int32)]
     model = lm.fit([], classes, within)
+    model.group_follows, model.class_follows = (x.astype(np.float64) for x in (model.group_follows, model.class_follows))
     model.weights = {k: v.astype(np.float64) for k, v in model.weights.items()}
     inputs, targets, valid = lm.windows(streams[0])
     _, g = lm.gradients(model, inputs, targets, valid)
@@ -217,20 +218,24 @@ def test_each_token_is_scored_once(monkeypatch):
     """Scores in overlapping windows equal those of one window around each token, computed alone."""
     monkeypatch.setattr(lm, "STEPS", 5)
     rng = np.random.default_rng(4)
-    classes, within = lm.assign_classes(rng.integers(0, 50, 60), own=8, shared=4)
-    model = lm.fit([np.append(rng.integers(1, 13, 200), 0).astype(np.int32)], classes, within)
-    texts = [np.append(rng.integers(1, 13, n), 0).astype(np.int32) for n in (0, 1, 31, 32, 33, 55, 56, 57, 200)]
+    classes, within = lm.assign_classes(rng.integers(0, 50, 60), own=28, shared=4)
+    model = lm.fit([np.append(rng.integers(1, 33, 200), 0).astype(np.int32)], classes, within)
+    texts = [np.append(rng.integers(1, 33, n), 0).astype(np.int32) for n in (0, 1, 31, 32, 33, 55, 56, 57, 200)]
     lengths = np.array([len(t) for t in texts])
     starts = np.cumsum(lengths) - lengths
     got = lm.score_streams(model, np.concatenate(texts), starts, lengths)
-    follows = model.follows + model.weights["bias"]
+    w = model.weights
     for text, total in zip(texts, got):
         before, sum_ = np.concatenate(([0], text[:-1])), 0.0
         for at in range(len(text)):
             begin = 0 if at < lm.CONTEXT else -(-(at + 1 - lm.CONTEXT) // lm.STRIDE) * lm.STRIDE
             hidden = lm.forward(model.weights, before[None, begin : at + 1])["hidden"][0, -1]
-            logits = hidden @ model.weights["out"] + follows[before[at]]
-            sum_ += logits[text[at]] - np.log(np.exp(logits).sum())
+            group, within_ = divmod(int(text[at]), lm.SPAN)
+            for logits, own in (
+                (hidden @ w["group"] + w["group_bias"] + model.group_follows[before[at]], group),
+                (hidden @ w["out"][group] + w["bias"][group] + model.class_follows[group, before[at]], within_),
+            ):
+                sum_ += logits[own] - np.log(np.exp(logits).sum())
         assert total == pytest.approx(sum_ / math.log(10), rel=1e-4, abs=1e-4)
 
 
