@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -250,3 +252,34 @@ def table_count(spark, sf):
 @query("select o_orderpriority from orders")
 def field_elements(spark, sf):
     return totals.elements_of(table(spark, sf, "orders"), "o_orderpriority")
+
+
+_DAYS = [date(1993, 1, 1) + timedelta(days=n) for n in range(1200)]
+
+
+@query(
+    with_views(
+        TX_ORDERS,
+        query="""select 'date' as kind, count(*) n_rows from tx_orders
+            where date >= timestamp '1993-01-01' and date < timestamp '1993-01-01' + interval 1200 day
+              and date = date_trunc('day', date)
+        union all select 'amount', count(*) from tx_orders where abs(amount) between 10000 and 10014.99 and amount > 0
+        union all select 'text', count(*) from tx_orders where cast(account_name as int) between 1 and 1500""",
+    )
+)
+def filter_in_long(spark, sf):
+    """Membership lists above a thousand values: day-first texts, exact numbers and texts."""
+    orders = tx_orders(spark, sf)
+    lists = {
+        "date": [f"{day:%d/%m/%Y}" for day in _DAYS],
+        "amount": [Decimal(cents) / 100 for cents in range(1_000_000, 1_001_500)],
+        "text": [str(number) for number in range(1, 1501)],
+    }
+    columns = {"date": "date", "amount": "amount", "text": "account_name"}
+    counts = [
+        filter_ledger(orders, **{columns[kind]: values})
+        .agg(F.count("*").alias("n_rows"))
+        .select(F.lit(kind).alias("kind"), "n_rows")
+        for kind, values in lists.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from ledgerloom.functions.predicates import LEDGER
 from ledgerloom.operators import relations, totals
 from ledgerloom.operators.dedupe import first_wins, merge
 from ledgerloom.operators.filtering import all_of, filter_ledger
+from ledgerloom.operators.rules import Action, Condition, Rule, apply_rules
 from ledgerloom.operators.rules import reclassify as set_category
 from ledgerloom.operators.running import running_total
 from ledgerloom.plans.imports import to_transactions
@@ -351,3 +353,34 @@ def rules_retroactive(spark, sf):
     return ledger.transactions.select(
         "imported_from", "account_name", "date", "amount", "category", touched.alias("touched")
     )
+
+
+@query(
+    with_views(
+        TX_ORDERS,
+        ACCOUNTS,
+        query="""select a.name as account_name, coalesce(sum(amount) filter (amount <= 0), 0) as outgoings,
+               coalesce(sum(amount) filter (amount > 0), 0) as incomings, coalesce(sum(amount), 0) as net,
+               coalesce(sum(abs(amount)), 0) as turnover, count(amount) as n_tx
+        from accounts a left join tx_orders t on t.account_name = a.name group by a.name""",
+    )
+)
+def account_summary_all(spark, sf):
+    """Totals of every account; accounts without transactions have zeros."""
+    return totals.account_summary(tx_orders(spark, sf), accounts(spark, sf))
+
+
+@query(
+    with_views(
+        TX_EVENTS,
+        query="""select event_id, case when name = 'purchase' then amount + 1.50 else amount end as amount
+        from tx_events""",
+    )
+)
+def rules_many(spark, sf):
+    """Three hundred rules that add half a penny each, in several passes: rounded once, after the last."""
+    rules = [
+        Rule((Condition("name", "eq", "purchase"),), (Action("amount", "increment", Decimal("0.005")),), n, id=f"{n:04d}")
+        for n in range(300)
+    ]
+    return apply_rules(tx_events(spark, sf), rules, per_pass=100).select("event_id", "amount")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.rules import category_rule
 from ledgerloom.plans.imports import import_folder, natural_id, register_statements as register
+from ledgerloom.plans.imports import import_statements as import_manifest_files
 from ledgerloom.plans.retrieve import retrieve_transactions
 from ledgerloom.plans.standardise import standardise, standardise_rows
 from ledgerloom.schema import ACCOUNTS as ACCOUNT_SCHEMA
@@ -283,3 +284,27 @@ def register_statements(spark, sf):
     return store.read("imported_statements").select(
         F.replace("source_file", F.lit(".csv"), F.lit("")).alias("statement"), "account", "source_file"
     )
+
+
+@query(
+    with_views(
+        _LLOYDS_SQL,
+        """owners as (select unnest(['mine', 'ours']) as account_name)""",
+        query=f"""select account_name, {_COLUMNS} from lloyds, owners
+        qualify row_number() over (partition by account_name, date, name, balance
+                                   order by cast(user_id as varchar), event_id) = 1""",
+    )
+)
+def import_manifest(spark, sf):
+    """All files listed twice for one account, and once for another: each file counts once in each account."""
+    store = Store(spark, shared_folder(spark, "ledger"))
+    owners = spark.createDataFrame([("mine",), ("ours",)], "name string")
+    named = owners.select(
+        natural_id("name").alias("id"), "name", F.lit(LLOYDS_CC.name).alias("bank"),
+        F.lit("credit").alias("account_type"), F.lit(True).alias("is_active"),
+        F.lit(datetime(2025, 1, 1)).alias("created_at"),
+    )
+    store.append("accounts", named.select(*ACCOUNT_SCHEMA.names))
+    pattern = write_statements(table(spark, sf, "events"), LLOYDS_CC, shared_folder(spark, "statements"))
+    import_manifest_files(store, [("mine", pattern), ("mine", f"{pattern}"), ("ours", pattern)])
+    return retrieve_transactions(store.read("transactions"))
