@@ -28,8 +28,8 @@ from ledgerloom.sources.shared import stage
 OPERATIONS = ("eq", "approx_eq", "in", "between", "contains", "not_contains", "gt", "gte", "lt", "lte", "regex")
 MODIFIERS = ("set", "append", "prepend", "increment", "decrement")
 
-# More rules than this are applied in several passes, each with a plan of bounded size.
-RULES_PER_PASS = 250
+# More rules than this are applied in several passes: the code of a larger projection does not compile.
+RULES_PER_PASS = 100
 
 
 @dataclass(frozen=True)
