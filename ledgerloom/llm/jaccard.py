@@ -22,8 +22,6 @@ SCAN_COST = 4
 #: Members of a candidate cluster that one task compares, and shingles of them.
 CLUSTER_SETS = 2048
 CLUSTER_SHINGLES = 2_000_000
-#: Up to so many sets (8 bytes each) travel to the tasks as a filter; more are joined by a shuffle.
-FILTER_SETS = 2_000_000
 #: Up to so many rows of two numbers are broadcast.
 BROADCAST_ROWS = 500_000
 #: How often a set with an empty block is dealt anew before its empty blocks count as blocks.
@@ -303,37 +301,31 @@ def _verified(percent: int):
     return run
 
 
-def _elements(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """`sid` and the shingles of the member sets, once or more for each."""
-    wanted = None
-    if count_rows_up_to(members, FILTER_SETS) <= FILTER_SETS:
-        sids = members.select("sid").toArrow()["sid"].to_numpy() if members.take(1) else np.empty(0, np.int64)
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(sids))
+def _elements(docs: DataFrame, sets: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """`sid` and the shingles of the member sets, each from the text of one document that has it."""
+    named = sets.join(members.select("sid"), "sid").groupBy("sid")
+    sources = stage(
+        named.agg(F.min(F.struct("doc_id", "body_hash")).alias("_of")).select(
+            "sid", F.col("_of.doc_id").alias("_d"), F.col("_of.body_hash").alias("_h")
+        ),
+        "member-documents",
+    )
+    few = count_rows_up_to(sources, BROADCAST_ROWS) <= BROADCAST_ROWS
+    texts = docs.select("doc_id", F.xxhash64("text").alias("body_hash"), "text").join(
+        F.broadcast(sources) if few else sources,
+        F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("body_hash") == F.col("_h")),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = _Words(), set()
+        known = _Words()
         for batch in batches:
             for piece in _pieces(batch):
-                sids, bodies = [], []
-                for text in piece.column(0):
-                    elements = shingles(text.as_py(), known, width)
-                    sid = set_id(elements) if len(elements) else 0
-                    if not len(elements) or sid in seen:
-                        continue
-                    if wanted is not None:
-                        at = np.searchsorted(wanted.value, sid)
-                        if at == len(wanted.value) or wanted.value[at] != sid:
-                            continue
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(sid)
-                    sids.append(sid)
-                    bodies.append(elements.tobytes())
+                bodies = [shingles(text.as_py(), known, width).tobytes() for text in piece.column(1)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sids, pa.int64()), pa.array(bodies, pa.binary())], names=["sid", "elements"]
+                    [piece.column(0), pa.array(bodies, pa.binary())], names=["sid", "elements"]
                 )
 
-    return docs.select("text").mapInArrow(run, "sid long, elements binary")
+    return texts.select("sid", "text").mapInArrow(run, "sid long, elements binary")
 
 
 def links(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
@@ -358,7 +350,7 @@ def links(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFra
         .where("blocks = 1 or block != other")
         .select("sid", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
-    elements = _elements(docs, members, width)
+    elements = _elements(docs, sets, members, width)
     return (
         elements.join(placed, "sid")
         .groupBy("root", "i", "j")

@@ -53,7 +53,6 @@ def test_near_duplicates(docs, rows, percent):
 
 def test_near_duplicates_in_blocks(docs, rows, monkeypatch):
     monkeypatch.setattr(jaccard, "CLUSTER_SETS", 3)
-    monkeypatch.setattr(jaccard, "FILTER_SETS", 2)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 1)
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect())
     assert got == expected_components(rows)
