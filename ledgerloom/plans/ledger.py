@@ -158,7 +158,8 @@ class Ledger:
     # Queries
 
     def filter(self, table: str = "transactions", /, require_nonempty: bool = False, **filters: Any) -> DataFrame:
-        return filter_ledger(self.store.read(table), require_nonempty, **filters)
+        rows = self.store.read(table)
+        return filter_ledger(retrieve.in_months(rows, filters), require_nonempty, **filters)
 
     def from_id(self, id: str, table: str = "transactions") -> DataFrame:
         return by_id(self.store.read(table), id)
@@ -233,11 +234,14 @@ class Ledger:
             condition = all_of(rows, filters, LEDGER)
             return reclassify(rows, condition, category, changed=_CHANGED)
 
-        self._rewrite(change)
+        self._rewrite(change, retrieve.in_months(self.transactions, filters))
 
-    def _rewrite(self, change: Callable[[DataFrame], DataFrame]) -> None:
-        """Rewrite the months that hold changed rows, before or after the change, and stamp those rows."""
-        hits = change(self.transactions).where(F.col(_CHANGED))
+    def _rewrite(self, change: Callable[[DataFrame], DataFrame], within: DataFrame | None = None) -> None:
+        """Rewrite the months that hold changed rows, before or after the change, and stamp those rows.
+
+        All changed rows are among `within`.
+        """
+        hits = change(self.transactions if within is None else within).where(F.col(_CHANGED))
         moved = hits.select(F.trunc("date", "month").alias("month"))
         months = self.store.months_of(hits.select("month").unionByName(moved))
         rows = change(self.transactions.where(F.col("month").isin(months)))

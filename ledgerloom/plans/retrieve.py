@@ -19,7 +19,7 @@ def retrieve_transactions(
     transactions: DataFrame, /, show_metadata: bool = False, require_nonempty: bool = False, **filters: Any
 ) -> DataFrame:
     """Transactions that satisfy all filters: the canonical columns and the account, or every column."""
-    found = filter_ledger(_in_months(transactions, filters), require_nonempty, **filters)
+    found = filter_ledger(in_months(transactions, filters), require_nonempty, **filters)
     if show_metadata:
         return found.drop("month") if "month" in found.columns else found
     return found.select(*CANONICAL_COLUMNS, "account_name")
@@ -36,8 +36,8 @@ def transactions_in_date_range(
     return retrieve_transactions(transactions, show_metadata, date=ends)
 
 
-def _in_months(transactions: DataFrame, filters: dict[str, Any]) -> DataFrame:
-    """Restrict the scan to the storage months that a filter on the date leaves."""
+def in_months(transactions: DataFrame, filters: dict[str, Any]) -> DataFrame:
+    """Restrict the scan to the storage months that a filter on the date leaves: a range, a date or a list of dates."""
     if "month" not in transactions.columns:
         return transactions
     for name, setting in filters.items():
@@ -50,7 +50,12 @@ def _in_months(transactions: DataFrame, filters: dict[str, Any]) -> DataFrame:
 def _month_bounds(setting: Any) -> list[Column]:
     test = read_setting(setting, LEDGER)
     low, high = None, None
-    if test.op == "between":
+    if test.op == "in":
+        months = {as_timestamp(day).date().replace(day=1) for day in test.value if day is not None}
+        return [F.col("month").isin(sorted(months))]
+    if test.op in ("eq", "same"):
+        low = high = test.value
+    elif test.op == "between":
         low, high = test.value
     elif test.op in ("gt", "gte"):
         low = test.value

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.predicates import LEDGER
 from ledgerloom.operators import relations, totals
 from ledgerloom.operators.dedupe import first_wins, merge
-from ledgerloom.operators.filtering import all_of, filter_ledger
+from ledgerloom.operators.filtering import all_of, by_id, filter_ledger
 from ledgerloom.operators.rules import Action, Condition, Rule, apply_rules
 from ledgerloom.operators.rules import reclassify as set_category
 from ledgerloom.operators.running import running_total
@@ -384,3 +384,8 @@ def rules_many(spark, sf):
         for n in range(300)
     ]
     return apply_rules(tx_events(spark, sf), rules, per_pass=100).select("event_id", "amount")
+
+
+@query(with_views(STATEMENTS, query="select id, source_file from statements where id = 's7'"))
+def lookup_by_id(spark, sf):
+    return by_id(statements(spark, sf), "s7").select("id", "source_file")
