@@ -359,7 +359,7 @@ def links(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
-    """For each document: body_hash (of the text), n_shingles and component_id, the smallest doc_id that links lead to, itself included.
+    """For each document: body_hash (of the text), n_shingles and component_id, the smallest doc_id that links lead to.
 
     Two documents link when their sets of `width`-word shingles have a Jaccard similarity of `percent` / 100 or more.
     Sets up to a size chosen by cost share the hash of a subset of fixed size, larger ones an entry of inverted lists

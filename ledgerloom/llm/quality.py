@@ -83,7 +83,7 @@ def measures(df: DataFrame, rules: Rules | None = None, text: str = "text", lang
     rules = rules or Rules()
     body, words, lines = F.col("_body"), F.col("_words"), F.col("_lines")
     every = sorted({word for words in rules.languages.values() for word in words})
-    longest = max(map(len, every))
+    longest = max(len(word.encode()) for word in every)
     rows = (
         df.withColumn("_body", F.coalesce(F.col(text), F.lit("")))
         .withColumn("_words", words_of(body))

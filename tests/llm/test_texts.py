@@ -67,7 +67,8 @@ def test_linked_sets_share_keys(percent):
         n = int(rng.integers(1, 90))
         a = np.unique(jaccard.mix(rng.integers(0, 2**62, n).astype(np.uint64)))
         drop = int(rng.integers(0, max(1, n // 8) + 1))
-        b = np.unique(np.concatenate((a[drop:], jaccard.mix(rng.integers(0, 2**62, int(rng.integers(0, 3))).astype(np.uint64)))))
+        more = jaccard.mix(rng.integers(0, 2**62, int(rng.integers(0, 3))).astype(np.uint64))
+        b = np.unique(np.concatenate((a[drop:], more)))
         both = len(np.intersect1d(a, b))
         if not len(b) or 100 * both < percent * (len(a) + len(b) - both):
             continue
@@ -281,7 +282,8 @@ def test_toxicity_learns_from_documents(spark):
     rows = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(400)]
     rows += [(1000, None, 0), (1001, "", 1), (1002, "!!! ...", 0)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    labels = spark.createDataFrame([(r[0], 1, r[2]) for r in rows] + [(1, 1, 0), (7, 1, None)], "doc_id long, quality int, toxic int")
+    marks = [(r[0], 1, r[2]) for r in rows] + [(1, 1, 0), (7, 1, None)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labels, F.col("doc_id") % 2 == 0)
     found = {r.doc_id: r.t for r in docs.select("doc_id", toxicity.toxicity(F.col("text"), model).alias("t")).collect()}
     assert all(0 <= t.score <= 1 for t in found.values())
