@@ -19,7 +19,6 @@ follows SQL: text equality in any case, exact numbers, `%`/`_` live in contains,
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime

@@ -72,7 +72,8 @@ def import_statements(
     by_path: dict[str, list[str]] = defaultdict(list)
     for account, path in asked:
         by_path[path].append(account)
-    files = sorted({(file, account) for path, accounts in by_path.items() for file in _files(store, path) for account in accounts})
+    listed = {path: _files(store, path) for path in by_path}
+    files = sorted({(file, account) for path, owners in by_path.items() for file in listed[path] for account in owners})
     by_bank: dict[str, list[tuple[str, str]]] = defaultdict(list)
     for file, account in files:
         by_bank[banks[account]].append((file, account))

@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom import CHASE, LLOYDS_CC, MONZO, Ledger, Rule, category_rule
+from ledgerloom import CHASE, LLOYDS_CC, MONZO, Ledger, Rule
 from ledgerloom.operators.rules import Action, Condition
 from ledgerloom.plans.imports import RejectedRows
 from ledgerloom.plans.standardise import rejected, standardise
@@ -314,7 +314,8 @@ def test_date_filters_choose_months(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path / "ledger"))
     ledger.add_account("Mine", "lloyds", "credit")
     ledger.import_statement("Mine", path)
-    for setting, count in (("25/02/2026", 1), (["25/02/2026", "1 May 2026"], 1), (("1/2/2026", "1/4/2026"), 2), (">='1 Mar 2026'", 1)):
+    settings = ["25/02/2026", ["25/02/2026", "1 May 2026"], ("1/2/2026", "1/4/2026"), ">='1 Mar 2026'"]
+    for setting, count in zip(settings, (1, 1, 2, 1), strict=True):
         found = ledger.filter(date=setting)
         assert found.count() == count
         plan = found._jdf.queryExecution().executedPlan().toString()
