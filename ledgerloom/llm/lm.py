@@ -11,17 +11,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.sources.shared import stage
 
 #: A public byte-pair vocabulary (base64 token, rank). A parameter, so any file of that form will do.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Documents that the attention model is trained on, at most; all counts cover every training document.
-SAMPLE = 2000
-#: Words of one document of the sample that training may see.
-SAMPLE_WORDS = 4000
 #: The most frequent subwords have a class of their own; the others share classes of about equal weight.
 OWN, SHARED = 447, 64
 #: Classes are predicted in two steps: a group of so many neighbouring classes, then one of them.
@@ -29,7 +25,13 @@ SPAN = 16
 #: Context window, and how far one window is from the next: each token is scored in one of them only.
 CONTEXT, STRIDE = 32, 24
 WIDTH, INNER = 32, 64
-STEPS, BATCH, RATE = 220, 96, 0.006
+BATCH, RATE = 96, 0.006
+#: Steps that training takes at least: few texts are passed over again until then, more texts once.
+STEPS = 220
+#: Blocks are dealt into so many rounds. Those of one round learn side by side and their weights are averaged.
+ROUNDS = 4
+#: Averages of tasks' weights are averaged in so many groups before the driver gets them.
+GROUPS = 16
 #: Text of one block of documents: its words are numbered and counted together.
 BLOCK_BYTES, BLOCK_DOCS = 8_000_000, 4096
 #: Windows that are computed at once.
@@ -180,85 +182,132 @@ def gradients(model: Model, inputs: np.ndarray, targets: np.ndarray, valid: np.n
     count = max(1, int(ok.sum()))
     share = (ok / count).astype(np.float32)[:, None]
     p_group = _softmax(flat @ w["group"] + w["group_bias"] + model.group_follows[before])
-    # Of each place, the classes of its target's group.
-    own = w["out"][group]
-    p_class = _softmax((flat[:, None, :] @ own)[:, 0] + w["bias"][group] + model.class_follows[group, before])
-    loss = -float(((np.log(p_group[at, group] + 1e-30) + np.log(p_class[at, within] + 1e-30)) * ok).sum() / count)
+    loss = -float((np.log(p_group[at, group] + 1e-30) * ok).sum() / count)
     p_group[at, group] -= 1
-    p_class[at, within] -= 1
     p_group *= share
-    p_class *= share
-    chosen_group = np.zeros((targets.size, len(w["out"])), np.float32)
-    chosen_group[at, group] = 1
-    spread = (flat[:, :, None] * p_class[:, None, :]).reshape(targets.size, -1)
-    g = {
-        "group": flat.T @ p_group, "group_bias": p_group.sum(0),
-        "out": (chosen_group.T @ spread).reshape(w["out"].shape), "bias": chosen_group.T @ p_class,
-    }
-    by_flat = p_group @ w["group"].T + (own @ p_class[:, :, None])[:, :, 0]
-    by_hidden = by_flat.reshape(f["hidden"].shape)
-    by_inner = by_hidden @ w["w2"].T * (f["inner"] > 0)
-    g["w2"] = f["inner"].reshape(-1, INNER).T @ by_hidden.reshape(-1, d)
-    g["w1"] = f["joined"].reshape(-1, d).T @ by_inner.reshape(-1, INNER)
-    g["b1"] = by_inner.sum((0, 1))
-    by_joined = by_hidden + by_inner @ w["w1"].T
-    g["o"] = f["mixed"].reshape(-1, d).T @ by_joined.reshape(-1, d)
-    by_mixed = by_joined @ w["o"].T
+    g = {"group": flat.T @ p_group, "group_bias": p_group.sum(0)}
+    g["out"], g["bias"] = np.zeros_like(w["out"]), np.zeros_like(w["bias"])
+    by_flat = p_group @ w["group"].T
+    # Of each place, the classes of its target's group.
+    order = np.argsort(group, kind="stable")
+    edges = np.searchsorted(group[order], np.arange(len(w["out"]) + 1))
+    for number in range(len(w["out"])):
+        own = order[edges[number] : edges[number + 1]]
+        if len(own):
+            rows, step = flat[own], np.arange(len(own))
+            p = _softmax(rows @ w["out"][number] + w["bias"][number] + model.class_follows[number][before[own]])
+            loss -= float((np.log(p[step, within[own]] + 1e-30) * ok[own]).sum() / count)
+            p[step, within[own]] -= 1
+            p *= share[own]
+            g["out"][number], g["bias"][number] = rows.T @ p, p.sum(0)
+            by_flat[own] += p @ w["out"][number].T
+    by_inner = by_flat @ w["w2"].T
+    by_inner *= f["inner"].reshape(-1, INNER) > 0
+    g["w2"] = f["inner"].reshape(-1, INNER).T @ by_flat
+    g["w1"] = f["joined"].reshape(-1, d).T @ by_inner
+    g["b1"] = by_inner.sum(0)
+    by_joined = by_flat + by_inner @ w["w1"].T
+    g["o"] = f["mixed"].reshape(-1, d).T @ by_joined
+    by_mixed = (by_joined @ w["o"].T).reshape(f["mixed"].shape)
     by_weights = by_mixed @ f["v"].transpose(0, 2, 1)
     by_v = f["weights"].transpose(0, 2, 1) @ by_mixed
-    by_scores = f["weights"] * (by_weights - (by_weights * f["weights"]).sum(-1, keepdims=True)) * np.float32(d**-0.5)
-    by_q, by_k = by_scores @ f["k"], by_scores.transpose(0, 2, 1) @ f["q"]
-    x = f["x"].reshape(-1, d)
+    by_weights -= np.einsum("bij,bij->bi", by_weights, f["weights"])[:, :, None]
+    by_weights *= f["weights"]
+    by_weights *= np.float32(d**-0.5)
+    by_q, by_k = by_weights @ f["k"], by_weights.transpose(0, 2, 1) @ f["q"]
+    x, by_x = f["x"].reshape(-1, d), by_joined
     for name, by in (("q", by_q), ("k", by_k), ("v", by_v)):
-        g[name] = x.T @ by.reshape(-1, d)
-    by_x = by_joined + by_q @ w["q"].T + by_k @ w["k"].T + by_v @ w["v"].T
+        by = by.reshape(-1, d)
+        g[name] = x.T @ by
+        by_x = by_x + by @ w[name].T
     g["place"] = np.zeros_like(w["place"])
-    g["place"][: inputs.shape[1]] = by_x.sum(0)
-    chosen = np.zeros((inputs.size, len(w["token"])), np.float32)
-    chosen[at, inputs.ravel()] = 1
-    g["token"] = chosen.T @ by_x.reshape(-1, d)
+    g["place"][: inputs.shape[1]] = by_x.reshape(*inputs.shape, d).sum(0)
+    g["token"] = np.zeros_like(w["token"])
+    order = np.argsort(before, kind="stable")
+    met, first = np.unique(before[order], return_index=True)
+    g["token"][met] = np.add.reduceat(by_x[order], first)
     return loss, g
 
 
-def fit(streams: list[np.ndarray], classes: np.ndarray, within: np.ndarray, seed: int = 7) -> Model:
-    """A model trained on streams of class ids, each ending in END, by Adam on random windows. Without streams the
-    model stays as it was drawn, and predicts every class about alike."""
-    n = -(-(int(classes.max()) + 1) // SPAN) * SPAN
-    rng = np.random.default_rng(seed)
-    pairs = np.full((n, n), 0.02)
-    for stream in streams:
-        np.add.at(pairs, (np.concatenate(([END], stream[:-1])), stream), 1.0)
+def padded(classes: np.ndarray) -> int:
+    """The number of classes, filled up to whole groups."""
+    return -(-(int(classes.max()) + 1) // SPAN) * SPAN
+
+
+def pairs_of(stream: np.ndarray, n: int) -> np.ndarray:
+    """How often a class follows another, in texts one after the other, as [class before * n + class]."""
+    before = np.concatenate(([END], stream[:-1])).astype(np.int64)
+    return np.bincount(before * n + stream, minlength=n * n)
+
+
+def untrained(pairs: np.ndarray, classes: np.ndarray, within: np.ndarray, seed: int = 7) -> Model:
+    """A model that knows which class follows which, with weights as they are drawn."""
+    n = padded(classes)
+    pairs = pairs.reshape(n, n) + 0.02
     # A class that was met a few times leans on how frequent the next class is at all.
     pairs += 20 * pairs.sum(0) / pairs.sum()
     in_groups = pairs.reshape(n, -1, SPAN)
     group_follows = np.log(in_groups.sum(2) / pairs.sum(1, keepdims=True)).astype(np.float32)
     class_follows = np.log(in_groups / in_groups.sum(2, keepdims=True)).transpose(1, 0, 2).astype(np.float32)
-    model = Model(classes, within, group_follows, np.ascontiguousarray(class_follows), new_weights(n, rng))
-    if not streams:
-        return model
-    inputs, targets, valid = zip(*(windows(s) for s in streams))
-    inputs, targets, valid = (np.concatenate(part) for part in (inputs, targets, valid))
-    first = {name: np.zeros_like(value) for name, value in model.weights.items()}
-    second = {name: np.zeros_like(value) for name, value in model.weights.items()}
-    for step in range(1, STEPS + 1):
-        pick = rng.integers(0, len(inputs), BATCH)
-        _, g = gradients(model, inputs[pick], targets[pick], valid[pick])
-        rate = RATE * min(1.0, step / 20) * (1 - step / (STEPS + 1))
-        for name, value in model.weights.items():
-            first[name] = 0.9 * first[name] + 0.1 * g[name]
-            second[name] = 0.99 * second[name] + 0.01 * g[name] ** 2
-            move = (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
-            value -= (rate * move).astype(np.float32)
+    weights = new_weights(n, np.random.default_rng(seed))
+    return Model(classes, within, group_follows, np.ascontiguousarray(class_follows), weights)
+
+
+def learn(
+    model: Model, stream: np.ndarray, passes: int = 1, seed: int = 7, since: float = 0.0, until: float = 1.0
+) -> dict[str, np.ndarray]:
+    """The weights after Adam has gone over all windows of the texts in `stream`, in random order, so many times.
+    `since` and `until` say which part of the whole training this is; the rate falls over the whole."""
+    weights = {name: value.copy() for name, value in model.weights.items()}
+    now = Model(model.classes, model.within, model.group_follows, model.class_follows, weights)
+    inputs, targets, valid = windows(stream)
+    first = {name: np.zeros_like(value) for name, value in weights.items()}
+    second = {name: np.zeros_like(value) for name, value in weights.items()}
+    rng, step, steps = np.random.default_rng(seed), 0, passes * -(-len(inputs) // BATCH)
+    for _ in range(passes):
+        order = rng.permutation(len(inputs))
+        for at in range(0, len(order), BATCH):
+            pick = order[at : at + BATCH]
+            _, g = gradients(now, inputs[pick], targets[pick], valid[pick])
+            step += 1
+            rate = RATE * min(1.0, step / 20) * (1 - since - (until - since) * step / (steps + 1))
+            for name, value in weights.items():
+                first[name] = 0.9 * first[name] + 0.1 * g[name]
+                second[name] = 0.99 * second[name] + 0.01 * g[name] ** 2
+                move = (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
+                value -= (rate * move).astype(np.float32)
+    return weights
+
+
+def passes_for(places: int) -> int:
+    """How often texts of so many places in all are passed over."""
+    return max(1, -(-STEPS * BATCH * CONTEXT // max(1, places)))
+
+
+def fit(streams: list[np.ndarray], classes: np.ndarray, within: np.ndarray, seed: int = 7) -> Model:
+    """A model trained on streams of class ids, each ending in END, as one block. Without streams the model stays as
+    it was drawn, and predicts every class about alike."""
+    stream = np.concatenate([np.empty(0, np.int32), *streams])
+    model = untrained(pairs_of(stream, padded(classes)), classes, within, seed)
+    if len(stream):
+        model.weights = learn(model, stream, passes_for(len(stream)), seed)
     return model
 
 
 def windows(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A stream cut into windows without overlap, for training: inputs, targets, which places are real."""
-    padded = -(-len(stream) // CONTEXT) * CONTEXT
-    targets = np.zeros(padded, np.int32)
-    targets[: len(stream)] = stream
-    inputs = np.concatenate(([END], targets[:-1])).astype(np.int32)
-    return (a.reshape(-1, CONTEXT) for a in (inputs, targets, np.arange(padded) < len(stream)))
+    """Texts one after the other, END at the end of each, cut into windows without overlap, for training: inputs,
+    targets, which places are real. No window holds places of two texts."""
+    ends = np.flatnonzero(stream == END) + 1
+    if not len(ends) or ends[-1] < len(stream):
+        ends = np.append(ends, len(stream))
+    starts = np.concatenate(([0], ends[:-1]))
+    count = -(-(ends - starts) // CONTEXT)
+    number = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    index = (np.repeat(starts, count) + number * CONTEXT)[:, None] + np.arange(CONTEXT)
+    valid = index < np.repeat(ends, count)[:, None]
+    index = np.minimum(index, max(0, len(stream) - 1))
+    before = np.concatenate(([END], stream[:-1])).astype(np.int32)
+    return np.where(valid, before[index], END), np.where(valid, stream[index], END), valid
 
 
 def score_streams(model: Model, stream: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -373,46 +422,132 @@ def _subword_counts(totals: DataFrame, ranks) -> np.ndarray:
     return counts
 
 
-def _sample(docs: DataFrame) -> list[list[str]]:
-    """Words of at most SAMPLE training documents, chosen by a hash of the id."""
-    order = (F.xxhash64("doc_id"), "doc_id")
-    train = docs.where(~F.col("held_out") & F.col("doc_id").isNotNull())
-    chosen = train.select("doc_id").distinct().orderBy(*order).limit(SAMPLE).withColumnRenamed("doc_id", "_id")
-    # At most SAMPLE ids; of each text, so many words that the driver holds a bounded amount.
-    rows = train.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(
-        "doc_id", F.slice(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), 1, SAMPLE_WORDS).alias("words")
+def _places(words: list[str], codes: np.ndarray, lengths: np.ndarray, subwords: Subwords) -> tuple[np.ndarray, ...]:
+    """The subwords of a block's words and, at the end, of the end of a text; where the subwords of its texts lie in
+    them, text by text; and how many each text has."""
+    codes = np.insert(codes, np.cumsum(lengths), len(words))
+    first = np.cumsum(lengths + 1) - (lengths + 1)
+    flat, sizes = subwords.flat(words)
+    flat, sizes = np.append(flat, 0), np.append(sizes, 1)
+    offsets = np.cumsum(sizes) - sizes
+    times = sizes[codes]
+    place = np.repeat(offsets[codes] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+    return flat, place, np.add.reduceat(times, first)
+
+
+def _streams(
+    batches: Iterator[pa.RecordBatch], classes: np.ndarray, subwords: Subwords
+) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each block, its number and the classes of its training documents, END at the end of each."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            held = np.array(batch.column("held_out")[at].as_py(), bool)
+            lengths = np.frombuffer(batch.column("lengths")[at].as_py(), np.int32).astype(np.int64)
+            codes = np.frombuffer(batch.column("codes")[at].as_py(), np.int32)
+            codes = codes[np.repeat(~held, lengths)]
+            lengths = lengths[~held]
+            if not len(lengths):
+                continue
+            flat, place, _ = _places(batch.column("words")[at].as_py(), codes, lengths, subwords)
+            by_flat = classes[flat].astype(np.int32)
+            by_flat[-1] = END
+            yield batch.column("block")[at].as_py(), by_flat[place]
+
+
+def _packed(weights: dict[str, np.ndarray]) -> bytes:
+    buffer = io.BytesIO()
+    np.savez(buffer, **weights)
+    return buffer.getvalue()
+
+
+def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(data)) as arrays:
+        return {name: arrays[name] for name in arrays.files}
+
+
+class _Average:
+    """A mean of weights by places."""
+
+    def __init__(self):
+        self.sums: dict[str, np.ndarray] = {}
+        self.places = 0
+
+    def add(self, weights: dict[str, np.ndarray], places: int) -> None:
+        for name, value in weights.items():
+            self.sums[name] = self.sums.get(name, 0.0) + value.astype(np.float64) * places
+        self.places += places
+
+    def weights(self) -> dict[str, np.ndarray]:
+        return {name: (value / self.places).astype(np.float32) for name, value in self.sums.items()}
+
+
+_WEIGHTS = "part long, weights binary, places long"
+
+
+def _row(part: int, average: _Average) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part]), pa.array([_packed(average.weights())], pa.binary()), pa.array([average.places])],
+        names=["part", "weights", "places"],
     )
-    found = sorted((row.doc_id, row.words) for row in rows.collect())
-    return [[w.encode().lower().decode() for w in words if w] for _, words in found[: 2 * SAMPLE]]
 
 
-def train(spark: SparkSession, docs: DataFrame, totals: DataFrame, vocabulary: str = VOCABULARY):
-    """The attention model, and the broadcast vocabulary."""
-    ranks = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
+def _pair_counts(texts: DataFrame, classes: np.ndarray, ranks) -> np.ndarray:
+    """How often a class follows another in all training documents. The driver gets a row for each pair at most."""
+    n = padded(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(n * n, np.int64)
+        for _, stream in _streams(batches, classes, Subwords(ranks.value)):
+            sums += pairs_of(stream, n)
+        found = np.nonzero(sums)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found])], names=["pair", "n"])
+
+    rows = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pairs = np.zeros(n * n, np.int64)
+    pairs[np.asarray(rows["pair"])] = np.asarray(rows["n"])
+    return pairs
+
+
+def _round(texts: DataFrame, model: Model, ranks, passes: int, number: int) -> dict[str, np.ndarray]:
+    """The weights after one round: its blocks each learn from the same weights, and the results are averaged."""
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, average = sent.value, _Average()
+        for block, stream in _streams(batches, model.classes, Subwords(ranks.value)):
+            since, until = number / ROUNDS, (number + 1) / ROUNDS
+            average.add(learn(model, stream, passes, block, since, until), len(stream))
+        if average.places:
+            yield _row(TaskContext.get().partitionId() % GROUPS, average)
+
+    def merge(table: pa.Table) -> pa.Table:
+        average = _Average()
+        for weights, places in zip(table["weights"], table["places"]):
+            average.add(_unpacked(weights.as_py()), places.as_py())
+        return pa.Table.from_batches([_row(table["part"][0].as_py(), average)])
+
+    own = texts.where(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == number)
+    whole = _Average()
+    for row in own.mapInArrow(run, _WEIGHTS).groupBy("part").applyInArrow(merge, _WEIGHTS).collect():
+        whole.add(_unpacked(row.weights), row.places)
+    sent.unpersist()
+    return whole.weights() if whole.places else model.weights
+
+
+def train(blocks: DataFrame, totals: DataFrame, vocabulary: str = VOCABULARY):
+    """The attention model, and the broadcast vocabulary. Every training document of every block is learned from."""
+    ranks = blocks.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     counts = _subword_counts(totals, ranks)
     opens = np.zeros(len(counts), bool)
     opens[[rank for token, rank in ranks.value.items() if token.startswith(b" ")]] = True
     classes, within = assign_classes(counts, opens)
-    subwords = Subwords(ranks.value)
-    streams = []
-    for words in _sample(docs):
-        flat, _ = subwords.flat(words)
-        streams.append(np.append(classes[flat], END).astype(np.int32))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _ in batches:
-            model = fit(streams, classes, within)
-            buffer = io.BytesIO()
-            np.savez(
-                buffer, group_follows=model.group_follows, class_follows=model.class_follows, **model.weights
-            )
-            yield pa.RecordBatch.from_arrays([pa.array([buffer.getvalue()], pa.binary())], names=["weights"])
-
-    # A task trains on the bounded sample: its numpy keeps to the task's core, the driver's would take all.
-    found = spark.range(1).coalesce(1).mapInArrow(run, "weights binary").first()
-    with np.load(io.BytesIO(found.weights)) as arrays:
-        weights = {name: arrays[name] for name in arrays.files}
-    return Model(classes, within, weights.pop("group_follows"), weights.pop("class_follows"), weights), ranks
+    texts = blocks.select("block", "held_out", "lengths", "codes", F.col("vocabulary.word").alias("words"))
+    pairs = _pair_counts(texts, classes, ranks)
+    model = untrained(pairs, classes, within)
+    places = int(pairs.sum())
+    for number in range(ROUNDS if places else 0):
+        model.weights = _round(texts, model, ranks, passes_for(places), number)
+    return model, ranks
 
 
 def score(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -422,12 +557,12 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULARY) -> Da
     log10 of add-one word frequencies), score (log10 probability of the text by the attention model) and n_subwords.
 
     Words are counted in blocks of documents, the blocks' vocabularies are added up, and each block gets the counts of
-    its words back; so a frequent word is a row for each block, not for each document. The attention model is trained
-    on a bounded sample; its classes and the shares within them come from the counts of all training documents. Null
+    its words back; so a frequent word is a row for each block, not for each document. The attention model counts which
+    class follows which in all training documents, and trains on all windows of them: blocks of one round learn side by
+    side from the same weights, whose average the next round begins with. Null
     and empty texts consist of their end. Rows are scored one by one, repeated rows alike. Without training documents
     nothing is known: base_score is 0 and the attention model is as it was drawn.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
     id_type = rows.schema["doc_id"].dataType.simpleString()
     blocks = stage(_blocks(rows), "lm-blocks")
@@ -444,7 +579,8 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULARY) -> Da
     n_words, n_distinct = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     trained = blocks.agg(F.sum(F.size(F.filter("held_out", lambda h: ~h)))).first()[0] or 0
     n_total, v_total = n_words + trained, n_distinct + (trained > 0)
-    model, ranks = train(spark, rows, totals, vocabulary)
+    model, ranks = train(blocks, totals, vocabulary)
+
     def run(block: pa.Table, counts: pa.Table) -> pa.Table:
         parts = [
             _scored(row, counts, model, Subwords(ranks.value), n_total, v_total, trained)
@@ -473,19 +609,14 @@ def _scored(block: pa.Table, counts: pa.Table, model: Model, subwords: Subwords,
     known = np.zeros(len(words) + 1, np.int64)
     known[np.asarray(counts["at"])] = np.asarray(counts["c"])
     known[-1] = ends
-    codes = np.insert(codes, np.cumsum(lengths), len(words))
     n_tokens = lengths + 1
     first = np.cumsum(n_tokens) - n_tokens
+    flat, place, n_subwords = _places(words, codes, lengths, subwords)
+    codes = np.insert(codes, np.cumsum(lengths), len(words))
     base = np.add.reduceat(np.log10(known + 1.0)[codes], first) - n_tokens * math.log10(n + v + 1)
     n_known = np.add.reduceat((known > 0)[codes].astype(np.int64), first)
-    flat, sizes = subwords.flat(words)
-    flat, sizes = np.append(flat, 0), np.append(sizes, 1)
-    offsets = np.cumsum(sizes) - sizes
     classes, within = model.classes[flat], model.within[flat]
     classes[-1], within[-1] = END, 0.0
-    times = sizes[codes]
-    place = np.repeat(offsets[codes] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-    n_subwords = np.add.reduceat(times, first)
     starts = np.cumsum(n_subwords) - n_subwords
     stream = classes[place]
     total = score_streams(model, stream, starts, n_subwords) + np.add.reduceat(within[place], starts)

@@ -260,6 +260,69 @@ def test_lm_scores(spark, docs, rows, monkeypatch):
     assert sum(known) / len(known) > -8
 
 
+def test_windows_hold_one_text_each():
+    texts = [np.append(np.arange(1, n + 1), 0).astype(np.int32) for n in (0, 1, 31, 32, 70)]
+    got = list(zip(*(a.tolist() for a in lm.windows(np.concatenate(texts)))))
+    expected = [w for t in texts for w in zip(*(a.tolist() for a in lm.windows(t)))]
+    assert got == expected and len(got) == 8
+    assert sum(sum(valid) for _, _, valid in got) == sum(map(len, texts))
+    assert lm.windows(np.empty(0, np.int32))[0].shape == (0, lm.CONTEXT)
+
+
+def test_attention_counts_all_documents(spark, docs, rows, monkeypatch):
+    """What follows what is counted in every training document, and in every block."""
+    monkeypatch.setattr(lm, "BLOCK_DOCS", 7)
+    held = F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False))
+    blocks = lm._blocks(docs.select("doc_id", held.alias("held_out"), "text"))
+    ranks = spark.sparkContext.broadcast(lm.read_vocabulary())
+    subwords = lm.Subwords(ranks.value)
+    classes, _ = lm.assign_classes(np.arange(subwords.size) % 1000)
+    texts = blocks.select("block", "held_out", "lengths", "codes", F.col("vocabulary.word").alias("words"))
+    n, expected = lm.padded(classes), Counter()
+    for row in rows:
+        if row[0] is None or row[0] % 7 != 2:
+            ids = subwords.flat([w.decode() for w in (row[1] or "").encode().lower().split()])[0]
+            own = [0, *classes[ids].tolist(), 0]
+            expected.update(a * n + b for a, b in zip(own, own[1:]))
+    pairs = lm._pair_counts(texts, classes, ranks)
+    assert {int(i): int(pairs[i]) for i in np.nonzero(pairs)[0]} == expected
+
+
+def test_all_blocks_train(spark, monkeypatch):
+    """A round's weights are the mean, by places, of what its blocks learn alone."""
+    monkeypatch.setattr(lm, "BLOCK_DOCS", 2)
+    texts = [(i, f"alpha beta gamma w{i} " * (i + 5), i == 4) for i in range(9)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, held_out boolean").repartition(3)
+    blocks = lm._blocks(df.select("doc_id", "held_out", "text")).localCheckpoint()
+    ranks = spark.sparkContext.broadcast(lm.read_vocabulary())
+    subwords = lm.Subwords(ranks.value)
+    classes, within = lm.assign_classes(np.arange(subwords.size) % 1000)
+    texts = blocks.select("block", "held_out", "lengths", "codes", F.col("vocabulary.word").alias("words"))
+    model = lm.untrained(lm._pair_counts(texts, classes, ranks), classes, within)
+    streams = dict(lm._streams(texts.toArrow().to_batches(), classes, subwords))
+    assert len(streams) >= 4
+    rounds = {row.block: row.r for row in texts.selectExpr("block", f"pmod(xxhash64(block), {lm.ROUNDS}) as r").collect()}
+    for number in range(lm.ROUNDS):
+        own = {b: s for b, s in streams.items() if rounds[b] == number}
+        got = lm._round(texts, model, ranks, 1, number)
+        alone = [
+            (lm.learn(model, s, 1, b, number / lm.ROUNDS, (number + 1) / lm.ROUNDS), len(s)) for b, s in own.items()
+        ]
+        for name, value in model.weights.items():
+            if own:
+                value = sum(w[name] * k for w, k in alone) / sum(k for _, k in alone)
+            assert np.allclose(got[name], value, atol=1e-4)
+
+
+def test_attention_learns_from_the_ends_of_long_documents(spark):
+    """Words past any prefix of a document, and documents past any number of them, are learned from."""
+    long = "one two three four five six seven eight " * 600 + "lorem ipsum dolor sit amet " * 400
+    texts = [(i, long) for i in range(2)] + [(9, "lorem ipsum dolor sit amet " * 30)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {r.doc_id: r for r in lm.score(df, F.col("doc_id") == 9).collect()}
+    assert found[9].score / found[9].n_subwords > -0.5
+
+
 def test_subwords_cut_long_words():
     subwords = lm.Subwords(lm.read_vocabulary())
     flat, lengths = subwords.flat(["the", "x" * 100_000, "É"])
