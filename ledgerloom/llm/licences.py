@@ -103,6 +103,17 @@ def known_sentences(sentences: dict[str, str] | None = None) -> dict[str, str]:
     return known | {"copyright": "copyright"}
 
 
+def _pattern(known: dict[str, str]) -> str:
+    """What finds the known sentences, the longest first, in a text whose sentences end in \\x01 and lines in \\x02. A
+    sentence begins and ends where a sentence or a line does, and may run over lines, but for one that is made of
+    two others: over lines these are found."""
+    found = [NOTICE.replace("^", "").replace(".*$", r"[^\x01\x02]*+")]
+    for words in sorted(known, key=lambda k: (-len(k), k)):
+        double = any(words.startswith(k + " ") and words[len(k) + 1 :] in known for k in known)
+        found.append(words if double else words.replace(" ", r"[ \x02]++"))
+    return r"(?<=^|[\x01\x02]) ?(" + "|".join(found) + r")(?= ?(?:[\x01\x02]|\z))"
+
+
 def licences(
     docs: DataFrame,
     sentences: dict[str, str] | None = None,
@@ -113,9 +124,10 @@ def licences(
     known ones, comma-joined in order), licences (the rules' names in order, each once, comma-joined), n_unmatched
     (known sentences that no rule took).
 
-    A sentence ends with a line or with `.`, `!` or `?` before a blank. Sentences without a known identifier are left
-    out of the sequence, so a rule's sentences may have others between them. Rules apply in order, each as often as it
-    matches. Everything is built-in functions on one row: nothing is shuffled. A null or empty text has no sentences;
+    A sentence ends with a line or with `.`, `!` or `?` before a blank; a known one is also found where it runs over
+    lines, with comment marks and blank lines in it. Signs are counted by line. Sentences without a known identifier
+    are left out of the sequence, so a rule's sentences may have others between them. Rules apply in order, each as
+    often as it matches. Everything is built-in functions on one row: nothing is shuffled. A null or empty text has no sentences;
     repeated rows are scanned alike; other columns are not read.
     """
     known = known_sentences(sentences)
@@ -128,15 +140,20 @@ def licences(
     )
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(F.regexp_replace(body, SENTENCE_END, "\n"), "\n")
+    # Where a sentence ended at a line's end, its mark stands for both.
+    marked = F.regexp_replace(F.translate(body, "\x01\x02", "  "), SENTENCE_END, "\x01")
+    marked = F.lower(F.regexp_replace(F.translate(marked, "\n", "\x02"), r"[^A-Za-z0-9\x01\x02]+", " "))
     rows = (
         docs.select(
             "doc_id",
             F.when(body.rlike(SIGNS), F.filter(lines, lambda s: s.rlike(SIGNS)))
             .otherwise(F.array().cast("array<string>")).alias("_signs"),
+            F.when(body.rlike(SIGNS), F.regexp_extract_all(marked, F.lit(_pattern(known)), F.lit(1)))
+            .otherwise(F.array().cast("array<string>")).alias("_known"),
         )
         .withColumn(
             "_ids",
-            F.filter(F.transform("_signs", lambda s: F.try_element_at(lookup, _normal(s))), lambda i: i.isNotNull()),
+            F.filter(F.transform("_known", lambda s: F.try_element_at(lookup, _normal(s))), lambda i: i.isNotNull()),
         )
     )
     start = F.struct(

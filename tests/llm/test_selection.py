@@ -225,6 +225,63 @@ def test_licences(spark):
     assert (found[7].n_signs, found[7].licences) == (1, "")
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a
+copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation
+the rights to use, copy, modify, merge, publish, distribute, sublicense,
+and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
+def test_licences_wrapped_over_lines(spark, mark):
+    def marked(text):
+        return "int a;\n" + "\n".join(mark + line for line in text.split("\n")) + "\nint b;\n"
+
+    short = "notes\nReleased under the MIT License\nmore of it"
+    early = 'Licensed under the Apache License, Version 2.0\n(the "License"); you may not use this file except\n' \
+        "in compliance with the License.\n"
+    part = "It is not licensed under the MIT\nLicense at all."
+    texts = [*map(marked, (APACHE, MIT, GPL, short, early, part))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.sentence_ids, r.licences, r.n_unmatched) for r in licences.licences(df).collect()}
+    assert found == {
+        0: ("apache-2-grant,apache-2-copy,apache-as-is,apache-see", "Apache-2.0", 0),
+        1: ("mit-title,copyright,mit-grant,mit-notice", "MIT", 0),
+        2: ("gpl-3-later,gpl-no-warranty,gpl-see", "GPL-3.0-or-later", 0),
+        3: ("mit-ref", "MIT", 0),
+        4: ("apache-2-grant", "Apache-2.0", 0),
+        5: ("", "", 0),
+    }
+
+
 def test_rules_apply_in_order(spark):
     df = spark.createDataFrame([(1, "license a. license b. license a.")], "doc_id long, text string")
     known = {"license a": "a", "license b": "b"}
