@@ -33,7 +33,7 @@ class Layout:
     title_rows: int = 0
     before: tuple[tuple[int, Step], ...] = ()
     after: tuple[tuple[int, Step], ...] = ()
-    category_map: Mapping[str, str] = field(default_factory=dict)
+    category_map: Mapping[str, str] = field(default_factory=dict, hash=False)
 
     def __post_init__(self) -> None:
         unknown = set(self.columns) - {*CANONICAL_COLUMNS, IGNORE, TIMELIKE}

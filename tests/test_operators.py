@@ -268,6 +268,11 @@ def test_name_errors_and_banks():
             assert find_layout(spelling) is layout
 
 
+def test_layouts_are_values():
+    assert len({CHASE, LLOYDS_CC, MONZO, CHASE}) == 3
+    assert hash(CHASE.with_after(lambda df: df)) != hash(CHASE)
+
+
 def test_similarity_in_blocks_equals_brute_force(spark):
     candidates = [f"{a}{b}{'x' * n}" for a in ("shop", "store", "shoop") for b in ("one", "two", "noe") for n in (0, 1, 9)]
     queries = ["shopon", "stor", "shoptwoxxxxxxxxx", "soreone", "shopnoex", "xxxxx", "shoopne", "q", "tow", "opon"]
