@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, jaccard, licences, lm, mixing, pii, quality, repeats, sharding, sql, toxicity
+from ledgerloom.llm import (
+    decontaminate, exact, jaccard, licences, lm, mixing, pii, quality, repeats, sharding, sql, toxicity,
+)
 from ledgerloom.llm.common import crc_mod, documents, query
 
 
@@ -102,11 +104,17 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts and the row of each that stays."""
+    return exact.exact_groups(documents(spark, sf_dir, "doc_id", "text"))
+
+
 QUERIES = {
     fn.__name__: fn
     for fn in (
         op1_mixing, op2_near_duplicates, op3_sharding, op4_licence_scan, op5_quality_divergence, op6_repeated_substrings,
-        op7_decontamination, op8_lm_scoring, op9_toxicity, op10_personal_data,
+        op7_decontamination, op8_lm_scoring, op9_toxicity, op10_personal_data, op12_exact_duplicates,
     )
 }
 ORACLES: dict[str, str] = {
@@ -114,4 +122,5 @@ ORACLES: dict[str, str] = {
     "op3_sharding": sql.sharding_sql(40),
     "op4_licence_scan": licences.oracle(),
     "op7_decontamination": sql.DECONTAMINATION,
+    "op12_exact_duplicates": exact.ORACLE,
 }
