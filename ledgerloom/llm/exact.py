@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.sources.shared import stage
 
-#: Entries that a bucket of the index holds before it splits.
-CAPACITY = 20_000
 #: The directory has at most 2 ** DEPTH slots, so it can be broadcast at any size of the corpus.
 DEPTH = 16
+#: Entries that a bucket of the index holds before it splits; in a large corpus, more: a quarter of the slots suffices.
+CAPACITY = 1000
 #: Bits of the filter for each key that occurs more than once, and the most bits that the filter can have.
 BITS_PER_KEY = 16
 MOST_BITS = 30
@@ -55,7 +55,7 @@ def _in_filter(key: Column, power: int) -> Column:
     return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
 
 
-def directory(keys: DataFrame, rows: int, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
+def directory(keys: DataFrame, rows: int, capacity: int) -> tuple[DataFrame, int]:
     """The directory over the keys that occur more than once, and its depth: `slot`, `bucket`, `local_depth`, `pages`.
 
     A bucket that holds more than `capacity` entries splits by one more bit of the key, and where a bucket is as deep as
@@ -87,7 +87,7 @@ def directory(keys: DataFrame, rows: int, capacity: int = CAPACITY) -> tuple[Dat
 
 
 def exact_groups(
-    docs: DataFrame, hashed: Callable[[Column], Column] = F.xxhash64, capacity: int = CAPACITY
+    docs: DataFrame, hashed: Callable[[Column], Column] = F.xxhash64, capacity: int | None = None
 ) -> DataFrame:
     """For each row of `docs`: doc_id, keep_id (doc_id of the row of its group that stays), group_size, kept and
     text_sha256 (lower-case hex of the normalised text).
@@ -107,7 +107,7 @@ def exact_groups(
     keys = stage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "keys")
     repeated, entries = keys.where("n > 1").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     pieces, power = repeated_filter(keys, repeated)
-    slots, depth = directory(keys, entries, capacity)
+    slots, depth = directory(keys, entries, capacity or max(CAPACITY, entries >> DEPTH - 2))
     slots = stage(slots, "directory")
 
     piece = F.shiftright(F.col("key").bitwiseAND(F.lit((1 << power) - 1)), PIECE)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
-    decontaminate, exact, jaccard, licences, lm, mixing, pii, quality, repeats, sharding, sql, toxicity,
+    collocations, decontaminate, exact, jaccard, licences, lm, mixing, pii, quality, repeats, sharding, sql, toxicity,
+    whitening,
 )
 from ledgerloom.llm.common import crc_mod, documents, query
 
@@ -104,17 +105,34 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All usable embeddings on the first four components of their distinct integer vectors."""
+    found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select("*", F.posexplode("whitened").alias("at", "value")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("value").alias("whitened"),
+        F.col("explained")[F.col("at")].alias("explained"), "identity_error",
+    )
+
+
 @query
 def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts and the row of each that stays."""
     return exact.exact_groups(documents(spark, sf_dir, "doc_id", "text"))
 
 
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2000 phrases of two to four words of every language."""
+    return collocations.collocations(documents(spark, sf_dir, "text", "lang"))
+
+
 QUERIES = {
     fn.__name__: fn
     for fn in (
         op1_mixing, op2_near_duplicates, op3_sharding, op4_licence_scan, op5_quality_divergence, op6_repeated_substrings,
-        op7_decontamination, op8_lm_scoring, op9_toxicity, op10_personal_data, op12_exact_duplicates,
+        op7_decontamination, op8_lm_scoring, op9_toxicity, op10_personal_data, op11_embedding_whitening,
+        op12_exact_duplicates, op13_collocations,
     )
 }
 ORACLES: dict[str, str] = {
@@ -123,4 +141,5 @@ ORACLES: dict[str, str] = {
     "op4_licence_scan": licences.oracle(),
     "op7_decontamination": sql.DECONTAMINATION,
     "op12_exact_duplicates": exact.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
