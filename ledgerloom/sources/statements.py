@@ -20,6 +20,8 @@ RAW_LINE = "_raw_line"
 
 # Larger files are cut into blocks where their content allows it; smaller ones are read whole.
 LARGE_FILE = 64 * 1024 * 1024
+# A quoted cell that is still open after so many lines makes the row a misfit, shown by these lines.
+RECORD_LINES = 1000
 
 
 @dataclass(frozen=True)
@@ -76,10 +78,10 @@ def read_statements(
 ) -> RawStatements:
     """Read statement files of one layout.
 
-    Ordinary files are read whole, each by one task. Large files are cut into blocks for many tasks, unless
-    some quoted cell in them runs over a line end. `multi_line` forces whole files (True) or blocks (False).
-    `staged` writes the numbered rows to a shared folder first, so the files are parsed only once; it is
-    implied by large files.
+    Ordinary files are read whole, each by one task. Large files are cut into blocks for many tasks, also where
+    quoted cells run over line ends (`split_records`). `multi_line` forces whole files (True) or blocks of lines
+    (False). `staged` writes the numbered rows to a shared folder first, so the files are parsed only once; it
+    is implied by large files.
     """
     if multi_line is not None:
         numbered = number_rows(locate(_cells(spark, paths, layout, multi_line)), blocks=not multi_line)
@@ -91,28 +93,131 @@ def read_statements(
         numbered = number_rows(locate(cells), blocks=False)
         return replace(place_rows(numbered, layout, blocks=False, staged=staged), hot_rows=None)
 
-    whole = _files_with_long_cells(spark, paths, large)
-    kept_whole = ~large | file_name(F.col("_metadata.file_path")).isin(whole) if whole else ~large
-    split = _cells(spark, paths, layout, False).where(~kept_whole)
-    numbered = number_rows(locate(cells.where(kept_whole)), blocks=False).unionByName(
-        number_rows(locate(split), blocks=True)
+    numbered = number_rows(locate(cells.where(~large)), blocks=False).unionByName(
+        split_records(spark.read.text(paths).where(large), layout)
     )
     return place_rows(numbered, layout, blocks=True, staged=True)
 
 
-def _files_with_long_cells(spark: SparkSession, paths: list[str], chosen: Column) -> list[str]:
-    """The chosen files with a line that opens a quoted cell without closing it.
+def _cells(spark: SparkSession, paths: list[str], layout: Layout, multi_line: bool) -> DataFrame:
+    return spark.read.schema(csv_schema(layout)).options(**csv_options(multi_line)).csv(paths)
+
+
+# A line that is complete up to a quoted cell which it opens and does not close. A quote within a cell that does
+# not begin with one is a plain character.
+_CLOSED_CELL = r'(?:"(?:[^"]++|"")*+"[^,]*+|(?!")[^,]*+),'
+_OPENS = rf'^(?:{_CLOSED_CELL})*+"(?:[^"]++|"")*+$'
+# The end of a quoted cell that an earlier line opened, up to the next delimiter.
+_CLOSES = r'^(?:[^"]++|"")*+"[^,]*+'
+
+
+def _line_states(lines: DataFrame) -> DataFrame:
+    """Each line with its number in its block, and whether it begins inside a quoted cell if the block does not
+    (`inside_0`) or does (`inside_1`); `after_0` and `after_1` say the same of its end.
 
-    One short name per large file at most; the driver lists the files for the scan anyway.
+    A line turns either state of its start into one of its end: it fixes the state, keeps it or swaps it. The state
+    after a line is what the last fixing line left, swapped as often as lines since have swapped it.
     """
-    lines = spark.read.text(paths).where(chosen)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    files = lines.where(quotes % 2 == 1).select(file_name(F.col("_metadata.file_path")).alias("file")).distinct()
-    return [found.file for found in files.collect()]
+    value = F.col("value")
+    rest = F.regexp_replace(value, _CLOSES, "")
+    from_0 = value.rlike(_OPENS).cast("int")
+    from_1 = F.when(~value.rlike(_CLOSES), 1).when(rest == "", 0).otherwise(F.substring(rest, 2, 1 << 30).rlike(_OPENS).cast("int"))
+    in_block = Window.partitionBy("_src_file", "_block_start").orderBy("_read_order")
+    states = (
+        lines.select(
+            "value", file_name(F.col("_metadata.file_path")).alias("_src_file"),
+            F.col("_metadata.file_block_start").alias("_block_start"), F.monotonically_increasing_id().alias("_read_order"),
+            from_0.alias("_from_0"), from_1.alias("_from_1"),
+        )
+        .withColumn("_at", F.row_number().over(in_block))
+        .withColumn("_swaps", F.sum(F.when((F.col("_from_0") == 1) & (F.col("_from_1") == 0), 1).otherwise(0)).over(in_block))
+        .withColumn(
+            "_fixed",
+            F.last(F.when(F.col("_from_0") == F.col("_from_1"), (F.col("_from_0") + F.col("_swaps")) % 2), True).over(in_block),
+        )
+    )
+    for start in (0, 1):
+        after = (F.coalesce("_fixed", F.lit(start)) + F.col("_swaps")) % 2
+        states = states.withColumn(f"after_{start}", after).withColumn(
+            f"inside_{start}", F.lag(f"after_{start}", 1, start).over(in_block)
+        )
+    return states.select(
+        "_src_file", "_block_start", "_at", "value", "inside_0", "after_0", "inside_1", "after_1"
+    )
 
 
-def _cells(spark: SparkSession, paths: list[str], layout: Layout, multi_line: bool) -> DataFrame:
-    return spark.read.schema(csv_schema(layout)).options(**csv_options(multi_line)).csv(paths)
+def _block_states(states: DataFrame) -> DataFrame:
+    """For each block of a file: whether it begins inside a quoted cell, and where the row began that goes on in it.
+
+    The same reasoning as for lines, with a row for each block: no window holds more than one file's blocks.
+    """
+    ends = states.groupBy("_src_file", "_block_start").agg(
+        *[F.max_by(f"after_{start}", "_at").alias(f"_end_{start}") for start in (0, 1)],
+        *[F.max(F.when(F.col(f"inside_{start}") == 0, F.col("_at"))).alias(f"_last_{start}") for start in (0, 1)],
+    )
+    in_file = Window.partitionBy("_src_file").orderBy("_block_start")
+    swaps = (F.col("_end_0") == 1) & (F.col("_end_1") == 0)
+    fixed = F.when(F.col("_end_0") == F.col("_end_1"), (F.col("_end_0") + F.col("_swaps")) % 2)
+    return (
+        ends.withColumn("_swaps", F.sum(swaps.cast("int")).over(in_file))
+        .withColumn("_fixed", F.last(fixed, True).over(in_file))
+        .withColumn("_after", (F.coalesce("_fixed", F.lit(0)) + F.col("_swaps")) % 2)
+        .withColumn("_start", F.lag("_after", 1, 0).over(in_file))
+        .withColumn("_last", F.when(F.col("_start") == 0, F.col("_last_0")).otherwise(F.col("_last_1")))
+        .withColumn("_nth_block", F.row_number().over(in_file))
+        .withColumn("_began", F.when(F.col("_last").isNotNull(), F.struct("_block_start", "_last", "_nth_block")))
+        .withColumn("_open", F.last("_began", True).over(in_file.rowsBetween(Window.unboundedPreceding, -1)))
+        .select("_src_file", "_block_start", "_start", "_open", (F.col("_nth_block") - F.col("_open._nth_block")).alias("_since"))
+    )
+
+
+def split_records(lines: DataFrame, layout: Layout) -> DataFrame:
+    """The rows of files read as lines, by blocks: cells, `_src_file`, `_block_start`, `_line` in the block.
+
+    A row begins at a line that is not inside a quoted cell, and belongs to the block that it begins in, however
+    many lines and blocks it takes. Which lines those are follows from the parity of quotes: of each line, then of
+    each block, then of all blocks before. A quote that opens a cell by mistake costs the rows up to the next quoted
+    cell; how these are cut can differ from whole files, all others are the same. Line ends within cells become \\n.
+    """
+    states = stage(_line_states(lines), "statement-lines")
+    placed = states.join(_block_states(states), ["_src_file", "_block_start"])
+    in_block = Window.partitionBy("_src_file", "_block_start").orderBy("_at")
+    inside, after = (
+        F.when(F.col("_start") == 0, F.col(f"{name}_0")).otherwise(F.col(f"{name}_1")) for name in ("inside", "after")
+    )
+    placed = placed.withColumn("_inside", inside).withColumn("_after", after).withColumn(
+        "_first", F.last(F.when(F.col("_inside") == 0, F.col("_at")), True).over(in_block)
+    )
+    whole = placed.where("_inside = 0 and _after = 0").select("_src_file", "_block_start", "_at", F.col("value").alias("_record"), F.lit(False).alias("_long"))
+    pieces = placed.where("_inside = 1 or _after = 1").select(
+        "_src_file", F.struct("_block_start", "_at").alias("_place"), "value",
+        F.when(F.col("_first").isNull(), F.col("_open._block_start")).otherwise(F.col("_block_start")).alias("_block_start"),
+        F.coalesce("_first", "_open._last").alias("_of"),
+        F.when(F.col("_first").isNull(), F.col("_since")).otherwise(0).alias("_since"),
+    )
+    # A row without end is cut where it is read and never gathered: by lines in a block, and by blocks.
+    in_part = Window.partitionBy("_src_file", "_place._block_start", "_block_start", "_of").orderBy("_place")
+    joined = (
+        pieces.withColumn("_nth", F.row_number().over(in_part))
+        .where((F.col("_nth") <= RECORD_LINES) & (F.col("_since") <= RECORD_LINES))
+        .groupBy("_src_file", "_block_start", "_of")
+        .agg(F.sort_array(F.collect_list(F.struct("_place", "value"))).alias("_lines"), F.max("_since").alias("_far"))
+        .select(
+            "_src_file", "_block_start", F.col("_of").alias("_at"),
+            F.array_join(F.slice(F.transform("_lines", lambda line: line["value"]), 1, RECORD_LINES), "\n").alias("_record"),
+            ((F.size("_lines") >= RECORD_LINES) | (F.col("_far") >= RECORD_LINES)).alias("_long"),
+        )
+    )
+    records = whole.unionByName(joined).where(~F.col("_record").rlike(r"^[\x00-\x20]*$"))
+    schema = ", ".join(f"`{field.name}` string" for field in csv_schema(layout))
+    options = csv_options(True)
+    parsed = F.from_csv(F.when(~F.col("_long"), F.col("_record")), schema, options)
+    numbered = records.withColumn("_line", F.row_number().over(in_block)).withColumn("_cells", parsed)
+    return numbered.select(
+        *[F.col("_cells")[name].alias(name) for name in layout.raw_columns],
+        F.coalesce(F.when(F.col("_long"), F.col("_record")), F.col("_cells")[RAW_LINE]).alias(RAW_LINE),
+        "_src_file", "_block_start", "_line",
+    )
 
 
 def locate(cells: DataFrame) -> DataFrame:

@@ -178,6 +178,55 @@ def statement_csv_monzo(spark, sf):
     return _standardised(spark, sf, MONZO)
 
 
+# Large files of rows over several lines, with quotes inside plain cells. Two of twenty files are of another kind.
+_LONG = Layout("Long", ("date", "name", "notes", "amount"))
+_OTHER_FILES = (3, 7)
+_LONG_SQL = """select user_id % 20 as file, cast(date_trunc('day', ts) as timestamp) as date, '5" ' || event_type as name,
+    event_type || ', then' || chr(10) || chr(10) || '"' || event_id || '"' as notes, cast(value as decimal(12,2)) as amount
+    from events"""
+
+
+def _long_statements(spark, sf: str):
+    """The files read in blocks of 64 KB, each row over three lines."""
+    cells = [
+        F.date_format("ts", "yyyy-MM-dd"), F.concat(F.lit('5" '), F.col("event_type")),
+        F.concat(F.lit('"'), F.col("event_type"), F.lit(', then\n\n""'), F.col("event_id").cast("string"), F.lit('"""')),
+        F.col("value").cast("string"),
+    ]
+    file = F.col("user_id") % 20
+    body = table(spark, sf, "events").select(file.alias("account"), F.col("event_id").alias("place"), F.concat_ws(",", *cells).alias("line"))
+    head = F.when(F.col("account").isin(*_OTHER_FILES), F.lit("Day,Who")).otherwise(F.lit("Day,Who,Text,Sum"))
+    heads = body.select("account").distinct().select("account", F.lit(-1).cast("bigint").alias("place"), head.alias("line"))
+    folder = shared_folder(spark, "statements")
+    files = heads.unionByName(body).repartition("account").sortWithinPartitions("account", "place")
+    files.select("account", "line").write.partitionBy("account").text(folder)
+    block, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(block, str(64 * 1024))
+    try:
+        return read_statements(spark, [f"{folder}/account=*"], _LONG, large_file=1)
+    finally:
+        spark.conf.set(block, before)
+
+
+@query(f"select * from ({_LONG_SQL}) where file not in {_OTHER_FILES}")
+def statement_csv_in_blocks(spark, sf):
+    raw = _long_statements(spark, sf)
+    return standardise(raw, _LONG).select(
+        account_of(F.col("_src_file")).cast("bigint").alias("file"), "date", "name", "notes", "amount"
+    )
+
+
+@query(
+    f"""select file, 4 as expected_columns, 'Day,Who' as header_line from ({_LONG_SQL})
+        where file in {_OTHER_FILES} group by file"""
+)
+def statement_misfits(spark, sf):
+    """Files whose header does not fit the layout, with what stands there instead."""
+    return _long_statements(spark, sf).rejected_files.select(
+        account_of(F.col("source_file")).cast("bigint").alias("file"), "expected_columns", "header_line"
+    )
+
+
 # A layout without notes, currency, category and balance: everything else is a default.
 _SPARSE = Layout("Sparse", ("date", "name", "amount"))
 

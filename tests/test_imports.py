@@ -1,5 +1,6 @@
 """Statement files through the whole import, into a stored ledger and back."""
 
+import random
 from datetime import datetime
 from decimal import Decimal
 
@@ -10,6 +11,7 @@ from ledgerloom import CHASE, LLOYDS_CC, MONZO, Ledger, Rule
 from ledgerloom.operators.rules import Action, Condition
 from ledgerloom.plans.imports import RejectedRows
 from ledgerloom.plans.standardise import rejected, standardise
+from ledgerloom.sources import statements
 from ledgerloom.sources.layouts import Layout
 from ledgerloom.sources.statements import LayoutMismatch, read_statements, require_all_files
 from ledgerloom.streaming.ingest import stream_statements
@@ -108,6 +110,77 @@ def test_large_files_are_split_and_keep_their_order(spark, tmp_path):
     assert [r.balance for r in rows] == [Decimal(i * (i + 1) // 2) for i in range(1, 3001)]
 
 
+def cells_of(rng):
+    """Cells as they occur: plain, quoted, with delimiters, quotes and line ends inside, and with stray quotes."""
+    kind = rng.random()
+    if kind < 0.55:
+        return rng.choice(["x", "", "12.5", "a b", "é", '5" pipe', 'b"', " lead"])
+    inner = "".join(rng.choice(["a", ",", '""', "\n", " ", "word", "\n\n"]) for _ in range(rng.randint(0, 6)))
+    return f'"{inner}"'
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rows_over_line_ends_in_blocks(spark, tmp_path, seed):
+    """Blocks of a few bytes give the same rows as whole files, in the same order, whatever the quotes."""
+    rng = random.Random(seed)
+    layout = Layout("Any", ("date", "name", "notes", "ignore"))
+    paths = []
+    for n in range(3):
+        lines = ["d,n,t,i"]
+        for i in range(120):
+            width = 4 if rng.random() < 0.9 else rng.randint(1, 6)
+            lines.append(",".join([f"{n}-{i}", *(cells_of(rng) for _ in range(width - 1))]))
+        paths.append(write(tmp_path, f"s{n}.csv", lines))
+    whole = read_statements(spark, paths, layout, multi_line=True)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        raw = read_statements(spark, paths, layout, large_file=10)
+        blocks = raw.rows.rdd.getNumPartitions()
+        rows = raw.rows.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert blocks > 1
+
+    def ordered(rows):
+        rows = sorted(rows, key=lambda r: (r._src_file, r._row))
+        assert len({(r._src_file, r._row) for r in rows}) == len(rows)
+        return [(r._src_file, r._c0, r._c1, r._c2, r._c3, r._raw_line is None) for r in rows]
+
+    assert ordered(rows) == ordered(whole.rows.collect())
+
+
+def test_stray_opening_quote(spark, tmp_path):
+    """A quote that opens a cell by mistake costs the rows up to the next quoted cell, not the rest of the file."""
+    plain = lambda i: f"01/01/2025,x,k,row {i},-{i}"
+    lines = ["a,b,c,d,e", *map(plain, range(200)), '01/01/2025,x,k,"open,1', *map(plain, range(200, 210))]
+    lines += ['01/01/2025,x,k,"closed",1', *map(plain, range(210, 600))]
+    path = write(tmp_path, "stray.csv", lines)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        raw = read_statements(spark, [path], LLOYDS_CC, large_file=10)
+        rows = standardise(raw, LLOYDS_CC).orderBy("_row").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    names = [r.name for r in rows]
+    assert names.pop(200).startswith('"open,1\n')
+    assert names == [f"row {i}" for i in range(600) if not 200 <= i < 210]
+
+
+def test_cell_without_end(spark, tmp_path, monkeypatch):
+    """A cell that never closes makes one misfit row, shown by its first lines; the rows before it stand."""
+    monkeypatch.setattr(statements, "RECORD_LINES", 20)
+    lines = ["a,b,c,d,e", "25/02/2026,x,k,one,1", '26/02/2026,x,k,"two,2', *["27/02/2026,x,k,lost,3"] * 500]
+    path = write(tmp_path, "open.csv", lines)
+    raw = read_statements(spark, [path], LLOYDS_CC, large_file=10)
+    assert [r.name for r in standardise(raw, LLOYDS_CC).collect()] == ["one"]
+    (misfit,) = raw.rows.where("_raw_line is not null").collect()
+    assert misfit._raw_line.startswith('26/02/2026,x,k,"two') and misfit._raw_line.count("lost") == 19
+
+
 @pytest.mark.parametrize("large_file", [10, 100_000])
 def test_file_of_another_layout(spark, tmp_path, large_file):
     good = write(tmp_path, "good.csv", LLOYDS_LINES)
