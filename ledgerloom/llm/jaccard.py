@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,14 @@ from ledgerloom.llm.common import count_rows_up_to
 from ledgerloom.llm.graph import components
 from ledgerloom.sources.shared import stage
 
-#: Subsets are enumerated for sets up to this size at most; the boundary is chosen at or below it.
+#: Subsets are enumerated for sets up to this size at most, and of this many subsets; the boundary is chosen below it.
 SMALL_MOST = 24
+SUBSETS_MOST = 1000
+#: Shingles of one owner, and those that a task gathers before it sends them to their owners.
+OWNED_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 2_000_000
+#: Sets whose counts are added up together.
+COUNTED_SETS = 20_000
 #: What a posting of an inverted list costs beside one of a subset: it is met by the others of its list.
 SCAN_COST = 4
 #: Members of a candidate cluster that one task compares, and shingles of them.
@@ -68,6 +75,7 @@ class Scheme:
     def __init__(self, percent: int):
         self.percent = percent
         self._starts = [1]
+        self._blocks: dict[int, int] = {}
         self._bounds: dict[int, np.ndarray] = {}
 
     def partner(self, n: int) -> int:
@@ -90,28 +98,41 @@ class Scheme:
             low, high = (middle, high) if self._starts[middle] <= n else (low, middle)
         return low
 
-    def blocks(self, of_class: int) -> int:
-        """One more than the elements in which linked sets differ, the smaller of them being of the class."""
+    def most_differing(self, of_class: int) -> int:
+        """In how many elements linked sets differ at most, the smaller of them being of the class."""
         while of_class + 1 >= len(self._starts):
             self.size_class(self._starts[-1])
         n = self._starts[of_class + 1] - 1
-        return (n + self.partner(n)) * (100 - self.percent) // (100 + self.percent) + 1
+        return (n + self.partner(n)) * (100 - self.percent) // (100 + self.percent)
+
+    def blocks(self, of_class: int) -> int:
+        """More than the elements in which linked sets differ, by about as many as a set of the class leaves empty."""
+        if of_class not in self._blocks:
+            differing = self.most_differing(of_class)
+            blocks = differing + 1
+            for _ in range(8):
+                empty = blocks * math.exp(-self._starts[of_class] / blocks)
+                blocks = differing + 1 + math.floor(empty + 2 * math.sqrt(empty))
+            self._blocks[of_class] = blocks
+        return self._blocks[of_class]
 
     def least_overlap(self, n: int, m: int) -> int:
         return -(-self.percent * (n + m) // (100 + self.percent))
 
     def list_keys(self, elements: np.ndarray) -> np.ndarray:
-        """Tokens of the inverted lists: the set is cut into blocks by ranges of hash, one more than linked sets can
-        differ in elements, so a linked set has one block in common. A block's token is a hash of all its elements.
+        """Tokens of the inverted lists: the set is cut into blocks by ranges of hash, more than linked sets can differ
+        in elements, and a block's token is a hash of all its elements.
 
-        A block that is empty says nothing; a set with one is dealt anew by other hashes, so are the sets it shares
-        the empty block with. Only sets with an empty block in every deal get tokens for their empty blocks.
+        An empty block says nothing and gets no token. Of a set with more full blocks than linked sets can differ in, one
+        is untouched by the differences, so its linked sets have it too. A set with fewer is dealt anew by other hashes,
+        and so are those linked with it, unless they share a token already. Only sets with too few in every deal get
+        tokens for their empty blocks.
         """
         n = len(elements)
         own = self.size_class(n)
         keys = []
         for of_class in {own, max(0, own - 1)}:
-            blocks = self.blocks(of_class)
+            blocks, differing = self.blocks(of_class), self.most_differing(of_class)
             bounds = self.bounds(blocks)
             dealt = elements
             for deal in range(DEALS):
@@ -123,11 +144,22 @@ class Scheme:
                 salt = mix(np.arange(blocks, dtype=np.uint64) + np.uint64((of_class * DEALS + deal) << 32 | 1 << 62))
                 tokens = mix(tokens ^ salt)
                 full = edges[1:] > edges[:-1]
-                keys.append(tokens[full] if deal < DEALS - 1 else tokens)
-                if full.all():
+                enough = full.sum() > differing
+                keys.append(tokens[full] if enough or deal < DEALS - 1 else tokens)
+                if enough:
                     break
         return np.unique(np.concatenate(keys))
 
+    def small_most(self) -> int:
+        """The largest size, up to SMALL_MOST, whose sets have no more than SUBSETS_MOST subsets of any kind."""
+        best = 0
+        for n in range(1, SMALL_MOST + 1):
+            dropped = [n - self.least_overlap(n, m) for m in range(-(-self.percent * n // 100), self.partner(n) + 1)]
+            if max(math.comb(n, d) for d in dropped if d >= 0) > SUBSETS_MOST:
+                break
+            best = n
+        return best
+
     def subset_keys(self, elements: np.ndarray) -> np.ndarray:
         """For each size that a linked set can have: a hash of every subset of the size that the two must share."""
         n = len(elements)
@@ -144,7 +176,7 @@ class Scheme:
         return np.unique(np.concatenate(keys))
 
 
-_SETS = "doc_id {id}, body_hash long, n_shingles long, sid long, lists array<long>, subsets array<long>"
+_SETS = "doc_id {id}, body_hash long, n_shingles long, sid long"
 
 
 def set_id(elements: np.ndarray) -> int:
@@ -159,38 +191,154 @@ def _longs(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def _sets(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """One row for each document: number of shingles, name of the set, keys. A set that a task has already met gets
-    its keys only once there."""
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """One row for each document: number of shingles, name of the set."""
     schema = _SETS.format(id=docs.schema["doc_id"].dataType.simpleString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, scheme, seen = _Words(), Scheme(percent), set()
-        none = np.empty(0, np.uint64)
+        known = _Words()
         for batch in batches:
             for piece in _pieces(batch):
-                sizes, sids, lists, subsets = [], [], [], []
+                sizes, sids = [], []
                 for text in piece.column(2):
                     elements = shingles(text.as_py(), known, width)
-                    n = len(elements)
-                    sid = set_id(elements) if n else 0
-                    new = n > 0 and sid not in seen
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(sid)
-                    sizes.append(n)
-                    sids.append(sid)
-                    lists.append(scheme.list_keys(elements) if new else none)
-                    subsets.append(scheme.subset_keys(elements) if new and n <= SMALL_MOST else none)
+                    sizes.append(len(elements))
+                    sids.append(set_id(elements) if len(elements) else 0)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0), piece.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64())],
+                    names=["doc_id", "body_hash", "n_shingles", "sid"],
+                )
+
+    return docs.select("doc_id", F.xxhash64("text").alias("body_hash"), "text").mapInArrow(run, schema)
+
+
+def _sent(sets: list[np.ndarray], sids: list[int], owners: int) -> pa.RecordBatch:
+    """The shingles of some sets by owner: the low half of each in order, and which of the owner's sets it is from."""
+    everything = np.concatenate(sets)
+    of_set = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
+    owner = ((everything >> np.uint64(32)) % np.uint64(owners)).astype(np.uint32)
+    order = np.argsort(owner.astype(np.uint64) << np.uint64(32) | everything & np.uint64(0xFFFFFFFF))
+    low, owner, of_set = everything[order].astype(np.uint32), owner[order], of_set[order]
+    names = np.array(sids, np.int64)
+    edges = np.concatenate((np.nonzero(np.append(True, owner[1:] != owner[:-1]))[0], [len(owner)]))
+    rows = {"owner": [], "low": [], "of_set": [], "sids": []}
+    for start, end in zip(edges[:-1], edges[1:]):
+        present, local = np.unique(of_set[start:end], return_inverse=True)
+        rows["owner"].append(int(owner[start]))
+        # The bytes of one place stand together: those of high places hardly change, so they take little room.
+        rows["low"].append(low[start:end].view(np.uint8).reshape(-1, 4).T.tobytes())
+        rows["of_set"].append(local.astype(np.uint16 if len(present) <= 65536 else np.uint32).tobytes())
+        rows["sids"].append(names[present].tobytes())
+    return pa.RecordBatch.from_pydict({"owner": pa.array(rows["owner"], pa.int64())} | {
+        name: pa.array(rows[name], pa.binary()) for name in ("low", "of_set", "sids")
+    })
+
+
+def _shared_of_owner(blocks: pa.Table, parts: int) -> pa.Table:
+    """For each set, how many of its shingles at this owner another set has too: a row for each part of the sets."""
+    lows, names = [], []
+    for low, of_set, sids in zip(blocks["low"], blocks["of_set"], blocks["sids"]):
+        low = np.frombuffer(low.as_py(), np.uint8).reshape(4, -1)
+        count = low.shape[1]
+        of_set = np.frombuffer(of_set.as_py(), np.uint16 if len(of_set.as_py()) == 2 * count else np.uint32)
+        lows.append(np.ascontiguousarray(low.T).view(np.uint32).ravel())
+        names.append(np.frombuffer(sids.as_py(), np.int64)[of_set])
+    low, name = np.concatenate(lows), np.concatenate(names)
+    order = np.lexsort((name, low))
+    low, name = low[order], name[order]
+    # A set that several tasks have met counts once.
+    new = np.append(True, (low[1:] != low[:-1]) | (name[1:] != name[:-1]))
+    low, name = low[new], name[new]
+    starts = np.nonzero(np.append(True, low[1:] != low[:-1]))[0]
+    lengths = np.diff(np.append(starts, len(low)))
+    sids, shared = np.unique(name[np.repeat(lengths > 1, lengths)], return_counts=True)
+    part = (mix(sids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    sids, shared, part = sids[order], shared[order].astype(np.uint32), part[order]
+    edges = np.concatenate((np.nonzero(np.append(True, part[1:] != part[:-1]))[0], [len(part)])) if len(part) else [0]
+    spans = list(zip(edges[:-1], edges[1:]))
+    return pa.table(
+        {
+            "part": pa.array([int(part[start]) for start, _ in spans], pa.int64()),
+            "sids": pa.array([sids[start:end].tobytes() for start, end in spans], pa.binary()),
+            "shared": pa.array([shared[start:end].tobytes() for start, end in spans], pa.binary()),
+        }
+    )
+
+
+def _shared_of_sets(counts: pa.Table) -> pa.Table:
+    """The counts of a part of the sets, added up over all owners."""
+    sids = np.concatenate([np.frombuffer(body.as_py(), np.int64) for body in counts["sids"]])
+    shared = np.concatenate([np.frombuffer(body.as_py(), np.uint32) for body in counts["shared"]])
+    names, at = np.unique(sids, return_inverse=True)
+    sums = np.bincount(at, shared, minlength=len(names)).astype(np.int64)
+    return pa.table({"sid": pa.array(names), "shared": pa.array(sums)})
+
+
+def in_company(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
+    """`sid` of the sets that can have a link: as many of their shingles as a link needs are also in other sets.
+
+    Shingles travel once, in compact blocks, to the owner of a range of hashes, without the text. An owner tells two
+    shingles apart by 32 bits of their hash and the range; where it fails to, a set stays that could have gone. Most
+    documents have more shingles of their own than a link allows, so what follows works on few sets.
+    """
+    rows, total = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    owners, parts = max(1, -(-total // OWNED_SHINGLES)), max(1, -(-rows // COUNTED_SETS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = _Words(), set()
+        parts, sids, held = [], [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                elements = shingles(text.as_py(), known, width)
+                if not len(elements):
+                    continue
+                sid = set_id(elements)
+                if sid in seen:
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(sid)
+                parts.append(elements)
+                sids.append(sid)
+                held += len(elements)
+                if held > BLOCK_SHINGLES:
+                    yield _sent(parts, sids, owners)
+                    parts, sids, held = [], [], 0
+        if parts:
+            yield _sent(parts, sids, owners)
+
+    blocks = docs.select("text").mapInArrow(run, "owner long, low binary, of_set binary, sids binary")
+    counts = blocks.groupBy("owner").applyInArrow(
+        lambda own: _shared_of_owner(own, parts), "part long, sids binary, shared binary"
+    )
+    shared = counts.groupBy("part").applyInArrow(_shared_of_sets, "sid long, shared long")
+    sizes = sets.where("n_shingles > 0").select("sid", "n_shingles").distinct()
+    return sizes.join(shared, "sid").where(f"100 * shared >= {percent} * n_shingles").select("sid", "n_shingles")
+
+
+def _keyed(docs: DataFrame, sets: DataFrame, members: DataFrame, percent: int, width: int) -> DataFrame:
+    """`sid`, `n_shingles`, `elements` (the shingles), `lists` and `subsets` (keys) of the member sets."""
+    texts = _texts(docs, sets, members)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, scheme = _Words(), Scheme(percent)
+        small, none = scheme.small_most(), np.empty(0, np.uint64)
+        for batch in batches:
+            for piece in _pieces(batch, 128):
+                found = [shingles(text.as_py(), known, width) for text in piece.column(1)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        piece.column(0), piece.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()),
-                        _longs(lists), _longs(subsets),
+                        piece.column(0), pa.array([len(e) for e in found], pa.int64()),
+                        pa.array([e.tobytes() for e in found], pa.binary()),
+                        _longs([scheme.list_keys(e) for e in found]),
+                        _longs([scheme.subset_keys(e) if len(e) <= small else none for e in found]),
                     ],
-                    names=["doc_id", "body_hash", "n_shingles", "sid", "lists", "subsets"],
+                    names=["sid", "n_shingles", "elements", "lists", "subsets"],
                 )
 
-    return docs.select("doc_id", F.xxhash64("text").alias("body_hash"), "text").mapInArrow(run, schema)
+    schema = "sid long, n_shingles long, elements binary, lists array<long>, subsets array<long>"
+    return texts.select("sid", "text").mapInArrow(run, schema)
 
 
 def _pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -198,12 +346,12 @@ def _pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
-def boundary(sets: DataFrame) -> int:
+def boundary(sets: DataFrame, most: int = SMALL_MOST) -> int:
     """The size up to which subsets are enumerated: where their keys and the lists of all larger sets cost least.
 
-    The driver sees one row for each size up to SMALL_MOST."""
+    The driver sees one row for each size up to `most`."""
     costs = (
-        sets.where((F.size("lists") > 0) & (F.col("n_shingles") <= SMALL_MOST))
+        sets.where((F.size("lists") > 0) & (F.col("n_shingles") <= most))
         .groupBy("n_shingles")
         .agg(F.sum(F.size("subsets")).alias("subsets"), F.sum(F.size("lists")).alias("lists"))
         .collect()
@@ -213,12 +361,12 @@ def boundary(sets: DataFrame) -> int:
     def cost(x: int) -> int:
         return sum(subsets if n <= x else lists for n, (subsets, lists) in by_size.items())
 
-    return min(range(SMALL_MOST + 1), key=lambda x: (cost(x), x))
+    return min(range(most + 1), key=lambda x: (cost(x), x))
 
 
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) from every set to the smallest of each key that it shares: linked sets are connected by them."""
-    x = boundary(sets)
+    x = boundary(sets, Scheme(percent).small_most())
     as_list = F.when(F.floor(F.col("n_shingles") * 100 / percent) > x, F.col("lists"))
     as_subset = F.when(F.col("n_shingles") <= x, F.col("subsets"))
     empty = F.array().cast("array<long>")
@@ -301,8 +449,8 @@ def _verified(percent: int):
     return run
 
 
-def _elements(docs: DataFrame, sets: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """`sid` and the shingles of the member sets, each from the text of one document that has it."""
+def _texts(docs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
+    """`sid` and `text` of the member sets, each from one document that has it."""
     named = sets.join(members.select("sid"), "sid").groupBy("sid")
     sources = stage(
         named.agg(F.min(F.struct("doc_id", "body_hash")).alias("_of")).select(
@@ -315,27 +463,17 @@ def _elements(docs: DataFrame, sets: DataFrame, members: DataFrame, width: int)
         F.broadcast(sources) if few else sources,
         F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("body_hash") == F.col("_h")),
     )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
-        for batch in batches:
-            for piece in _pieces(batch):
-                bodies = [shingles(text.as_py(), known, width).tobytes() for text in piece.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(bodies, pa.binary())], names=["sid", "elements"]
-                )
-
-    return texts.select("sid", "text").mapInArrow(run, "sid long, elements binary")
+    return texts.select("sid", "text")
 
 
-def links(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
+def links(keyed: DataFrame, percent: int) -> DataFrame:
     """Edges that span the components of all links: candidate clusters are compared set by set.
 
     A cluster above CLUSTER_SETS sets or CLUSTER_SHINGLES shingles is cut into blocks, and each two blocks are
     compared by a task of their own.
     """
-    clusters = stage(components(candidates(sets, percent)), "clusters")
-    sizes = sets.select(F.col("sid").alias("node"), "n_shingles").distinct()
+    clusters = stage(components(candidates(keyed, percent)), "clusters")
+    sizes = keyed.select(F.col("sid").alias("node"), "n_shingles").distinct()
     members = stage(clusters.join(sizes, "node").withColumnRenamed("node", "sid"), "members")
     loads = members.groupBy("root").agg(
         F.greatest(
@@ -350,9 +488,8 @@ def links(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFra
         .where("blocks = 1 or block != other")
         .select("sid", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
-    elements = _elements(docs, sets, members, width)
     return (
-        elements.join(placed, "sid")
+        keyed.select("sid", "elements").join(placed, "sid")
         .groupBy("root", "i", "j")
         .applyInArrow(_verified(percent), "a long, b long")
     )
@@ -362,16 +499,19 @@ def near_duplicates(docs: DataFrame, percent: int = 90, width: int = 3) -> DataF
     """For each document: body_hash (of the text), n_shingles and component_id, the smallest doc_id that links lead to.
 
     Two documents link when their sets of `width`-word shingles have a Jaccard similarity of `percent` / 100 or more.
-    Sets up to a size chosen by cost share the hash of a subset of fixed size, larger ones an entry of inverted lists
-    of blocks; what shares a key is compared exactly. Equal sets are one node, so copies are never compared. A set is
+    Sets with too many shingles of their own for any link are found first. Of the others, sets up to a size chosen by
+    cost share the hash of a subset of fixed size, larger ones an entry of inverted lists of blocks; what shares a key is
+    compared exactly. Equal sets are one node, so copies are never compared. A set is
     named by 64 bits; among a billion sets, two get the same name with a probability of 3 %.
 
     Null and empty texts, and texts of blanks, have no shingles and link with nothing. Rows with equal texts, repeated
     rows among them, are in one component. A null id never is a component's smallest; a component of null ids alone
     has a null id. An empty table gives no rows. `docs` may have further columns, which are not read.
     """
-    sets = stage(_sets(docs, percent, width), "sets")
-    spanning = stage(links(docs, sets, percent, width), "links")
+    sets = stage(_sets(docs, width), "sets")
+    members = stage(in_company(docs, sets, percent, width), "in-company")
+    keyed = stage(_keyed(docs, sets, members, percent, width), "keyed")
+    spanning = stage(links(keyed, percent), "links")
     roots = components(spanning).withColumnRenamed("node", "sid")
     classes = sets.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     placed = classes.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))

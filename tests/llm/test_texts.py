@@ -77,6 +77,45 @@ def test_linked_sets_share_keys(percent):
             assert np.intersect1d(scheme.subset_keys(a), scheme.subset_keys(b)).size
 
 
+def test_long_near_copies(spark, monkeypatch):
+    """At 80 % of five words: texts of up to 3000 words, edits around the limit, and a passage that many share."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(4000)}"
+    passage = [word() for _ in range(60)]
+    rows = []
+    for n in (40, 300, 1000, 3000):
+        original = [word() for _ in range(n)]
+        for edits in (0.0, 0.01, 0.02, 0.024, 0.03, 0.06):
+            copy = [word() if rng.random() < edits else w for w in original]
+            rows.append((len(rows), " ".join(copy)))
+        rows.append((len(rows), " ".join(original[: int(0.85 * n)])))
+    for _ in range(40):
+        n = rng.randrange(100, 1500)
+        rows.append((len(rows), " ".join([word() for _ in range(n)] + passage + [word() for _ in range(n // 3)])))
+    monkeypatch.setattr(jaccard, "OWNED_SHINGLES", 4000)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 9000)
+    monkeypatch.setattr(jaccard, "COUNTED_SETS", 25)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = jaccard.stage(jaccard._sets(df, 5), "test-sets")
+    members = jaccard.in_company(df, sets, 80, 5)
+    assert members.count() < 4 * 7
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, 80, 5).collect())
+    assert got == expected_components(rows, 80, 5)
+    assert len({c for _, _, c in got}) < len(rows) - 10
+
+
+def test_unrelated_sets_share_no_keys():
+    rng = np.random.default_rng(5)
+    scheme = jaccard.Scheme(80)
+    for n in (100, 400, 1000, 3000):
+        sets = [np.unique(jaccard.mix(rng.integers(0, 2**62, n).astype(np.uint64))) for _ in range(30)]
+        keys = np.concatenate([scheme.list_keys(s) for s in sets])
+        assert len(np.unique(keys)) == len(keys)
+        assert len(keys) < 1.3 * 30 * n
+
+
 # --- suffix arrays and repeats
 
 
