@@ -25,9 +25,9 @@ SCALE = 2_000_000
 BEST = 2000
 #: Suffix pointers that a task sorts at once, and tokens that a task gathers before it sends their suffixes.
 SORTED = 500_000
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 500_000
 #: Words that a task counts before it sends the counts.
-COUNTED = 400_000
+COUNTED = 250_000
 #: A word with more occurrences than this is hot, or with more than a share of 1 / HOT_WORDS of all.
 HOT = 200_000
 HOT_WORDS = 1 << 20
