@@ -175,20 +175,34 @@ def leading(suffixes: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return depth
 
 
-def packed(suffixes: np.ndarray, hot: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Suffixes by the bucket that their leading words choose: bucket, and the suffixes with their counts.
+def packed(suffixes: np.ndarray, hot: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """What owners need of some suffixes: bucket, kind, and words with their counts.
 
-    Equal suffixes are one. They are in an order that brings those with equal leading words together, so they also
-    take little room once compressed.
+    Kind 0 has the suffixes, to the bucket that their leading words choose. Phrases of hot words alone would be spread
+    over owners, so they are counted here and sent as phrases of two words (kind 2) or three (kind 3).
     """
-    depth = leading(suffixes, hot)
-    key = np.zeros(suffixes.shape[1], np.uint64)
-    order = key.copy()
-    hashed = key.copy()
+    hashes, hashed = [], np.zeros(suffixes.shape[1], np.uint64)
     for k in range(LONGEST):
         hashed = mix(hashed ^ (suffixes[k] * _SALTS[k]))
-        key[depth == k + 1] = hashed[depth == k + 1]
-        order = order << _WIDTHS[k] | hashed >> np.uint64(64) - _WIDTHS[k]
+        hashes.append(hashed)
+    depth = leading(suffixes, hot)
+    key = np.choose(depth - 1, hashes)
+    yield from ((bucket, 0, body) for bucket, body in _merged(suffixes, hashes, key, buckets))
+    for words in range(2, LONGEST):
+        of_hot = depth > words
+        phrases = suffixes[:, of_hot].copy()
+        phrases[words:] = 0
+        own = [h[of_hot] for h in hashes[:words]]
+        own += [own[-1]] * (LONGEST - words)
+        yield from ((bucket, words, body) for bucket, body in _merged(phrases, own, own[-1], buckets))
+
+
+def _merged(suffixes: np.ndarray, hashes: list, key: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Suffixes by bucket, equal ones as one with their number. Those with equal leading words are together, so they
+    also take little room once compressed."""
+    order = np.zeros(suffixes.shape[1], np.uint64)
+    for k in range(LONGEST):
+        order = order << _WIDTHS[k] | hashes[k] >> np.uint64(64) - _WIDTHS[k]
     bucket = (key >> np.uint64(1)) % np.uint64(buckets)
     bits = np.uint64((buckets - 1).bit_length())
     if bits:
@@ -216,7 +230,8 @@ def _suffix_blocks(bitmap: np.ndarray, power: int, hot: np.ndarray, buckets: int
             return pa.RecordBatch.from_pydict(
                 {
                     "bucket": pa.array([row[0] for row in rows], pa.int64()),
-                    "body": pa.array([row[1] for row in rows], pa.binary()),
+                    "kind": pa.array([row[1] for row in rows], pa.int32()),
+                    "body": pa.array([row[2] for row in rows], pa.binary()),
                 }
             )
 
@@ -312,11 +327,19 @@ def quicksorted(suffixes: np.ndarray, counts: np.ndarray, hot: np.ndarray, least
 
 def _sorted_bucket(hot: np.ndarray, least: int):
     def run(blocks: pa.Table) -> pa.Table:
-        bodies = [np.frombuffer(body.as_py(), np.uint64).reshape(LONGEST + 1, -1) for body in blocks["body"]]
-        everything = np.concatenate(bodies, axis=1)
         tables = [pa.table({"phrase": pa.array([], pa.list_(pa.int64())), "f": pa.array([], pa.int64())})]
-        for depth, words, sizes in quicksorted(everything[:LONGEST], everything[LONGEST], hot, least):
-            if depth > 1:
+        of_kind: dict[int, list[np.ndarray]] = {}
+        for kind, body in zip(blocks["kind"].to_pylist(), blocks["body"]):
+            of_kind.setdefault(kind, []).append(np.frombuffer(body.as_py(), np.uint64).reshape(LONGEST + 1, -1))
+        for kind, bodies in of_kind.items():
+            everything = np.concatenate(bodies, axis=1)
+            for depth, words, sizes in quicksorted(everything[:LONGEST], everything[LONGEST], hot, least):
+                keep = (sizes >= least) & (depth > 1)
+                if kind:
+                    keep &= depth == kind
+                elif depth < LONGEST:
+                    keep &= ~np.all([_among(column, hot) for column in words], axis=0)
+                words, sizes = words[:, keep], sizes[keep]
                 ends = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * depth)
                 flat = pa.array(np.ascontiguousarray(words.T).view(np.int64).ravel())
                 tables.append(pa.table({"phrase": pa.ListArray.from_arrays(ends, flat), "f": pa.array(sizes)}))
@@ -335,11 +358,11 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST) -> Data
     hot = np.sort(np.array(hottest, np.int64).view(np.uint64))
     buckets = max(1, -(-total // SORTED))
     blocks = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(
-        _suffix_blocks(bitmap, power, hot, buckets), "bucket long, body binary"
+        _suffix_blocks(bitmap, power, hot, buckets), "bucket long, kind int, body binary"
+    )
+    return stage(
+        blocks.groupBy("bucket").applyInArrow(_sorted_bucket(hot, least), "phrase array<long>, f long"), "phrases"
     )
-    sizes = blocks.groupBy("bucket").applyInArrow(_sorted_bucket(hot, least), "phrase array<long>, f long")
-    # Phrases of hot words alone come from several owners.
-    return stage(sizes.groupBy("phrase").agg(F.sum("f").alias("f")).where(f"f >= {least}"), "phrases")
 
 
 # --- scores
