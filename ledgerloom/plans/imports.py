@@ -18,6 +18,7 @@ from ledgerloom.operators.lookup import fits
 from ledgerloom.operators.rules import Rule, apply_rules
 from ledgerloom.plans.standardise import REASON, to_canonical, to_ledger_values, with_balance
 from ledgerloom.schema import TRANSACTIONS, UNIQUE_KEY
+from ledgerloom.sources.journal import Change, commit
 from ledgerloom.sources.layouts import Layout, find_layout
 from ledgerloom.sources.shared import stage
 from ledgerloom.sources.statements import (
@@ -160,8 +161,7 @@ def import_rows(
     )
     rows = named.withColumn("imported_from", natural_id("account_name", "_src_file", F.lit(import_key)))
     staged = stage(first_wins(apply_rules(rows, rules), list(UNIQUE_KEY), _ORDER), "import")
-    register_statements(store, statements)
-    append_transactions(store, staged, imported_at)
+    commit(store, [new_statements(store, statements), new_transactions(store, staged, imported_at)])
     return ImportResult(rejected_files, rejected_rows)
 
 
@@ -169,10 +169,14 @@ def _all(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def register_statements(store: Store, statements: DataFrame) -> None:
+def new_statements(store: Store, statements: DataFrame) -> Change:
     """One history row per imported file; a repeated run of the same import adds nothing."""
     known = store.read("imported_statements").select("id")
-    store.append("imported_statements", not_stored(statements, known, ["id"], small=fits(statements)))
+    return Change("imported_statements", "append", not_stored(statements, known, ["id"], small=fits(statements)))
+
+
+def register_statements(store: Store, statements: DataFrame) -> None:
+    commit(store, [new_statements(store, statements)])
 
 
 def to_transactions(rows: DataFrame, stamp: datetime) -> DataFrame:
@@ -187,8 +191,8 @@ def to_transactions(rows: DataFrame, stamp: datetime) -> DataFrame:
     ).select(*TRANSACTIONS.names)
 
 
-def append_transactions(store: Store, staged: DataFrame, stamp: datetime) -> None:
-    """Insert or ignore: store the rows whose key the ledger does not hold yet.
+def new_transactions(store: Store, staged: DataFrame, stamp: datetime) -> Change:
+    """Insert or ignore: the rows whose key the ledger does not hold yet.
 
     `staged` is unique on the key and stored, since it is read twice. The key contains the date, so only the
     months of the batch need to be looked at.
@@ -196,4 +200,8 @@ def append_transactions(store: Store, staged: DataFrame, stamp: datetime) -> Non
     new = to_transactions(staged, stamp)
     months = store.months_of(new)
     ledger = store.read("transactions").where(F.col("month").isin(months))
-    store.append("transactions", not_stored(new, ledger, small=fits(new)))
+    return Change("transactions", "append", not_stored(new, ledger, small=fits(new)))
+
+
+def append_transactions(store: Store, staged: DataFrame, stamp: datetime) -> None:
+    commit(store, [new_transactions(store, staged, stamp)])

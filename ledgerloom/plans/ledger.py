@@ -27,8 +27,9 @@ from ledgerloom.operators.rules import (
     rules_table,
 )
 from ledgerloom.plans import imports, retrieve
-from ledgerloom.schema import ACCOUNT_TYPES, ACCOUNTS, CANONICAL_COLUMNS, UNIQUE_KEY
+from ledgerloom.schema import ACCOUNT_TYPES, ACCOUNTS, CANONICAL_COLUMNS, TRANSACTIONS, UNIQUE_KEY
 from ledgerloom.session import tune
+from ledgerloom.sources.journal import Change, commit, recover
 from ledgerloom.sources.layouts import find_layout
 from ledgerloom.sources.shared import stage
 from ledgerloom.sources.store import Store
@@ -37,11 +38,15 @@ _CHANGED = "_changed"
 
 
 class Ledger:
-    """A ledger stored under one folder. Results are lazy DataFrames."""
+    """A ledger stored under one folder. Results are lazy DataFrames.
+
+    Opening it finishes or drops what a crash has left half done, so open it from one place at a time.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = tune(spark)
         self.store = Store(spark, root)
+        recover(self.store)
 
     # Tables
 
@@ -94,10 +99,14 @@ class Ledger:
         gone = self.spark.createDataFrame([(account,)], "name string")
         months = self.store.months_of(self.transactions.where(F.col("account_name") == account))
         touched = self.transactions.where(F.col("month").isin(months))
-        self.store.replace_months(relations.delete_accounts(touched, gone), months)
-        kept = self.statements.where(F.col("account") != account)
-        self.store.replace_table("imported_statements", kept)
-        self.store.replace_table("accounts", self.accounts.where(F.col("name") != account))
+        commit(
+            self.store,
+            [
+                Change("transactions", "months", relations.delete_accounts(touched, gone), months),
+                Change("imported_statements", "replace", self.statements.where(F.col("account") != account)),
+                Change("accounts", "replace", self.accounts.where(F.col("name") != account)),
+            ],
+        )
 
     def account(self, name: str) -> DataFrame:
         return by_name(self.accounts, self.resolve_account(name))
@@ -237,18 +246,23 @@ class Ledger:
         self._rewrite(change, retrieve.in_months(self.transactions, filters))
 
     def _rewrite(self, change: Callable[[DataFrame], DataFrame], within: DataFrame | None = None) -> None:
-        """Rewrite the months that hold changed rows, before or after the change, and stamp those rows.
+        """Replace changed rows in the months that hold them, before or after the change, and stamp those rows.
 
-        All changed rows are among `within`.
+        All changed rows are among `within`. The change is computed once; ids, which it keeps, tell the rows that
+        it replaces.
         """
         hits = change(self.transactions if within is None else within).where(F.col(_CHANGED))
-        moved = hits.select(F.trunc("date", "month").alias("month"))
-        months = self.store.months_of(hits.select("month").unionByName(moved))
-        rows = change(self.transactions.where(F.col("month").isin(months)))
-        stamped = rows.withColumns(
-            {
-                "updated_at": F.when(F.col(_CHANGED), F.current_timestamp()).otherwise(F.col("updated_at")),
-                "month": F.trunc("date", "month"),
-            }
+        was = F.col("month").alias("_was")
+        hits = stage(
+            hits.select(*[c for c in TRANSACTIONS.names if c not in ("updated_at", "month")], was)
+            .withColumns({"updated_at": F.current_timestamp(), "month": F.trunc("date", "month")}),
+            "changed-rows",
+        )
+        months = self.store.months_of(hits.select("month").unionByName(hits.select(F.col("_was").alias("month"))))
+        if not months:
+            return
+        others = self.transactions.where(F.col("month").isin(months)).join(
+            hits.select("id", F.col("_was").alias("month")), ["id", "month"], "left_anti"
         )
-        self.store.replace_months(stamped, months)
+        rows = others.select(*TRANSACTIONS.names).unionByName(hits.select(*TRANSACTIONS.names))
+        commit(self.store, [Change("transactions", "months", rows, months)])

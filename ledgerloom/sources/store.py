@@ -1,6 +1,7 @@
 """The ledger at rest: four Parquet tables, transactions partitioned by month.
 
-There is one writer at a time. Appends are one job commit; rewrites replace only the months they touch.
+There is one writer at a time. Rewrites replace only the months they touch; what has to happen together goes
+through the journal.
 """
 
 from __future__ import annotations
@@ -68,22 +69,28 @@ class Store:
             "month"
         ).parquet(path)
         for month in set(months) - kept:
-            self._remove(f"{path}/month={month.isoformat()}")
+            self.remove(f"{path}/month={month.isoformat()}")
 
-    def replace_table(self, table: str, rows: DataFrame) -> None:
-        """Replace a small table. The rows are written aside first, as they may come from the table itself."""
-        from ledgerloom.sources.shared import stage
-
-        stage(rows.select(*SCHEMAS[table].names), table).write.mode("overwrite").parquet(self.path(table))
+    def overwrite(self, table: str, rows: DataFrame) -> None:
+        """Replace a small table by rows that do not come from the table itself."""
+        rows.select(*SCHEMAS[table].names).write.mode("overwrite").parquet(self.path(table))
 
     def months_of(self, rows: DataFrame) -> list[date]:
         """The calendar months that occur: one short value per month of history."""
         return sorted(row.month for row in rows.select("month").distinct().collect())
 
-    def _remove(self, folder: str) -> None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        files = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        files.delete(hadoop, True)
+    def remove(self, folder: str) -> None:
+        files, path = self._files(folder)
+        files.delete(path, True)
+
+    def names_in(self, folder: str) -> list[str]:
+        """Names of what a folder holds, none if it is not there."""
+        files, path = self._files(folder)
+        return sorted(found.getPath().getName() for found in files.listStatus(path)) if files.exists(path) else []
+
+    def _files(self, folder: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def _by_month(rows: DataFrame) -> DataFrame:

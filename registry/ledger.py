@@ -355,6 +355,54 @@ def rules_retroactive(spark, sf):
     )
 
 
+def _stored_orders(spark, sf) -> Ledger:
+    """All orders stored as a ledger; every customer is an account."""
+    ledger = Ledger(spark, shared_folder(spark, "ledger"))
+    rows = tx_orders(spark, sf).withColumn("imported_from", F.col("o_orderkey").cast("string"))
+    ledger.store.append("transactions", to_transactions(rows, datetime(2025, 1, 1)))
+    names = rows.select(F.col("account_name").alias("name")).distinct()
+    now = F.lit(datetime(2025, 1, 1))
+    ledger.store.append(
+        "accounts",
+        names.select(
+            F.col("name").alias("id"), now.alias("created_at"), "name", F.lit("Chase").alias("bank"),
+            F.lit("current").alias("account_type"), F.lit(True).alias("is_active"),
+        ),
+    )
+    return ledger
+
+
+@query(
+    with_views(
+        TX_ORDERS,
+        query="""select cast(o_orderkey as varchar) as imported_from,
+               case when hit then 'bill' else category end as category, hit as touched
+        from (select *, coalesce(amount between -200000 and 0 and name ilike '%urgent%', false) as hit from tx_orders)""",
+    )
+)
+def ledger_reclassify(spark, sf):
+    """Stored transactions put into another category, and stamped, where they satisfy the filters."""
+    ledger = _stored_orders(spark, sf)
+    ledger.reclassify("bill", amount=(-200000, 0), name="^urgent")
+    return ledger.transactions.select("imported_from", "category", (F.col("updated_at") > F.col("created_at")).alias("touched"))
+
+
+@query(
+    with_views(
+        TX_ORDERS,
+        query="""select account_name, count(*) as n_tx, sum(amount) as net from tx_orders
+        where account_name <> (select min(account_name) from tx_orders) group by account_name""",
+    )
+)
+def ledger_delete_account(spark, sf):
+    """What is stored of the other accounts once one is deleted with all that belongs to it."""
+    ledger = _stored_orders(spark, sf)
+    ledger.delete_account(ledger.accounts.agg(F.min("name")).first()[0])
+    left = ledger.transactions.groupBy("account_name").agg(F.count("*").alias("n_tx"), F.sum("amount").alias("net"))
+    known = ledger.accounts.select(F.col("name").alias("account_name"))
+    return left.join(known, "account_name")
+
+
 @query(
     with_views(
         TX_ORDERS,
