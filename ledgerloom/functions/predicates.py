@@ -142,6 +142,24 @@ def predicate(
     return build(_Operand(column, dtype, dialect, folded), test.value)
 
 
+def comparable(dtype: T.DataType, value: Any) -> bool:
+    """Whether the value can be compared with a column of the type without changing its type."""
+    if isinstance(dtype, T.StringType):
+        return isinstance(value, str)
+    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType, T.DateType)):
+        return isinstance(value, (str, date, datetime))
+    if isinstance(dtype, T.BooleanType):
+        return isinstance(value, bool) or value in (0, 1)
+    return isinstance(dtype, T.NumericType) and isinstance(value, (int, float, Decimal))
+
+
+def approximate_reach(dtype: T.DataType, value: Any) -> float:
+    """How far from the value a number may lie and still be approximately equal."""
+    if not isinstance(dtype, T.NumericType):
+        raise ValueError(f"Approximate equality needs a number column, not {dtype.simpleString()}")
+    return ABSOLUTE_TOLERANCE + RELATIVE_TOLERANCE * abs(float(value))
+
+
 @dataclass(frozen=True)
 class _Operand:
     column: Column
@@ -157,10 +175,6 @@ class _Operand:
     def is_time(self) -> bool:
         return isinstance(self.dtype, (T.TimestampNTZType, T.TimestampType, T.DateType))
 
-    @property
-    def is_number(self) -> bool:
-        return isinstance(self.dtype, T.NumericType)
-
     @property
     def is_flag(self) -> bool:
         return isinstance(self.dtype, T.BooleanType)
@@ -170,14 +184,7 @@ class _Operand:
         return self.column if self.is_text else self.column.cast("string")
 
     def accepts(self, value: Any) -> bool:
-        """Whether the value can be compared with the column without changing its type."""
-        if self.is_text:
-            return isinstance(value, str)
-        if self.is_time:
-            return isinstance(value, (str, date, datetime))
-        if self.is_flag:
-            return isinstance(value, bool) or value in (0, 1)
-        return self.is_number and isinstance(value, (int, float, Decimal))
+        return comparable(self.dtype, value)
 
     def literal(self, value: Any) -> Column:
         if not self.accepts(value):
@@ -218,10 +225,7 @@ def _differs(operand: _Operand, value: Any) -> Column:
 
 
 def _approx(operand: _Operand, value: Any) -> Column:
-    if not operand.is_number:
-        raise ValueError(f"Approximate equality needs a number column, not {operand.dtype.simpleString()}")
-    anchor = float(value)
-    reach = ABSOLUTE_TOLERANCE + RELATIVE_TOLERANCE * abs(anchor)
+    anchor, reach = float(value), approximate_reach(operand.dtype, value)
     # The wider range is only there for the scan: unlike abs(), Parquet can skip row groups by it.
     return operand.column.between(F.lit(anchor - 2 * reach), F.lit(anchor + 2 * reach)) & (
         F.abs(operand.column.cast("double") - F.lit(anchor)) <= F.lit(reach)

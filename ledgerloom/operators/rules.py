@@ -21,14 +21,15 @@ from pyspark.sql import types as T
 
 from ledgerloom.functions.dates import as_timestamp
 from ledgerloom.functions.predicates import Test, predicate, read_setting
+from ledgerloom.operators.ruleset import RuleSet
 from ledgerloom.schema import RULES
-from ledgerloom.sources.shared import stage
 
 # What a condition can test and what an action can do.
 OPERATIONS = ("eq", "approx_eq", "in", "between", "contains", "not_contains", "gt", "gte", "lt", "lte", "regex")
 MODIFIERS = ("set", "append", "prepend", "increment", "decrement")
 
-# More rules than this are applied in several passes: the code of a larger projection does not compile.
+# Up to this many rules become expressions of one projection; the code of a larger one does not compile, so more
+# rules are data.
 RULES_PER_PASS = 100
 
 
@@ -125,31 +126,33 @@ def _with_folded(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, dict[str,
 def apply_rules(
     df: DataFrame, rules: Iterable[Rule], changed: str | None = None, per_pass: int = RULES_PER_PASS
 ) -> DataFrame:
-    """Apply all rules in one projection; `changed` names a flag to add for rows that came out different.
+    """Apply all rules; `changed` names a flag to add for rows that came out different.
 
-    A very long rule list runs in several passes, with the rows written to the shared folder in between.
+    Up to `per_pass` rules are compiled into one projection. More are data that one projection interprets.
     """
     ordered = sorted(rules, key=lambda rule: rule.rank)
     targets = sorted({action.apply_to for rule in ordered for action in rule.actions})
     if not targets:
         return df.withColumn(changed, F.lit(False)) if changed else df
-    new = {column: f"_new_{column}" for column in targets}
-    # Between passes a number keeps all its places: it is rounded once, after the last rule.
-    between = {column: _running_type(df.schema[column].dataType, column, ordered) for column in targets}
-    current = df.withColumns({name: F.col(column).cast(between[column]) for column, name in new.items()})
-    for start in range(0, len(ordered), per_pass):
-        if start:
-            current = stage(current, "rules")
-        batch = ordered[start : start + per_pass]
-        prepared, folded = _with_folded(current, batch)
-        hits = [matches(current, rule, folded) for rule in batch]
+    # Between rules a number keeps all its places: it is rounded once, after the last rule.
+    running = {column: _running_type(df.schema[column].dataType, column, ordered) for column in targets}
+    if len(ordered) > per_pass:
+        known = RuleSet(df, ordered)
+        before = {column: F.col(column) for column in targets}
+        current = known.with_hits(df, "_hits").withColumn("_new", known.changed(F.col("_hits"), before, running))
+        new = {column: F.col("_new")[column] for column in targets}
+    else:
+        prepared, folded = _with_folded(df, ordered)
+        hits = [matches(df, rule, folded) for rule in ordered]
+        names = {column: f"_new_{column}" for column in targets}
         current = prepared.withColumns(
             {
-                name: _changed(F.col(name), df.schema[column].dataType, between[column], column, batch, hits)
-                for column, name in new.items()
+                name: _changed(F.col(column).cast(running[column]), df.schema[column].dataType, running[column], column, ordered, hits)
+                for column, name in names.items()
             }
-        ).drop(*[f"_upper_{column}" for column in folded])
-    final = {column: _final(F.col(name), df.schema[column].dataType) for column, name in new.items()}
+        )
+        new = {column: F.col(name) for column, name in names.items()}
+    final = {column: _final(value, df.schema[column].dataType) for column, value in new.items()}
     after = [final[column].alias(column) if column in new else F.col(column) for column in df.columns]
     if changed:
         differs = reduce(or_, [~F.col(column).eqNullSafe(final[column]) for column in new])
@@ -228,12 +231,19 @@ def _literal(value: Any, dtype: T.DataType) -> Column:
     return F.lit(value).cast(dtype)
 
 
-def tag_rules(df: DataFrame, rules: Iterable[Rule]) -> DataFrame:
-    """Add `rule_ids`, every rule that matches, and `rule_id`, the one that wins (null when none)."""
-    ordered = sorted(rules, key=lambda rule: rule.rank, reverse=True)
-    prepared, folded = _with_folded(df, ordered)
-    hits = [F.when(matches(df, rule, folded), F.lit(rule.id)) for rule in ordered]
-    tagged = prepared.withColumn("rule_ids", F.array_compact(F.array(*hits)))
+def tag_rules(df: DataFrame, rules: Iterable[Rule], per_pass: int = RULES_PER_PASS) -> DataFrame:
+    """Add `rule_ids`, every rule that matches, and `rule_id`, the one that wins (null when none).
+
+    More than `per_pass` rules are data, as in `apply_rules`.
+    """
+    ordered = sorted(rules, key=lambda rule: rule.rank)
+    if len(ordered) > per_pass:
+        hit = RuleSet(df, ordered).with_hits(df, "_hits")
+        tagged = hit.withColumn("rule_ids", F.reverse(F.transform("_hits", lambda rule: rule["id"])))
+    else:
+        prepared, folded = _with_folded(df, ordered)
+        hits = [F.when(matches(df, rule, folded), F.lit(rule.id)) for rule in reversed(ordered)]
+        tagged = prepared.withColumn("rule_ids", F.array_compact(F.array(*hits)))
     return tagged.select(*df.columns, "rule_ids", F.try_element_at("rule_ids", F.lit(1)).alias("rule_id"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ledgerloom.functions import cleaning
 from ledgerloom.functions.dates import parse_dates as parse
 from ledgerloom.operators.categories import map_categories, with_direction
 from ledgerloom.operators.resolve import resolve_names
-from ledgerloom.operators.rules import Action, Condition, Rule, category_rule
+from ledgerloom.operators.rules import Action, Condition, Rule, category_rule, load_rules, rules_from_json
 from ledgerloom.operators.rules import apply_rules as run_rules
 from ledgerloom.operators.rules import rule_audit as audit
 from ledgerloom.operators.rules import tag_rules
@@ -231,6 +233,140 @@ def rule_shorthand(spark, sf):
     return changed.select("o_orderkey", "category", "amount", "changed")
 
 
+def _numbered(number: int) -> Rule:
+    """Rules by account and amount, then by text in the notes, then by a band of amounts without clicks."""
+    if number < 1500:
+        conditions = (
+            Condition("account_name", "eq", str(number)),
+            Condition("amount", "between", (-50 - number % 7, 100)),
+        )
+    elif number < 1900:
+        conditions = (Condition("notes", "contains", str(number - 1500)),)
+    else:
+        conditions = (
+            Condition("amount", "between", (number - 1900, number - 1899)),
+            Condition("name", "not_contains", "click"),
+        )
+    return Rule(conditions, (Action("category", "set", f"category {number}"),), number % 7, **_fixed(f"{number:04d}"))
+
+
+@query(
+    with_views(
+        TX_EVENTS,
+        """hits as (
+            select event_id, (i % 7) * 10000 + i as place, i from tx_events, range(2000) r(i)
+            where (i < 1500 and account_name = cast(i as varchar) and amount between -50 - i % 7 and 100)
+               or (i between 1500 and 1899 and contains(upper(notes), cast(i - 1500 as varchar)))
+               or (i >= 1900 and amount between i - 1900 and i - 1899 and not contains(upper(name), 'CLICK')))""",
+        """found as (select event_id, count(*) n_rules, max(place) % 10000 last from hits group by event_id)""",
+        query="""select event_id, coalesce(n_rules, 0) n_rules, printf('%04d', last) as rule_id,
+               coalesce('category ' || cast(last as varchar), category) as category
+        from tx_events left join found using (event_id)""",
+    )
+)
+def rules_2000(spark, sf):
+    """Two thousand rules as data: which win, how many match, and the categories they give."""
+    rules = [_numbered(number) for number in range(2000)]
+    tagged = tag_rules(run_rules(tx_events(spark, sf).withColumn("label", F.col("category")), _labelled(rules)), rules)
+    return tagged.select(
+        "event_id", F.size("rule_ids").cast("bigint").alias("n_rules"), "rule_id", F.col("label").alias("category")
+    )
+
+
+def _labelled(rules: list[Rule]) -> list[Rule]:
+    """The rules with their changes made to the column `label`."""
+    return [
+        replace(rule, actions=tuple(replace(action, apply_to="label") for action in rule.actions)) for rule in rules
+    ]
+
+
+_OPERATIONS = [
+    Condition("amount", "approx_eq", 10.5),
+    Condition("amount", "gt", 40),
+    Condition("amount", "gte", Decimal("40.25")),
+    Condition("amount", "lt", -30),
+    Condition("amount", "lte", -12.5),
+    Condition("name", "regex", "^(view|sig)"),
+    Condition("name", "not_contains", "I"),
+    Condition("date", "between", ("2024-01-05", "2024-01-20")),
+    Condition("account_name", "in", ["1", "22", "333"]),
+]
+
+
+_OPERATIONS_SQL = with_views(
+    TX_EVENTS,
+    query="""select event_id, concat_ws(',',
+        case when abs(amount - 10.5) <= 0.00010501 then '0' end, case when amount > 40 then '1' end,
+        case when amount >= 40.25 then '2' end, case when amount < -30 then '3' end,
+        case when amount <= -12.5 then '4' end, case when regexp_matches(name, '^(view|sig)') then '5' end,
+        case when not contains(upper(name), 'I') then '6' end,
+        case when date between timestamp '2024-01-05' and timestamp '2024-01-20' then '7' end,
+        case when account_name in ('1', '22', '333') then '8' end) as rules
+    from tx_events""",
+)
+
+
+def _matching(spark, sf, per_pass):
+    rules = [
+        Rule((condition,), (), -place, **_fixed(str(place))) for place, condition in enumerate(_OPERATIONS)
+    ]
+    tagged = tag_rules(tx_events(spark, sf), rules, per_pass=per_pass)
+    return tagged.select("event_id", F.concat_ws(",", "rule_ids").alias("rules"))
+
+
+@query(_OPERATIONS_SQL)
+def rule_operations(spark, sf):
+    """A rule for each operation of conditions, compiled."""
+    return _matching(spark, sf, per_pass=len(_OPERATIONS))
+
+
+@query(_OPERATIONS_SQL)
+def rule_operations_as_data(spark, sf):
+    """The same rules, interpreted."""
+    return _matching(spark, sf, per_pass=0)
+
+
+@query(
+    with_views(
+        TX_EVENTS,
+        query="""select event_id,
+               case when name in ('view', 'click') and amount between -2 and 30.5 then 'browsing' else category end
+                   as category,
+               case when notes = '{"k": 7}' then 'k7 ' else '' end || notes as notes,
+               cast(amount + case when name in ('view', 'click') and amount between -2 and 30.5 then 2.5 else 0 end
+                    as decimal(12,2)) as amount
+        from tx_events""",
+    )
+)
+def rules_json(spark, sf):
+    """Rules that are stored as JSON lists of conditions and actions."""
+    stored = spark.createDataFrame(
+        [
+            (
+                "1",
+                datetime(2025, 1, 1),
+                None,
+                """[{"apply_to": "name", "operation": "in", "value": ["view", "click"]},
+                    {"apply_to": "amount", "operation": "between", "value": [-2, 30.5]}]""",
+                """[{"apply_to": "category", "operation": "set", "value": "browsing"},
+                    {"apply_to": "amount", "operation": "increment", "value": 2.5}]""",
+                None,
+            ),
+            (
+                "2",
+                datetime(2025, 1, 1),
+                "sevens",
+                """[{"apply_to": "notes", "operation": "eq", "value": "{\\"k\\": 7}"}]""",
+                """[{"apply_to": "notes", "operation": "prepend", "value": "k7 "}]""",
+                4,
+            ),
+        ],
+        "id string, created_at timestamp, name string, conditions string, actions string, priority int",
+    )
+    changed = run_rules(tx_events(spark, sf), load_rules(rules_from_json(stored)))
+    return changed.select("event_id", "category", "notes", "amount")
+
+
 @query(
     """with known as (select distinct p_brand as name, replace(lower(p_brand), ' ', '') as key from part),
        inputs as (

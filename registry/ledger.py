@@ -426,7 +426,7 @@ def account_summary_all(spark, sf):
     )
 )
 def rules_many(spark, sf):
-    """Three hundred rules that add half a penny each, in several passes: rounded once, after the last."""
+    """Three hundred rules that add half a penny each, as data: rounded once, after the last."""
     rules = [
         Rule((Condition("name", "eq", "purchase"),), (Action("amount", "increment", Decimal("0.005")),), n, id=f"{n:04d}")
         for n in range(300)
