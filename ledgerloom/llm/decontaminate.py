@@ -181,15 +181,36 @@ def intersect(index: DataFrame, probes: DataFrame, slop: int = SLOP) -> DataFram
     return found
 
 
-def _hits(words: list[bytes], starts: list[int], sizes: list[int], phrases: list[str]) -> tuple[int, list[str]]:
-    """Words inside any of the proposed windows that are there word by word, and the phrases of those."""
-    covered, found = np.zeros(len(words) + 1, np.int64), set()
-    for start, size, phrase in zip(starts, sizes, phrases):
-        if start >= 0 and b" ".join(words[start : start + size]).decode() == phrase:
+def _hits(words: list[bytes], proposed: list[dict]) -> tuple[int, list[dict]]:
+    """Words inside any of the proposed windows that are there word by word, and the matches of the text.
+
+    A window that is there gives its exact matches; one that is not, its proximity matches.
+    """
+    covered, exact, there = np.zeros(len(words) + 1, np.int64), [], set()
+    for match in proposed:
+        start, end = match["start"], match["start"] + match["size"]
+        if match["exact"] and b" ".join(words[start:end]).decode() == match["phrase"]:
             covered[start] += 1
-            covered[start + size] -= 1
-            found.add(phrase)
-    return int((np.cumsum(covered) > 0).sum()), sorted(found)
+            covered[end] -= 1
+            exact.append(match)
+            there.add(match["phrase"])
+    near = [{**match, "exact": False} for match in proposed if match["phrase"] not in there]
+    return int((np.cumsum(covered) > 0).sum()), exact + near
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """One row for each match: doc_id, body_hash, item_id, start, size, `exact`.
+
+    Exact matches are a window's words at `start`. Proximity matches (`exact` false) are windows that the text does not
+    hold as a whole, whose rarest terms stand up to `slop` words from their places; `start` is where the window would
+    begin by the place of its rarest term, below 0 where the text begins later. Items without an id, and texts and items
+    without words, have no matches; rows that agree in id and text count once.
+    """
+    items, checked = _search(docs, benchmark, length, slop)
+    found = checked.select("doc_id", "body_hash", F.explode("matches").alias("match")).distinct()
+    return found.join(items.select(F.col("phrase").alias("_phrase"), "item_id"), F.col("match.phrase") == F.col("_phrase")).select(
+        "doc_id", "body_hash", "item_id", "match.start", "match.size", "match.exact"
+    )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, slop: int = SLOP) -> DataFrame:
@@ -202,6 +223,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, s
     words and are not contaminated; items without words have no windows. Rows that agree in id and text get the same
     result, rows that agree in the id alone their own. Empty tables are fine on either side.
     """
+    items, checked = _search(docs, benchmark, length, slop)
+    of_items = (
+        checked.where("n_hit > 0")
+        .select("doc_id", "body_hash", F.explode(F.filter("matches", lambda match: match["exact"])["phrase"]).alias("phrase"))
+        .distinct()
+        .join(items.select("phrase", "item_id"), "phrase")
+        .groupBy("doc_id", "body_hash")
+        .agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+        .withColumnRenamed("doc_id", "_d").withColumnRenamed("body_hash", "_h")
+    )
+    of_items = stage(of_items, "items-found")
+    few = count_rows_up_to(of_items, BROADCAST_ROWS // 10) <= BROADCAST_ROWS // 10
+    return checked.join(
+        F.broadcast(of_items) if few else of_items,
+        F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("body_hash") == F.col("_h")),
+        "left",
+    ).select(
+        "doc_id", "body_hash", "n_words", "n_hit",
+        F.coalesce(F.size("item_ids"), F.lit(0)).cast("bigint").alias("n_items"),
+        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+        (F.col("n_hit") > 0).alias("contaminated"), "n_near",
+    )
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, length: int, slop: int) -> tuple[DataFrame, DataFrame]:
+    """Windows of items that have an id, and each document's n_words, n_hit, matches and n_near."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("body_hash"), "text")
     items = stage(benchmark_windows(benchmark, length=length), "benchmark-windows")
     windows = items.select("phrase", "size").distinct()
@@ -242,27 +289,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, s
         .select("doc_id", "body_hash", "r.*"),
         "documents-checked",
     )
-    of_items = (
-        checked.where("n_hit > 0")
-        .select("doc_id", "body_hash", F.explode("phrases").alias("phrase"))
-        .distinct()
-        .join(items.select("phrase", "item_id").where("item_id is not null"), "phrase")
-        .groupBy("doc_id", "body_hash")
-        .agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-        .withColumnRenamed("doc_id", "_d").withColumnRenamed("body_hash", "_h")
-    )
-    of_items = stage(of_items, "items-found")
-    few = count_rows_up_to(of_items, BROADCAST_ROWS // 10) <= BROADCAST_ROWS // 10
-    return checked.join(
-        F.broadcast(of_items) if few else of_items,
-        F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("body_hash") == F.col("_h")),
-        "left",
-    ).select(
-        "doc_id", "body_hash", "n_words", "n_hit",
-        F.coalesce(F.size("item_ids"), F.lit(0)).cast("bigint").alias("n_items"),
-        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
-        (F.col("n_hit") > 0).alias("contaminated"), "n_near",
-    )
+    return items.where("item_id is not null"), checked
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
@@ -285,21 +312,21 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = WI
 
 
 def _checked(text, found):
+    match = pa.struct([("start", pa.int32()), ("size", pa.int32()), ("phrase", pa.string()), ("exact", pa.bool_())])
     kind = pa.struct(
-        [("n_words", pa.int64()), ("n_hit", pa.int64()), ("phrases", pa.list_(pa.string())), ("n_near", pa.int64())]
+        [("n_words", pa.int64()), ("n_hit", pa.int64()), ("matches", pa.list_(match)), ("n_near", pa.int64())]
     )
 
-    @F.arrow_udf("struct<n_words:long,n_hit:long,phrases:array<string>,n_near:long>")
+    @F.arrow_udf(
+        "struct<n_words:long,n_hit:long,matches:array<struct<start:int,size:int,phrase:string,exact:boolean>>,n_near:long>"
+    )
     def check(texts: pa.Array, proposals: pa.Array) -> pa.Array:
         out = []
         for body, proposed in zip(texts, proposals):
-            words, proposed = words_of(body.as_py()), proposed.as_py() or []
-            exact = [p for p in proposed if p["exact"]]
-            n_hit, phrases = _hits(
-                words, [p["start"] for p in exact], [p["size"] for p in exact], [p["phrase"] for p in exact]
-            )
-            near = {p["phrase"] for p in proposed}.difference(phrases)
-            out.append({"n_words": len(words), "n_hit": n_hit, "phrases": phrases, "n_near": len(near)})
+            words = words_of(body.as_py())
+            n_hit, found = _hits(words, proposed.as_py() or [])
+            near = {each["phrase"] for each in found if not each["exact"]}
+            out.append({"n_words": len(words), "n_hit": n_hit, "matches": found, "n_near": len(near)})
         return pa.array(out, kind)
 
     return check(text, found)

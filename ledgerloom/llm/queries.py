@@ -59,13 +59,13 @@ def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of every document inside ten-word windows of benchmark items."""
+    """Words of every document inside ten-word windows of benchmark items, and windows that are there in part."""
     found = decontaminate.decontaminate(
         documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     )
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest(F.col("item_ids")).alias("items_sha256"),
-        "contaminated",
+        "contaminated", "n_near",
     )
 
 

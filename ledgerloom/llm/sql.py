@@ -62,6 +62,18 @@ from parted p join ends e on p.doc_id is not distinct from e.doc_id"""
 
 _BENCH_WORDS = "regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+
+
+def _near(rank: int) -> str:
+    """Proposed starts that have the term of one more rank close to its place, or no such term."""
+    return f"""near_{rank} as (
+    select distinct s.doc_id, s.phrase, s.start from near_{rank - 1} s
+    left join probes p on p.phrase = s.phrase and p.rank = {rank}
+    left join places q on q.doc_id = s.doc_id and q.term = p.term
+        and abs(q.place - s.start - p.o) <= {decontaminate.SLOP}
+    where p.term is null or q.term is not null)"""
+
+
 DECONTAMINATION = f"""
 with items as (
     select cast(item_id as varchar) as item_id, {_BENCH_WORDS.format(lowered=_LOWERED)} as w from benchmark),
@@ -73,15 +85,32 @@ item_windows as (
 sizes as (select distinct size from item_windows),
 docs as (select doc_id, {_BENCH_WORDS.format(lowered=_LOWERED)} as w from documents),
 found as (
-    select doc_id, i, x.size, item_id from (
+    select doc_id, i, x.size, item_id, phrase from (
         select doc_id, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') as phrase
         from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i from docs, sizes)) x
     join item_windows using (phrase)),
 hit as (
     select doc_id, count(distinct place) as n_hit
     from (select doc_id, unnest(range(i, i + size)) as place from found) group by doc_id),
-of_items as (select doc_id, list_sort(list(distinct item_id)) as ids from found group by doc_id)
+of_items as (select doc_id, list_sort(list(distinct item_id)) as ids from found group by doc_id),
+terms as (
+    select phrase, unnest(string_split(phrase, ' ')) as term, unnest(range(size)) as o
+    from (select distinct phrase, size from item_windows)),
+places as (select doc_id, unnest(w) as term, unnest(range(len(w))) as place from docs),
+counts as (select term, count(*) as n from places group by term),
+probes as (
+    select phrase, term, o, row_number() over (partition by phrase order by n, o) as rank
+    from terms left join counts using (term)
+    qualify bool_and(n is not null) over (partition by phrase)),
+near_1 as (
+    select distinct doc_id, phrase, place - o as start from probes join places using (term) where rank = 1),
+{_near(2)},
+{_near(3)},
+near as (
+    select doc_id, count(distinct phrase) as n_near
+    from near_3 anti join found using (doc_id, phrase) group by doc_id)
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
     cast(coalesce(len(ids), 0) as bigint) as n_items,
-    sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from docs left join hit using (doc_id) left join of_items using (doc_id)"""
+    sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
+    coalesce(n_near, 0) as n_near
+from docs left join hit using (doc_id) left join of_items using (doc_id) left join near using (doc_id)"""

@@ -229,6 +229,57 @@ def test_proximity(spark):
     assert found[2] == (0, 1) and found[3] == (0, 0)
 
 
+def expected_matches(texts, items):
+    """All matches by trying every start of every text, (doc_id, item_id, start, exact)."""
+    words = {key: decontaminate.words_of(text) for key, text in texts.items()}
+    counts = Counter(w for own in words.values() for w in own)
+    out = set()
+    for item, text in items.items():
+        for window in decontaminate.windows_of(decontaminate.words_of(text)):
+            if any(w not in counts for w in window):
+                continue
+            probes = sorted((counts[w], at, w) for at, w in enumerate(window))[: decontaminate.PROBES]
+            for key, own in words.items():
+                size = len(window)
+                exact = {at for at in range(len(own) - size + 1) if own[at : at + size] == window}
+                out |= {(key, item, at, True) for at in exact}
+                if exact:
+                    continue
+                for start in (at - probes[0][1] for at, w in enumerate(own) if w == probes[0][2]):
+                    close = [
+                        any(own[at : at + 1] == [w] for at in range(max(start + o - 3, 0), max(start + o + 4, 0)))
+                        for _, o, w in probes[1:]
+                    ]
+                    if all(close):
+                        out.add((key, item, start, False))
+    return out
+
+
+def test_matches_by_brute_force(spark):
+    dice = np.random.default_rng(4)
+    vocabulary = np.array([f"w{n}" for n in range(40)])
+    items = {str(n): " ".join(dice.choice(vocabulary, 14)) for n in range(6)} | {"short": "w1 w2", "none": "", "void": None}
+    texts = {n: " ".join(dice.choice(vocabulary, 30)) for n in range(20)} | {90: None, 91: "", 92: "w3"}
+    for n in range(20, 50):
+        own = items[str(n % 6)].split()
+        for _ in range(n % 4):  # words put in, taken out or changed
+            at = int(dice.integers(0, len(own)))
+            own[at : at + int(dice.integers(0, 2))] = [str(dice.choice(vocabulary))] * int(dice.integers(0, 3))
+        texts[n] = " ".join([*dice.choice(vocabulary, 5 * (n % 3)), *own])
+    for n in range(6):  # the ends of items
+        texts[100 + n] = " ".join(items[str(n)].split()[2:])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([*items.items(), (None, items["0"])], "item_id string, text string")
+    expected = expected_matches(texts, items)
+    got = {(r.doc_id, r.item_id, r.start, r.exact) for r in decontaminate.matches(docs, bench).collect()}
+    assert got == expected
+    assert {exact for *_, exact in expected} == {True, False} and any(start < 0 for _, _, start, _ in expected)
+    near = Counter()
+    for row in decontaminate.decontaminate(docs, bench).collect():
+        near[row.doc_id] += row.n_near
+    assert {key for key, n in near.items() if n} == {key for key, _, _, exact in expected if not exact}
+
+
 # --- language model
 
 
