@@ -23,8 +23,6 @@ ANCHOR = 40
 PIECES = 32
 #: Bytes whose suffixes are sorted in one go, text by text.
 BATCH_BYTES = 400_000
-#: Up to so many repeated anchors (8 bytes each) travel to the tasks as a filter; more are joined by a shuffle.
-FILTER_ANCHORS = 2_000_000
 #: Up to so many rows of a few numbers are broadcast.
 BROADCAST_ROWS = 500_000
 #: Pieces that a task remembers to merge copies before the shuffle.
@@ -104,51 +102,61 @@ def _copies(keyed: DataFrame) -> DataFrame:
     )
 
 
-def _anchor_counts(texts: DataFrame) -> DataFrame:
-    """The anchors that occur more than once."""
+def _places(texts: DataFrame) -> DataFrame:
+    """Every run of starts with one anchor: the anchor, the document, first start, starts, the anchor's offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
+        rows: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            types = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32)
+            columns = [np.concatenate(c) for c in zip(*rows)] if rows else [np.empty(0)] * 6
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c.astype(t, copy=False)) for c, t in zip(columns, types)],
+                names=["anchor", "ord", "h", "start", "n", "offset"],
+            )
+
         for batch in batches:
-            found: list[np.ndarray] = []
-            size = 0
-            for text in batch.column(0):
+            for ord_, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 data = np.frombuffer(text.as_py().encode(), np.uint8)
-                for _, _, hashes, _ in anchors(data, hasher):
-                    found.append(hashes)
-                    size += len(hashes)
-                if size > 500_000:
-                    yield _counted(found)
-                    found, size = [], 0
-            if found:
-                yield _counted(found)
-
-    def _counted(found: list[np.ndarray]) -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["anchor", "n"]
-        )
+                for first, count, hashes, place in anchors(data, hasher):
+                    found = len(first)
+                    document = np.full(found, ord_, np.int64), np.full(found, h, np.int64)
+                    rows.append((hashes.view(np.int64), *document, first, count, place - first))
+                    size += found
+                    if size > 200_000:
+                        yield out()
+                        rows, size = [], 0
+        yield out()
 
-    counts = texts.select("text").mapInArrow(run, "anchor long, n long")
-    return counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    return texts.select("ord", "h", "text").mapInArrow(
+        run, "anchor long, ord long, h long, start long, n int, offset int"
+    )
+
+
+def _repeated(places: DataFrame) -> DataFrame:
+    """The places whose anchor occurs more than once, by a shuffle at every size.
+
+    The repeated anchors are written first, so that the join reads two plain shuffles and a frequent anchor's places
+    can be read by several tasks.
+    """
+    counts = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    return places.join(stage(counts, "anchors").hint("merge"), "anchor", "left_semi")
 
 
 _PIECE = "anchor long, ord long, h long, start long, offset int, body binary"
 
 
-def _pieces(texts: DataFrame, repeated: DataFrame) -> DataFrame:
-    """The text around every repeated anchor, as far as strings of LENGTH bytes with this anchor reach.
+def _pieces(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """The text around the given places of anchors, as far as strings of LENGTH bytes with this anchor reach.
 
-    Copies of a piece that one task meets are merged: all but the earliest come out as pieces without a body, for
-    they are repeated as a whole.
+    The places of a document, fewer than its bytes, meet at its text. Copies of a piece that one task meets are merged:
+    all but the earliest come out as pieces without a body, for they are repeated as a whole.
     """
-    wanted = None
-    if count_rows_up_to(repeated, FILTER_ANCHORS) <= FILTER_ANCHORS:
-        values = repeated.toArrow()["anchor"].to_numpy() if repeated.take(1) else np.empty(0, np.int64)
-        wanted = texts.sparkSession.sparkContext.broadcast(np.sort(values))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher()
         earliest: dict[tuple, tuple] = {}
         rows: list[tuple] = []
 
@@ -161,29 +169,23 @@ def _pieces(texts: DataFrame, repeated: DataFrame) -> DataFrame:
             )
 
         for batch in batches:
-            for ord_, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                raw = text.as_py().encode()
-                for first, count, hashes, place in anchors(np.frombuffer(raw, np.uint8), hasher):
-                    names = hashes.view(np.int64)
-                    if wanted is not None:
-                        if not len(wanted.value):
-                            continue
-                        at = np.minimum(np.searchsorted(wanted.value, names), len(wanted.value) - 1)
-                        keep = wanted.value[at] == names
-                        first, count, names, place = first[keep], count[keep], names[keep], place[keep]
-                    for start, n, name, p in zip(first.tolist(), count.tolist(), names.tolist(), place.tolist()):
-                        body = raw[start : start + n + LENGTH - 1]
-                        key, here = (name, p - start, body), (ord_, h, start)
-                        known = earliest.get(key)
-                        if known is None:
-                            earliest[key] = here
-                            continue
-                        if known == here:  # a repeated row
-                            continue
-                        late = max(known, here)
-                        earliest[key] = min(known, here)
-                        # The number of its bytes stands in for the body of what is repeated as a whole.
-                        rows.append((name, *late, -len(body), None))
+            documents = zip(*(batch.column(name) for name in ("ord", "h", "text", "places")))
+            for ord_, h, text, found in documents:
+                raw, ord_, h = text.as_py().encode(), ord_.as_py(), h.as_py()
+                fields = found.values.flatten()
+                for name, start, n, offset in zip(*(field.to_pylist() for field in fields)):
+                    body = raw[start : start + n + LENGTH - 1]
+                    key, here = (name, offset, body), (ord_, h, start)
+                    known = earliest.get(key)
+                    if known is None:
+                        earliest[key] = here
+                        continue
+                    if known == here:  # a repeated row
+                        continue
+                    late = max(known, here)
+                    earliest[key] = min(known, here)
+                    # The number of its bytes stands in for the body of what is repeated as a whole.
+                    rows.append((name, *late, -len(body), None))
                 if len(earliest) > REMEMBERED:
                     rows += [(name, *here, offset, body) for (name, offset, body), here in earliest.items()]
                     earliest = {}
@@ -193,7 +195,15 @@ def _pieces(texts: DataFrame, repeated: DataFrame) -> DataFrame:
         rows += [(name, *here, offset, body) for (name, offset, body), here in earliest.items()]
         yield out()
 
-    return texts.select("ord", "h", "text").mapInArrow(run, _PIECE)
+    # As a set: rows that repeat a document as a whole name the same places.
+    by_document = places.groupBy("ord", "h").agg(
+        F.collect_set(F.struct("anchor", "start", "n", "offset")).alias("places")
+    )
+    return (
+        texts.join(by_document.hint("merge"), ["ord", "h"])
+        .select("ord", "h", "text", "places")
+        .mapInArrow(run, _PIECE)
+    )
 
 
 _FOUND = "ord long, h long, start long, end long, w1 long, w2 long"
@@ -322,9 +332,8 @@ def _sort_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(ord, h, start, end): stretches of documents that are covered by strings which occur earlier."""
-    texts = docs
-    repeated = stage(_anchor_counts(texts), "anchors")
-    pieces = stage(_pieces(texts, repeated), "pieces")
+    places = stage(_places(docs), "places")
+    pieces = stage(_pieces(docs, _repeated(places)), "pieces")
     whole = pieces.where("body is null").select(
         "ord", "h", "start", (F.col("start") - F.col("offset")).alias("end")
     )
@@ -335,8 +344,6 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         "frequent-anchors",
     )
     few = count_rows_up_to(many, BROADCAST_ROWS) <= BROADCAST_ROWS
-    if count_rows_up_to(repeated, FILTER_ANCHORS) > FILTER_ANCHORS:
-        rest = rest.join(repeated, "anchor", "left_semi")
     placed = (
         rest.join(F.broadcast(many) if few else many, "anchor", "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))

@@ -162,7 +162,7 @@ def unambiguous(rows):
 @pytest.mark.parametrize("parts", [False, True])
 def test_repeats(spark, rows, monkeypatch, parts):
     if parts:
-        for name, value in (("PIECES", 2), ("BROADCAST_ROWS", 1), ("FILTER_ANCHORS", 2), ("REMEMBERED", 10)):
+        for name, value in (("PIECES", 2), ("BROADCAST_ROWS", 1), ("REMEMBERED", 10)):
             monkeypatch.setattr(repeats, name, value)
         monkeypatch.setattr(repeats, "BATCH_BYTES", 5000)
     own = unambiguous(rows)
@@ -185,6 +185,17 @@ def test_long_text_in_segments(spark, monkeypatch):
     assert got == expected_repeats(own)
 
 
+def test_repeated_anchors_meet_by_shuffle_at_every_size(spark):
+    for texts in (["ab" * 10], [chr(97 + n % 26) * 150 + str(n % 7) * 150 for n in range(300)]):
+        df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "ord long, h long, text string")
+        places = repeats._places(df)
+        found = repeats._pieces(df, repeats._repeated(places))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2
+        anchors = Counter(r.anchor for r in places.collect())
+        assert {r.anchor for r in found.collect()} == {a for a, n in anchors.items() if n > 1}
+
+
 # --- decontamination
 
 
