@@ -52,7 +52,7 @@ class Store:
         if table == "transactions":
             _by_month(shaped).write.mode("append").partitionBy("month").parquet(self.path(table))
         else:
-            shaped.write.mode("append").parquet(self.path(table))
+            _by_id(shaped).write.mode("append").parquet(self.path(table))
 
     def replace_months(self, rows: DataFrame, months: Iterable[date]) -> None:
         """Replace the transactions of these months by `rows`, which hold no other month.
@@ -73,7 +73,7 @@ class Store:
 
     def overwrite(self, table: str, rows: DataFrame) -> None:
         """Replace a small table by rows that do not come from the table itself."""
-        rows.select(*SCHEMAS[table].names).write.mode("overwrite").parquet(self.path(table))
+        _by_id(rows.select(*SCHEMAS[table].names)).write.mode("overwrite").parquet(self.path(table))
 
     def months_of(self, rows: DataFrame) -> list[date]:
         """The calendar months that occur: one short value per month of history."""
@@ -96,3 +96,8 @@ class Store:
 def _by_month(rows: DataFrame) -> DataFrame:
     """Few files per month: small months share a task, large ones are split over several."""
     return rows.hint("rebalance", "month").sortWithinPartitions("month", "account_name", "date")
+
+
+def _by_id(rows: DataFrame) -> DataFrame:
+    """Files that hold ranges of ids, in order, so that a lookup by id skips most of them by their statistics."""
+    return rows.repartitionByRange("id").sortWithinPartitions("id")

@@ -18,6 +18,7 @@ from ledgerloom.plans.imports import to_transactions
 from ledgerloom.plans.ledger import Ledger
 from ledgerloom.plans.retrieve import transactions_in_date_range
 from ledgerloom.sources.shared import shared_folder
+from ledgerloom.sources.store import Store
 from registry.catalogue import catalogue
 from registry.views import (
     ACCOUNTS,
@@ -318,6 +319,39 @@ def table_ordered_by_id(spark, sf):
     return rows.orderBy("id")
 
 
+@query("select cast(o_orderkey as varchar) as id, 'a' || o_custkey as account, o_orderstatus as source_file from orders")
+def statements_ordered_by_id(spark, sf):
+    """A stored table as a full scan in order of its ids."""
+    store = Store(spark, shared_folder(spark, "ledger"))
+    stamp = F.lit(datetime(2025, 1, 1))
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        stamp.alias("created_at"),
+        F.concat(F.lit("a"), F.col("o_custkey").cast("string")).alias("account"),
+        stamp.alias("import_timestamp"),
+        F.col("o_orderstatus").alias("source_file"),
+    )
+    store.append("imported_statements", rows)
+    return store.read_ordered("imported_statements").select("id", "account", "source_file")
+
+
+@query(
+    with_views(
+        TX_ORDERS,
+        ACCOUNTS,
+        query="""select o_orderkey, account_name, amount from tx_orders
+        where account_name in (select name from accounts where lower(bank) in ('building', 'machinery'))""",
+    )
+)
+def from_accounts(spark, sf):
+    """Transactions of a list of accounts, some of them listed twice."""
+    held = accounts(spark, sf)
+    listed = relations.accounts_with_bank(held, "building").unionByName(relations.accounts_with_bank(held, "machinery"))
+    return relations.from_accounts(tx_orders(spark, sf), listed.unionByName(listed)).select(
+        "o_orderkey", "account_name", "amount"
+    )
+
+
 @query(
     with_views(
         TX_ORDERS,

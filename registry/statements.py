@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.relations import statement_lineage
 from ledgerloom.operators.rules import category_rule
 from ledgerloom.plans.imports import import_folder, natural_id, register_statements as register
 from ledgerloom.plans.imports import import_statements as import_manifest_files
@@ -296,6 +297,28 @@ def import_statements(spark, sf):
     return retrieve_transactions(store.read("transactions"))
 
 
+@query(
+    with_views(
+        _LLOYDS_SQL,
+        query=f"""select account_name, sha256(concat_ws(chr(1), account_name, cast(date as varchar), name,
+               cast(balance as varchar))) as id, account_name as file_account, account_name as listed_account
+        from (select *, 'LloydsCC-' || user_id as account_name from lloyds {_FIRST})""",
+    )
+)
+def import_lineage(spark, sf):
+    """Ids of stored transactions, each with the account of the file and of the history row it was imported from."""
+    store = _new_ledger(spark, sf, [LLOYDS_CC])
+    pattern = write_statements(table(spark, sf, "events"), LLOYDS_CC, shared_folder(spark, "statements"))
+    for _ in range(2):
+        import_folder(store, pattern, LLOYDS_CC, account_of)
+    history = store.read("imported_statements")
+    transactions = statement_lineage(store.read("transactions"), history)
+    listed = history.select(F.col("id").alias("imported_from"), F.col("account").alias("listed_account"))
+    return transactions.join(listed, "imported_from").select(
+        "account_name", "id", account_of(F.col("source_file")).alias("file_account"), "listed_account"
+    )
+
+
 @query(
     with_views(
         _LLOYDS_SQL,
