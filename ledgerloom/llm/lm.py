@@ -5,11 +5,13 @@ from __future__ import annotations
 import base64
 import io
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +38,10 @@ GROUPS = 16
 BLOCK_BYTES, BLOCK_DOCS = 8_000_000, 4096
 #: Windows that are computed at once.
 WINDOWS = 256
+#: Words whose places are laid out at once; a longer document is laid out alone.
+LAID_OUT = 100_000
+#: Logits beyond this, either way, need the largest of their row taken off before the exponential.
+LARGEST = 60
 #: Longer words are cut for the tokenizer, whose time grows faster than their length.
 PIECE = 64
 
@@ -47,6 +53,13 @@ def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def opens(ranks: dict[bytes, int]) -> np.ndarray:
+    """Which ids begin with a blank, and so open a word."""
+    out = np.zeros(max(ranks.values()) + 1, bool)
+    out[[rank for token, rank in ranks.items() if token.startswith(b" ")]] = True
+    return out
+
+
 class Subwords:
     """Subword ids of single words, each after a blank."""
 
@@ -54,17 +67,15 @@ class Subwords:
         import tiktoken
 
         self.size = max(ranks.values()) + 1
-        pieces = r"(?s:.{1,%d})" % PIECE
+        pieces = r" [^ ]{0,%d}|[^ ]{1,%d}" % (PIECE - 1, PIECE)
         self._encoding = tiktoken.Encoding("subwords", pat_str=pieces, mergeable_ranks=ranks, special_tokens={})
-
-    def ids(self, word: str) -> list[int]:
-        return self._encoding.encode_ordinary(" " + word)
+        self._opens = opens(ranks)
 
     def flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words one after the other, and how many each word has."""
-        found = [self.ids(word) for word in words]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int32, int(lengths.sum())), lengths
+        """The ids of all words one after the other, and how many each word has. Words have no blanks in them, so each
+        begins with the only one of its ids whose token begins with a blank."""
+        ids = np.array(self._encoding.encode_ordinary("".join([" " + word for word in words])), np.int32)
+        return ids, np.diff(np.flatnonzero(self._opens[ids]), append=len(ids))
 
 
 # --- the attention model ---------------------------------------------------------------------------------------------
@@ -116,59 +127,97 @@ def new_weights(n_classes: int, rng: np.random.Generator) -> dict[str, np.ndarra
     }
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
+def _normalised(x: np.ndarray) -> np.ndarray:
+    """The sums by which rows, turned into exponentials in place, are divided for their softmax. The largest logit of each row is taken
+    off only where the logits are too far apart for the exponentials themselves."""
+    if x.size and (x.max() > LARGEST or x.min() < -LARGEST):
+        x -= x.max(-1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
-    return x
+    return x @ np.ones(x.shape[-1], x.dtype)
 
 
-def forward(w: dict[str, np.ndarray], inputs: np.ndarray, since: int = 0) -> dict[str, np.ndarray]:
-    """Masked attention over windows of class ids (rows). `hidden` is given for the places from `since` on."""
-    length = inputs.shape[1]
-    x = w["token"][inputs] + w["place"][:length]
+def _joint(w: dict[str, np.ndarray]) -> np.ndarray:
+    """Of embeddings, the queries, to be held against embeddings themselves, and the values as they are added: the
+    products of the matrices that always follow one another."""
+    return np.concatenate((w["q"] @ w["k"].T * WIDTH**-0.5, w["v"] @ w["o"]), axis=1)
 
-    def times(a: np.ndarray, name: str) -> np.ndarray:
-        return (a.reshape(-1, a.shape[-1]) @ w[name]).reshape(*a.shape[:-1], -1)
 
-    late = np.ascontiguousarray(x[:, since:])
-    q, k, v = times(late, "q"), times(x, "k"), times(x, "v")
-    scores = q @ k.transpose(0, 2, 1)
-    scores *= np.float32(WIDTH**-0.5)
+def forward(w: dict[str, np.ndarray], inputs: np.ndarray, since: int = 0) -> dict[str, np.ndarray]:
+    """Masked attention over windows of class ids (rows). `hidden` is given for the places from `since` on."""
+    rows, length = inputs.shape
+    d, flat = WIDTH, inputs.ravel()
+
+    def placed(table: np.ndarray, positions: np.ndarray) -> np.ndarray:
+        """What places have of their class, plus what they have of their position."""
+        out = table.take(flat, axis=0).reshape(rows, length, d)
+        out += positions
+        return out
+
+    joint, positions = _joint(w), w["place"][:length]
+    x = placed(w["token"], positions)
+    q = placed(w["token"] @ joint[:, :d], positions @ joint[:, :d])[:, since:]
+    v = placed(w["token"] @ joint[:, d:], positions @ joint[:, d:])
+    late = x[:, since:]
+    weights = q @ x.transpose(0, 2, 1)
     # Places after a token's own are masked.
-    scores += np.where(np.arange(since, length)[:, None] < np.arange(length), np.float32(-1e9), np.float32(0))
-    weights = _softmax(scores)
+    seen = np.arange(since, length)[:, None] >= np.arange(length)
+    if weights.size and (weights.max() > LARGEST or weights.min() < -LARGEST):
+        weights[:, ~seen] = -np.inf
+        weights -= weights.max(-1, keepdims=True)
+    np.exp(weights, out=weights)
+    weights *= seen.astype(x.dtype)
+    weights *= (1 / (weights.reshape(-1, length) @ np.ones(length, x.dtype))).reshape(rows, -1, 1)
     mixed = weights @ v
-    joined = late + times(mixed, "o")
-    inner = times(joined, "w1")
+    joined = mixed + late
+    inner = joined.reshape(-1, d) @ w["w1"]
     inner += w["b1"]
     np.maximum(inner, 0, out=inner)
-    hidden = joined + times(inner, "w2")
+    hidden = (inner @ w["w2"]).reshape(joined.shape)
+    hidden += joined
     return {
-        "x": x, "q": q, "k": k, "v": v, "weights": weights, "mixed": mixed, "joined": joined, "inner": inner,
-        "hidden": hidden,
+        "x": x, "q": q, "v": v, "weights": weights, "mixed": mixed, "joined": joined, "inner": inner, "hidden": hidden,
     }
 
 
+def _by_group(group: np.ndarray, groups: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order that puts equal groups together, and each group that occurs with its range in that order."""
+    order = np.argsort(group.astype(np.int16), kind="stable")
+    edges = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=groups)))).tolist()
+    return order, [(g, edges[g], edges[g + 1]) for g in range(groups) if edges[g] < edges[g + 1]]
+
+
+def _class_logits(
+    model: Model, rows: np.ndarray, before: np.ndarray, group: np.ndarray, ranges: list[tuple[int, int, int]]
+) -> np.ndarray:
+    """Logits of the classes in the group of each place; places are ordered by group."""
+    w = model.weights
+    follows = model.class_follows.reshape(-1, SPAN)
+    logits = follows.take(group * np.int64(model.class_follows.shape[1]) + before, axis=0)
+    logits += w["bias"].take(group, axis=0)
+    for number, start, end in ranges:
+        logits[start:end] += rows[start:end] @ w["out"][number]
+    return logits
+
+
 def _chosen(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log probabilities of one entry of each row; the logits are used up."""
-    np.minimum(logits, 80, out=logits)
-    chosen = logits[np.arange(len(at)), at].astype(np.float64)
-    return chosen - np.log(np.exp(logits, out=logits).sum(-1).astype(np.float64))
+    if logits.size and logits.max() > 80:
+        np.minimum(logits, 80, out=logits)
+    chosen = logits.ravel().take(np.arange(len(at)) * logits.shape[1] + at).astype(np.float64)
+    np.exp(logits, out=logits)
+    return chosen - np.log((logits @ np.ones(logits.shape[1], logits.dtype)).astype(np.float64))
 
 
 def log_probabilities(model: Model, hidden: np.ndarray, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logarithms of the probabilities of the target classes; all arguments flat."""
     w = model.weights
     group, within = targets // SPAN, targets % SPAN
-    out = _chosen(hidden @ w["group"] + w["group_bias"] + model.group_follows[inputs], group)
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(len(w["out"]) + 1))
-    for number in range(len(w["out"])):
-        own = order[edges[number] : edges[number + 1]]
-        if len(own):
-            logits = hidden[own] @ w["out"][number] + w["bias"][number] + model.class_follows[number][inputs[own]]
-            out[own] += _chosen(logits, within[own])
+    logits = hidden @ w["group"]
+    logits += (model.group_follows + w["group_bias"]).take(inputs, axis=0)
+    out = _chosen(logits, group)
+    order, ranges = _by_group(group, len(w["out"]))
+    logits = _class_logits(model, hidden.take(order, axis=0), inputs.take(order), group.take(order), ranges)
+    out[order] += _chosen(logits, within.take(order))
     return out
 
 
@@ -176,56 +225,68 @@ def gradients(model: Model, inputs: np.ndarray, targets: np.ndarray, valid: np.n
     """Mean loss of the valid places, and its derivatives."""
     w, f = model.weights, forward(model.weights, inputs)
     d = WIDTH
-    flat = f["hidden"].reshape(-1, d)
+    flat, inner, joined = f["hidden"].reshape(-1, d), f["inner"], f["joined"].reshape(-1, d)
     before, ok = inputs.ravel(), valid.ravel()
     at, group, within = np.arange(targets.size), targets.ravel() // SPAN, targets.ravel() % SPAN
     count = max(1, int(ok.sum()))
-    share = (ok / count).astype(np.float32)[:, None]
-    p_group = _softmax(flat @ w["group"] + w["group_bias"] + model.group_follows[before])
-    loss = -float((np.log(p_group[at, group] + 1e-30) * ok).sum() / count)
-    p_group[at, group] -= 1
-    p_group *= share
-    g = {"group": flat.T @ p_group, "group_bias": p_group.sum(0)}
-    g["out"], g["bias"] = np.zeros_like(w["out"]), np.zeros_like(w["bias"])
-    by_flat = p_group @ w["group"].T
+    share = (ok / count).astype(flat.dtype)
+    p = flat @ w["group"]
+    p += (model.group_follows + w["group_bias"]).take(before, axis=0)
+    sums = _normalised(p)
+    loss = -float((np.log(p[at, group] / sums + 1e-30) * ok).sum() / count)
+    p *= (share / sums)[:, None]
+    p[at, group] -= share
+    ones = np.ones(len(at), flat.dtype)
+    g = {"group": flat.T @ p, "group_bias": ones @ p}
+    by_flat = p @ w["group"].T
     # Of each place, the classes of its target's group.
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(len(w["out"]) + 1))
-    for number in range(len(w["out"])):
-        own = order[edges[number] : edges[number + 1]]
-        if len(own):
-            rows, step = flat[own], np.arange(len(own))
-            p = _softmax(rows @ w["out"][number] + w["bias"][number] + model.class_follows[number][before[own]])
-            loss -= float((np.log(p[step, within[own]] + 1e-30) * ok[own]).sum() / count)
-            p[step, within[own]] -= 1
-            p *= share[own]
-            g["out"][number], g["bias"][number] = rows.T @ p, p.sum(0)
-            by_flat[own] += p @ w["out"][number].T
+    order, ranges = _by_group(group, len(w["out"]))
+    rows, share, within, group = flat.take(order, axis=0), share.take(order), within.take(order), group.take(order)
+    p = _class_logits(model, rows, before.take(order), group, ranges)
+    sums = _normalised(p)
+    loss -= float((np.log(p[at, within] / sums + 1e-30) * ok.take(order)).sum() / count)
+    p *= (share / sums)[:, None]
+    p[at, within] -= share
+    g["out"], g["bias"] = np.zeros_like(w["out"]), np.zeros_like(w["bias"])
+    by_rows = np.empty_like(rows)
+    for number, start, end in ranges:
+        own = p[start:end]
+        np.matmul(rows[start:end].T, own, out=g["out"][number])
+        np.matmul(ones[start:end], own, out=g["bias"][number])
+        np.matmul(own, w["out"][number].T, out=by_rows[start:end])
+    back = np.empty_like(order)
+    back[order] = at
+    by_flat += by_rows.take(back, axis=0)
     by_inner = by_flat @ w["w2"].T
-    by_inner *= f["inner"].reshape(-1, INNER) > 0
-    g["w2"] = f["inner"].reshape(-1, INNER).T @ by_flat
-    g["w1"] = f["joined"].reshape(-1, d).T @ by_inner
-    g["b1"] = by_inner.sum(0)
-    by_joined = by_flat + by_inner @ w["w1"].T
-    g["o"] = f["mixed"].reshape(-1, d).T @ by_joined
-    by_mixed = (by_joined @ w["o"].T).reshape(f["mixed"].shape)
-    by_weights = by_mixed @ f["v"].transpose(0, 2, 1)
-    by_v = f["weights"].transpose(0, 2, 1) @ by_mixed
-    by_weights -= np.einsum("bij,bij->bi", by_weights, f["weights"])[:, :, None]
-    by_weights *= f["weights"]
-    by_weights *= np.float32(d**-0.5)
-    by_q, by_k = by_weights @ f["k"], by_weights.transpose(0, 2, 1) @ f["q"]
-    x, by_x = f["x"].reshape(-1, d), by_joined
-    for name, by in (("q", by_q), ("k", by_k), ("v", by_v)):
-        by = by.reshape(-1, d)
-        g[name] = x.T @ by
-        by_x = by_x + by @ w[name].T
+    by_inner *= inner > 0
+    g["w2"] = inner.T @ by_flat
+    g["w1"] = joined.T @ by_inner
+    g["b1"] = ones @ by_inner
+    by_joined = by_inner @ w["w1"].T
+    by_joined += by_flat
+    x, q, v, weights = f["x"], f["q"], f["v"], f["weights"]
+    by_mixed = by_joined.reshape(f["mixed"].shape)
+    by_both = np.empty((*x.shape[:2], 2 * d), x.dtype)
+    np.matmul(weights.transpose(0, 2, 1), by_mixed, out=by_both[:, :, d:])
+    by_weights = by_mixed @ v.transpose(0, 2, 1)
+    by_weights -= np.einsum("bij,bij->bi", by_mixed, f["mixed"])[:, :, None]
+    by_weights *= weights
+    np.matmul(by_weights, x, out=by_both[:, :, :d])
+    by_both = by_both.reshape(-1, 2 * d)
+    by_joint = x.reshape(-1, d).T @ by_both
+    by_query, by_value = by_joint[:, :d] * d**-0.5, by_joint[:, d:]
+    g["q"], g["k"] = by_query @ w["k"], by_query.T @ w["q"]
+    g["v"], g["o"] = by_value @ w["o"].T, w["v"].T @ by_value
+    by_x = by_both @ _joint(w).T
+    by_x += by_joined
+    by_x += (by_weights.transpose(0, 2, 1) @ q).reshape(-1, d)
     g["place"] = np.zeros_like(w["place"])
     g["place"][: inputs.shape[1]] = by_x.reshape(*inputs.shape, d).sum(0)
     g["token"] = np.zeros_like(w["token"])
-    order = np.argsort(before, kind="stable")
-    met, first = np.unique(before[order], return_index=True)
-    g["token"][met] = np.add.reduceat(by_x[order], first)
+    order = np.argsort(before.astype(np.int16), kind="stable")
+    met = before.take(order)
+    first = np.flatnonzero(np.concatenate(([True], met[1:] != met[:-1])))
+    g["token"][met[first]] = np.add.reduceat(by_x.take(order, axis=0), first)
     return loss, g
 
 
@@ -236,8 +297,11 @@ def padded(classes: np.ndarray) -> int:
 
 def pairs_of(stream: np.ndarray, n: int) -> np.ndarray:
     """How often a class follows another, in texts one after the other, as [class before * n + class]."""
-    before = np.concatenate(([END], stream[:-1])).astype(np.int64)
-    return np.bincount(before * n + stream, minlength=n * n)
+    before, out = _before(stream), np.zeros(n * n, np.int64)
+    for at in range(0, len(stream), LAID_OUT):
+        part = slice(at, at + LAID_OUT)
+        np.add.at(out, before[part] * np.int64(n) + stream[part], 1)
+    return out
 
 
 def untrained(pairs: np.ndarray, classes: np.ndarray, within: np.ndarray, seed: int = 7) -> Model:
@@ -258,24 +322,34 @@ def learn(
 ) -> dict[str, np.ndarray]:
     """The weights after Adam has gone over all windows of the texts in `stream`, in random order, so many times.
     `since` and `until` say which part of the whole training this is; the rate falls over the whole."""
-    weights = {name: value.copy() for name, value in model.weights.items()}
+    names = list(model.weights)
+    # All weights are one array, of which `weights` has views, so that a step is a few operations.
+    value = np.concatenate([model.weights[name].ravel() for name in names])
+    cuts = np.cumsum([model.weights[name].size for name in names])[:-1]
+    weights = {name: part.reshape(model.weights[name].shape) for name, part in zip(names, np.split(value, cuts))}
     now = Model(model.classes, model.within, model.group_follows, model.class_follows, weights)
-    inputs, targets, valid = windows(stream)
-    first = {name: np.zeros_like(value) for name, value in weights.items()}
-    second = {name: np.zeros_like(value) for name, value in weights.items()}
-    rng, step, steps = np.random.default_rng(seed), 0, passes * -(-len(inputs) // BATCH)
+    before, (starts, sizes) = _before(stream), _cut_windows(stream)
+    first, second = np.zeros_like(value), np.zeros_like(value)
+    rng, step, steps = np.random.default_rng(seed), 0, passes * -(-len(starts) // BATCH)
     for _ in range(passes):
-        order = rng.permutation(len(inputs))
+        order = rng.permutation(len(starts))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
-            _, g = gradients(now, inputs[pick], targets[pick], valid[pick])
+            _, by_name = gradients(now, *_filled(stream, before, starts[pick], sizes[pick]))
+            g = np.concatenate([by_name[name].ravel() for name in names])
             step += 1
             rate = RATE * min(1.0, step / 20) * (1 - since - (until - since) * step / (steps + 1))
-            for name, value in weights.items():
-                first[name] = 0.9 * first[name] + 0.1 * g[name]
-                second[name] = 0.99 * second[name] + 0.01 * g[name] ** 2
-                move = (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
-                value -= (rate * move).astype(np.float32)
+            first *= 0.9
+            first += 0.1 * g
+            second *= 0.99
+            np.multiply(g, g, out=g)
+            g *= 0.01
+            second += g
+            size = np.sqrt(second * (1 / (1 - 0.99**step)))
+            size += 1e-8
+            np.divide(first, size, out=size)
+            size *= rate / (1 - 0.9**step)
+            value -= size
     return weights
 
 
@@ -294,48 +368,70 @@ def fit(streams: list[np.ndarray], classes: np.ndarray, within: np.ndarray, seed
     return model
 
 
-def windows(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts one after the other, END at the end of each, cut into windows without overlap, for training: inputs,
-    targets, which places are real. No window holds places of two texts."""
+def _cut_windows(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows without overlap begin, of texts one after the other with END at the end of each, and how many
+    places each has. No window holds places of two texts."""
     ends = np.flatnonzero(stream == END) + 1
     if not len(ends) or ends[-1] < len(stream):
         ends = np.append(ends, len(stream))
     starts = np.concatenate(([0], ends[:-1]))
     count = -(-(ends - starts) // CONTEXT)
     number = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    index = (np.repeat(starts, count) + number * CONTEXT)[:, None] + np.arange(CONTEXT)
-    valid = index < np.repeat(ends, count)[:, None]
-    index = np.minimum(index, max(0, len(stream) - 1))
-    before = np.concatenate(([END], stream[:-1])).astype(np.int32)
+    first = np.repeat(starts, count) + number * CONTEXT
+    return first, np.minimum(np.repeat(ends, count) - first, CONTEXT)
+
+
+def _before(stream: np.ndarray) -> np.ndarray:
+    """The class before each place; before the first one, an end."""
+    return np.concatenate(([END], stream[:-1])).astype(np.int32)
+
+
+def _filled(
+    stream: np.ndarray, before: np.ndarray, first: np.ndarray, sizes: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The inputs and targets of some windows, and which places are real."""
+    valid = np.arange(CONTEXT) < sizes[:, None]
+    index = np.minimum(first[:, None] + np.arange(CONTEXT), max(0, len(stream) - 1))
     return np.where(valid, before[index], END), np.where(valid, stream[index], END), valid
 
 
+def windows(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows for training, of texts one after the other, END at the end of each: inputs, targets, which places
+    are real."""
+    return _filled(stream, _before(stream), *_cut_windows(stream))
+
+
 def score_streams(model: Model, stream: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """log10 probability of the classes of each text: texts lie in `stream` one after the other, END at the end of
     each. Windows overlap: but for a text's first window, the first CONTEXT - STRIDE places of one are context."""
-    out = np.zeros(len(starts))
-    before = np.concatenate(([END], stream[:-1])).astype(np.int32)
+    before = _before(stream)
     before[starts] = END
+    places = np.arange(CONTEXT)
+    found = np.zeros(len(stream))
 
     def run(text: np.ndarray, begin: np.ndarray, since: int) -> None:
-        places = np.arange(CONTEXT)
-        for at in range(0, len(text), WINDOWS):
-            own, first = text[at : at + WINDOWS], begin[at : at + WINDOWS]
-            index = np.minimum(first[:, None] + places, len(stream) - 1)
-            inputs = before[index]
-            hidden = forward(model.weights, inputs, since)["hidden"].reshape(-1, WIDTH)
-            real = (first[:, None] + places[since:] < (starts + lengths)[own][:, None]).ravel()
-            found = log_probabilities(
-                model, hidden[real], inputs[:, since:].ravel()[real], stream[index[:, since:]].ravel()[real]
-            )
-            np.add.at(out, np.repeat(own, CONTEXT - since)[real], found)
+        # Windows that end before their text does have no places to leave out.
+        whole = begin + CONTEXT <= (starts + lengths)[text]
+        for chosen in (np.flatnonzero(whole), np.flatnonzero(~whole)):
+            for at in range(0, len(chosen), WINDOWS):
+                own = chosen[at : at + WINDOWS]
+                index = begin[own][:, None] + places
+                real = None if whole[own[0]] else index[:, since:] < (starts + lengths)[text[own]][:, None]
+                np.minimum(index, len(stream) - 1, out=index)
+                inputs = before.take(index)
+                hidden = forward(model.weights, inputs, since)["hidden"]
+                index, inputs = index[:, since:], inputs[:, since:]
+                if real is not None:
+                    index, inputs, hidden = index[real], inputs[real], hidden[real]
+                index = index.ravel()
+                found[index] = log_probabilities(model, hidden.reshape(-1, WIDTH), inputs.ravel(), stream.take(index))
 
     run(np.arange(len(starts)), starts, 0)
     more = np.maximum(0, -(-(lengths - CONTEXT) // STRIDE))
     text = np.repeat(np.arange(len(starts)), more)
     number = np.arange(len(text)) - np.repeat(np.cumsum(more) - more, more) + 1
     run(text, starts[text] + number * STRIDE, CONTEXT - STRIDE)
-    return out / math.log(10)
+    return (np.add.reduceat(found, starts) if len(starts) else np.zeros(0)) / math.log(10)
 
 
 # --- over a table ----------------------------------------------------------------------------------------------------
@@ -344,90 +440,110 @@ _BLOCK = (
     "block long, doc_ids array<{id}>, held_out array<boolean>, lengths binary, codes binary, "
     "vocabulary array<struct<word:string,at:int,n:long>>"
 )
+_CUT = ", subwords binary"
+
+
+def _numbers() -> defaultdict[bytes, int]:
+    """Numbers words in the order in which they are looked up."""
+    numbers: defaultdict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    return numbers
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """Documents in blocks: their words as numbers, and each word with its count in the block's training documents."""
-    schema = _BLOCK.format(id=docs.schema["doc_id"].dataType.simpleString())
+def _blocks(docs: DataFrame, ranks=None) -> DataFrame:
+    """Documents in blocks: their words as numbers, and each word with its count in the block's training documents. With
+    a broadcast vocabulary also the subwords of each word, so that later steps need not cut it again."""
+    schema = _BLOCK.format(id=docs.schema["doc_id"].dataType.simpleString()) + (_CUT if ranks else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         ids, held, lengths, codes, trained, size = [], [], [], [], [], 0
-        numbers: dict[bytes, int] = {}
+        subwords = Subwords(ranks.value) if ranks else None
+        numbers = _numbers()
 
         def block() -> pa.RecordBatch:
             all_codes = np.concatenate(codes) if codes else np.empty(0, np.int32)
             train = np.concatenate(trained) if trained else np.empty(0, np.int32)
             counts = np.bincount(train, minlength=len(numbers))
+            words = [w.decode() for w in numbers]
             vocabulary = pa.StructArray.from_arrays(
                 [
-                    pa.array([w.decode() for w in numbers], pa.string()),
+                    pa.array(words, pa.string()),
                     pa.array(np.arange(len(numbers), dtype=np.int32)),
                     pa.array(counts.astype(np.int64)),
                 ],
                 names=["word", "at", "n"],
             )
             ends = pa.array([0, len(numbers)], pa.int32())
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays(ids)),
-                    pa.array([held], pa.list_(pa.bool_())),
-                    pa.array([np.array(lengths, np.int32).tobytes()], pa.binary()),
-                    pa.array([all_codes.tobytes()], pa.binary()),
-                    pa.ListArray.from_arrays(ends, vocabulary),
-                ],
-                names=["block", "doc_ids", "held_out", "lengths", "codes", "vocabulary"],
-            )
+            columns = {
+                "block": pa.array([number], pa.int64()),
+                "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays(ids)),
+                "held_out": pa.array([held], pa.list_(pa.bool_())),
+                "lengths": pa.array([np.array(lengths, np.int32).tobytes()], pa.binary()),
+                "codes": pa.array([all_codes.tobytes()], pa.binary()),
+                "vocabulary": pa.ListArray.from_arrays(ends, vocabulary),
+            }
+            if subwords:
+                flat, sizes = (x.astype(np.min_scalar_type(x.max(initial=0))) for x in subwords.flat(words))
+                columns["subwords"] = pa.array([_packed({"flat": flat, "sizes": sizes})], pa.binary())
+            return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
+            texts = batch.column(2).cast(pa.binary())
+            chars = pc.fill_null(pc.utf8_length(batch.column(2)), 0).to_pylist()
             for at in range(batch.num_rows):
-                text = batch.column(2)[at].as_py()
-                words = text.encode().lower().split() if text else []
-                own = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words))
+                words = (texts[at].as_py() or b"").lower().split()
+                own = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
                 ids.append(batch.column(0).slice(at, 1))
                 held.append(batch.column(1)[at].as_py())
                 lengths.append(len(own))
                 codes.append(own)
                 if not held[-1]:
                     trained.append(own)
-                size += len(text or "")
+                size += chars[at]
                 if size >= BLOCK_BYTES or len(ids) >= BLOCK_DOCS:
                     yield block()
                     ids, held, lengths, codes, trained, size = [], [], [], [], [], 0
-                    numbers, number = {}, number + 1
+                    numbers, number = _numbers(), number + 1
         if ids:
             yield block()
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
-def _subword_counts(totals: DataFrame, ranks) -> np.ndarray:
+def _subword_counts(blocks: DataFrame, size: int) -> np.ndarray:
     """How often each subword id occurs in all training documents. The driver gets a row for each id at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(ranks.value)
-        sums = np.zeros(subwords.size, np.int64)
+        sums = np.zeros(size, np.int64)
         for batch in batches:
-            flat, lengths = subwords.flat(batch.column(0).to_pylist())
-            times = np.repeat(np.asarray(batch.column(1)), lengths)
-            sums += np.bincount(flat, times, subwords.size).astype(np.int64)
+            for at in range(batch.num_rows):
+                flat, sizes = _cut(batch, at, None)
+                times = np.repeat(np.asarray(batch.column("n")[at].values), sizes)
+                sums += np.bincount(flat, times, size).astype(np.int64)
         found = np.nonzero(sums)[0]
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found])], names=["id", "n"])
 
-    rows = totals.select("word", "c").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    counts = np.zeros(max(ranks.value.values()) + 1, np.int64)
-    for row in rows.collect():
+    rows = blocks.select("subwords", F.col("vocabulary.n").alias("n")).mapInArrow(run, "id long, n long")
+    counts = np.zeros(size, np.int64)
+    for row in rows.groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row.id] = row.n
     return counts
 
 
-def _places(words: list[str], codes: np.ndarray, lengths: np.ndarray, subwords: Subwords) -> tuple[np.ndarray, ...]:
+def _cut(batch: pa.RecordBatch | pa.Table, at: int, subwords: Subwords | None) -> tuple[np.ndarray, np.ndarray]:
+    """The subwords of a block's words one after the other and how many each word has: as staged, or else cut now."""
+    if "subwords" in batch.schema.names:
+        packed = _unpacked(batch.column("subwords")[at].as_py())
+        return packed["flat"].astype(np.int32), packed["sizes"].astype(np.int64)
+    return subwords.flat(batch.column("words")[at].as_py())
+
+
+def _places(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     """The subwords of a block's words and, at the end, of the end of a text; where the subwords of its texts lie in
     them, text by text; and how many each text has."""
-    codes = np.insert(codes, np.cumsum(lengths), len(words))
+    codes = np.insert(codes, np.cumsum(lengths), len(sizes))
     first = np.cumsum(lengths + 1) - (lengths + 1)
-    flat, sizes = subwords.flat(words)
     flat, sizes = np.append(flat, 0), np.append(sizes, 1)
     offsets = np.cumsum(sizes) - sizes
     times = sizes[codes]
@@ -435,8 +551,19 @@ def _places(words: list[str], codes: np.ndarray, lengths: np.ndarray, subwords:
     return flat, place, np.add.reduceat(times, first)
 
 
+def _slices(lengths: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Runs of documents of about LAID_OUT words, and where their words are."""
+    ends = np.cumsum(lengths)
+    start = 0
+    while start < len(lengths):
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + LAID_OUT, "right")))
+        yield slice(start, end), slice(before, int(ends[end - 1]))
+        start = end
+
+
 def _streams(
-    batches: Iterator[pa.RecordBatch], classes: np.ndarray, subwords: Subwords
+    batches: Iterator[pa.RecordBatch], classes: np.ndarray, subwords: Subwords | None
 ) -> Iterator[tuple[int, np.ndarray]]:
     """Of each block, its number and the classes of its training documents, END at the end of each."""
     for batch in batches:
@@ -448,10 +575,13 @@ def _streams(
             lengths = lengths[~held]
             if not len(lengths):
                 continue
-            flat, place, _ = _places(batch.column("words")[at].as_py(), codes, lengths, subwords)
-            by_flat = classes[flat].astype(np.int32)
-            by_flat[-1] = END
-            yield batch.column("block")[at].as_py(), by_flat[place]
+            cut, parts = _cut(batch, at, subwords), []
+            for docs, words in _slices(lengths):
+                flat, place, _ = _places(*cut, codes[words], lengths[docs])
+                by_flat = classes[flat].astype(np.int32)
+                by_flat[-1] = END
+                parts.append(by_flat[place])
+            yield batch.column("block")[at].as_py(), np.concatenate(parts)
 
 
 def _packed(weights: dict[str, np.ndarray]) -> bytes:
@@ -491,13 +621,13 @@ def _row(part: int, average: _Average) -> pa.RecordBatch:
     )
 
 
-def _pair_counts(texts: DataFrame, classes: np.ndarray, ranks) -> np.ndarray:
+def _pair_counts(texts: DataFrame, classes: np.ndarray, ranks=None) -> np.ndarray:
     """How often a class follows another in all training documents. The driver gets a row for each pair at most."""
     n = padded(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(n * n, np.int64)
-        for _, stream in _streams(batches, classes, Subwords(ranks.value)):
+        for _, stream in _streams(batches, classes, Subwords(ranks.value) if ranks else None):
             sums += pairs_of(stream, n)
         found = np.nonzero(sums)[0]
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(sums[found])], names=["pair", "n"])
@@ -514,7 +644,7 @@ def _round(texts: DataFrame, model: Model, ranks, passes: int, number: int) -> d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, average = sent.value, _Average()
-        for block, stream in _streams(batches, model.classes, Subwords(ranks.value)):
+        for block, stream in _streams(batches, model.classes, Subwords(ranks.value) if ranks else None):
             since, until = number / ROUNDS, (number + 1) / ROUNDS
             average.add(learn(model, stream, passes, block, since, until), len(stream))
         if average.places:
@@ -534,20 +664,17 @@ def _round(texts: DataFrame, model: Model, ranks, passes: int, number: int) -> d
     return whole.weights() if whole.places else model.weights
 
 
-def train(blocks: DataFrame, totals: DataFrame, vocabulary: str = VOCABULARY):
-    """The attention model, and the broadcast vocabulary. Every training document of every block is learned from."""
-    ranks = blocks.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    counts = _subword_counts(totals, ranks)
-    opens = np.zeros(len(counts), bool)
-    opens[[rank for token, rank in ranks.value.items() if token.startswith(b" ")]] = True
-    classes, within = assign_classes(counts, opens)
-    texts = blocks.select("block", "held_out", "lengths", "codes", F.col("vocabulary.word").alias("words"))
-    pairs = _pair_counts(texts, classes, ranks)
+def train(blocks: DataFrame, ranks: dict[bytes, int]) -> Model:
+    """The attention model. Every training document of every block is learned from."""
+    opening = opens(ranks)
+    classes, within = assign_classes(_subword_counts(blocks, len(opening)), opening)
+    texts = blocks.select("block", "held_out", "lengths", "codes", "subwords")
+    pairs = _pair_counts(texts, classes)
     model = untrained(pairs, classes, within)
     places = int(pairs.sum())
     for number in range(ROUNDS if places else 0):
-        model.weights = _round(texts, model, ranks, passes_for(places), number)
-    return model, ranks
+        model.weights = _round(texts, model, None, passes_for(places), number)
+    return model
 
 
 def score(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -565,31 +692,31 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULARY) -> Da
     """
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    blocks = stage(_blocks(rows), "lm-blocks")
+    ranks = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    blocks = stage(_blocks(rows, ranks), "lm-blocks")
     words = blocks.select("block", F.inline("vocabulary"))
     by_word = Window.partitionBy("word")
     counted = stage(
         words.withColumn("c", F.sum("n").over(by_word))
-        .withColumn("_place", F.row_number().over(by_word.orderBy("block")))
+        .withColumn("first", F.row_number().over(by_word.orderBy("block")) == 1)
         .where("c > 0")
-        .select("block", "at", "c", F.when(F.col("_place") == 1, F.col("word")).alias("word")),
+        .select("block", "at", "c", "first"),
         "lm-counts",
     )
-    totals = counted.where("word is not null")
-    n_words, n_distinct = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    n_words, n_distinct = counted.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     trained = blocks.agg(F.sum(F.size(F.filter("held_out", lambda h: ~h)))).first()[0] or 0
     n_total, v_total = n_words + trained, n_distinct + (trained > 0)
-    model, ranks = train(blocks, totals, vocabulary)
+    sent = docs.sparkSession.sparkContext.broadcast(train(blocks, ranks.value))
 
     def run(block: pa.Table, counts: pa.Table) -> pa.Table:
         parts = [
-            _scored(row, counts, model, Subwords(ranks.value), n_total, v_total, trained)
+            _scored(row, counts, sent.value, n_total, v_total, trained)
             for row in (block.slice(at, 1) for at in range(block.num_rows))
         ]
         return pa.concat_tables(parts)
 
-    # Of the vocabulary only the words travel again.
-    texts = blocks.select("block", "doc_ids", "held_out", "lengths", "codes", F.col("vocabulary.word").alias("words"))
+    # The words themselves do not travel again.
+    texts = blocks.select("block", "doc_ids", "held_out", "lengths", "codes", "subwords")
     return (
         texts.groupBy("block")
         .cogroup(counted.select("block", "at", "c").groupBy("block"))
@@ -601,25 +728,29 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULARY) -> Da
     )
 
 
-def _scored(block: pa.Table, counts: pa.Table, model: Model, subwords: Subwords, n: int, v: int, ends: int) -> pa.Table:
+def _scored(block: pa.Table, counts: pa.Table, model: Model, n: int, v: int, ends: int) -> pa.Table:
     lengths = np.frombuffer(block["lengths"][0].as_py(), np.int32).astype(np.int64)
     codes = np.frombuffer(block["codes"][0].as_py(), np.int32)
-    words = block["words"].combine_chunks().flatten().to_pylist()
+    flat, sizes = _cut(block, 0, None)
     # The end is one more word of the block, after each document's own.
-    known = np.zeros(len(words) + 1, np.int64)
+    known = np.zeros(len(sizes) + 1, np.int64)
     known[np.asarray(counts["at"])] = np.asarray(counts["c"])
     known[-1] = ends
+    logs = np.log10(known + 1.0)
     n_tokens = lengths + 1
-    first = np.cumsum(n_tokens) - n_tokens
-    flat, place, n_subwords = _places(words, codes, lengths, subwords)
-    codes = np.insert(codes, np.cumsum(lengths), len(words))
-    base = np.add.reduceat(np.log10(known + 1.0)[codes], first) - n_tokens * math.log10(n + v + 1)
-    n_known = np.add.reduceat((known > 0)[codes].astype(np.int64), first)
-    classes, within = model.classes[flat], model.within[flat]
-    classes[-1], within[-1] = END, 0.0
-    starts = np.cumsum(n_subwords) - n_subwords
-    stream = classes[place]
-    total = score_streams(model, stream, starts, n_subwords) + np.add.reduceat(within[place], starts)
+    parts = []
+    for own, words in _slices(lengths):
+        first = np.cumsum(n_tokens[own]) - n_tokens[own]
+        by_flat, place, n_subwords = _places(flat, sizes, codes[words], lengths[own])
+        at = np.insert(codes[words], np.cumsum(lengths[own]), len(sizes))
+        base = np.add.reduceat(logs[at], first) - n_tokens[own] * math.log10(n + v + 1)
+        n_known = np.add.reduceat((known > 0)[at].astype(np.int64), first)
+        classes, within = model.classes[by_flat], model.within[by_flat]
+        classes[-1], within[-1] = END, 0.0
+        starts = np.cumsum(n_subwords) - n_subwords
+        total = score_streams(model, classes[place], starts, n_subwords) + np.add.reduceat(within[place], starts)
+        parts.append((n_known, base, total, n_subwords))
+    n_known, base, total, n_subwords = (np.concatenate(x) for x in zip(*parts))
     count = len(lengths)
     return pa.table(
         {

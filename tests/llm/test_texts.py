@@ -3,10 +3,12 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -430,6 +432,86 @@ def test_subwords_cut_long_words():
     assert lengths.sum() == len(flat) and lengths[1] < 100_000
 
 
+def test_words_are_cut_once(spark, docs, rows, monkeypatch):
+    """Blocks carry the subwords of their words, word by word as the vocabulary cuts them, and what follows what is
+    counted from them alone: later steps have no vocabulary at hand."""
+    monkeypatch.setattr(lm, "BLOCK_DOCS", 7)
+    ranks = spark.sparkContext.broadcast(lm.read_vocabulary())
+    subwords = lm.Subwords(ranks.value)
+    blocks = lm._blocks(docs.select("doc_id", F.lit(False).alias("held_out"), "text"), ranks).localCheckpoint()
+    met = 0
+    for row in blocks.select("subwords", F.col("vocabulary.word").alias("words")).toArrow().to_pylist():
+        cut = lm._unpacked(row["subwords"])
+        alone = [subwords.flat([word])[0].tolist() for word in row["words"]]
+        assert cut["sizes"].tolist() == [len(ids) for ids in alone]
+        assert cut["flat"].tolist() == [i for ids in alone for i in ids]
+        met += len(alone)
+    assert met > 1000
+    classes, _ = lm.assign_classes(np.arange(subwords.size) % 1000)
+    texts = blocks.select("block", "held_out", "lengths", "codes", F.col("vocabulary.word").alias("words"))
+    staged = blocks.select("block", "held_out", "lengths", "codes", "subwords")
+    assert (lm._pair_counts(staged, classes, None) == lm._pair_counts(texts, classes, ranks)).all()
+
+
+def test_scoring_a_block_takes_the_room_of_a_slice(monkeypatch):
+    """A block's documents are scored in slices, with the same scores and in a fraction of the memory."""
+    rng = np.random.default_rng(2)
+    words, classes = 500, np.append(0, rng.integers(1, 40, 1999)).astype(np.int32)
+    model = lm.untrained(np.zeros(48 * 48), np.append(classes, 47), np.zeros(2001))
+    lengths = np.concatenate(([0, 0, 9000], rng.integers(0, 60, 1200), [0, 1])).astype(np.int32)
+    codes = rng.integers(0, words, int(lengths.sum())).astype(np.int32)
+    block = pa.table(
+        {
+            "doc_ids": [list(range(len(lengths)))], "held_out": [[False] * len(lengths)],
+            "lengths": [lengths.tobytes()], "codes": [codes.tobytes()],
+            "subwords": [lm._packed({"flat": rng.integers(1, 2000, 2 * words), "sizes": np.full(words, 2)})],
+        }
+    )
+    counts = pa.table({"at": np.arange(0, words, 2), "c": np.arange(0, words, 2) + 1})
+    found, peaks = [], []
+    for size in (10**9, 1000):
+        monkeypatch.setattr(lm, "LAID_OUT", size)
+        monkeypatch.setattr(lm, "WINDOWS", 16)
+        tracemalloc.start()
+        found.append(lm._scored(block, counts, model, 10_000, words, 3).to_pandas())
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert (found[0].n_tokens == lengths + 1).all() and (found[0].n_subwords == 2 * lengths + 1).all()
+    for name in found[0]:
+        assert np.allclose(found[0][name], found[1][name], rtol=1e-5, atol=1e-6)
+    assert peaks[1] < 0.6 * peaks[0]
+
+
+def test_learning_makes_windows_as_it_needs_them(monkeypatch):
+    """A block's windows are never there all at once, nor the pairs of its places: memory per place stays small."""
+    monkeypatch.setattr(lm, "BATCH", 4)
+    monkeypatch.setattr(lm, "LAID_OUT", 1000)
+    monkeypatch.setattr(lm, "gradients", lambda m, i, t, v: (0.0, {k: np.zeros_like(w) for k, w in m.weights.items()}))
+    rng = np.random.default_rng(6)
+    model = lm.fit([], *lm.assign_classes(rng.integers(0, 50, 60), own=28, shared=4))
+    stream = np.where(np.arange(400_000) % 500 == 499, 0, rng.integers(1, 33, 400_000)).astype(np.int32)
+    tracemalloc.start()
+    lm.learn(model, stream)
+    pairs = lm.pairs_of(stream, 48)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs.sum() == len(stream) and pairs[: 48].sum() == len(stream) // 500
+    assert peak < 16 * len(stream)
+
+
+def test_softmax_of_far_apart_logits():
+    """Attention to one place only, whose exponential has no float, and no gradient that is not finite."""
+    rng = np.random.default_rng(3)
+    model = lm.fit([], *lm.assign_classes(rng.integers(0, 50, 60), own=28, shared=4))
+    stream = np.append(rng.integers(1, 33, 90), 0).astype(np.int32)
+    for name in ("q", "k"):
+        model.weights[name] = np.eye(lm.WIDTH, dtype=np.float32) * 80
+    found = lm.forward(model.weights, lm.windows(stream)[0])["weights"]
+    assert np.allclose(found.sum(-1), 1, atol=1e-5) and (np.triu(found[0], 1) == 0).all()
+    loss, g = lm.gradients(model, *lm.windows(stream))
+    assert math.isfinite(loss) and all(np.isfinite(value).all() for value in g.values())
+
+
 # --- toxicity
 
 
