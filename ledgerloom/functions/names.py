@@ -61,14 +61,36 @@ def _letters(text: str) -> np.ndarray:
     ] * bool(text)
 
 
+def close_among(query: str, candidates: Iterable[str]) -> list[str]:
+    """The first CLOSE_MATCHES candidates whose similarity to the query reaches the threshold."""
+    matcher = SequenceMatcher()
+    matcher.set_seq2(query)
+    close = []
+    for candidate in candidates:
+        matcher.set_seq1(candidate)
+        if matcher.ratio() >= SIMILARITY:
+            close.append(candidate)
+            if len(close) == CLOSE_MATCHES:
+                break
+    return close
+
+
 class CloseNames:
-    """Similarity and substring search over folded candidate names."""
+    """Similarity and substring search over folded candidate names.
+
+    Names with the same letters in another order have the same bound, so it is computed once for each set of letters.
+    """
 
     def __init__(self, folded: list[str]):
         self.folded = folded
-        self._lengths = np.array([len(name) for name in folded], dtype=np.int64)
-        self._letters = np.array([_letters(name) for name in folded], dtype=np.int32).reshape(
-            len(folded), _CHARACTER_SLOTS
+        by_letters: dict[bytes, list[str]] = {}
+        for name in folded:
+            by_letters.setdefault(_letters(name).astype(np.int32).tobytes(), []).append(name)
+        groups = sorted(by_letters.items(), key=lambda group: len(group[1][0]))
+        self._groups = [names for _, names in groups]
+        self._lengths = np.array([len(names[0]) for names in self._groups], dtype=np.int64)
+        self._letters = np.frombuffer(b"".join(letters for letters, _ in groups), np.int32).reshape(
+            len(groups), _CHARACTER_SLOTS
         )
 
     def similar(self, query: str) -> list[str]:
@@ -76,24 +98,16 @@ class CloseNames:
 
         Stops at CLOSE_MATCHES: from the second on, the name is ambiguous whatever else there is.
         """
-        if not self.folded:
-            return []
-        total = self._lengths + len(query)
+        # Of two similar names, the shorter one has three fifths of the longer one's length at least.
+        start = np.searchsorted(self._lengths, -(-3 * len(query) // 5))
+        end = np.searchsorted(self._lengths, 5 * len(query) // 3, "right")
+        total = self._lengths[start:end] + len(query)
         # Shared letters bound the ratio from above, so nothing that qualifies is lost here.
-        shared = np.minimum(self._letters, _letters(query)).sum(axis=1)
+        shared = np.minimum(self._letters[start:end], _letters(query)).sum(axis=1)
         bound = 2.0 * shared / np.maximum(total, 1)
         possible = np.flatnonzero(bound >= SIMILARITY - 1e-9)
-        possible = possible[np.argsort(-bound[possible], kind="stable")]
-        matcher = SequenceMatcher()
-        matcher.set_seq2(query)
-        close = []
-        for at in possible:
-            matcher.set_seq1(self.folded[at])
-            if matcher.ratio() >= SIMILARITY:
-                close.append(self.folded[at])
-                if len(close) == CLOSE_MATCHES:
-                    break
-        return close
+        possible = possible[np.argsort(-bound[possible], kind="stable")] + start
+        return close_among(query, (name for at in possible for name in self._groups[at]))
 
     def containing(self, query: str) -> list[str]:
         return [name for name in self.folded if query in name]

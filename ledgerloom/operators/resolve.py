@@ -1,27 +1,36 @@
 """Matching a column of misspelt names against a table of known names.
 
 The cascade is exact, unique prefix, one close match, one substring match. Exact and prefix matches are
-equi-joins. Only names they do not settle are compared for similarity, in blocks of bounded size; no pair is
-ever a row, each block reports its matches per name as counts and one example.
+equi-joins. A name they do not settle first meets its neighbours in the order of spelling, forwards and backwards:
+one with CLOSE_MATCHES close ones among them is ambiguous, whatever else there is. Only the others are compared with
+all candidates, in blocks of bounded size; no pair is ever a row, each block reports its matches per name as counts
+and one example.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.cleaning import fold_name
-from ledgerloom.functions.names import CLOSE_MATCHES, CloseNames
+from ledgerloom.functions.names import CLOSE_MATCHES, CloseNames, close_among
 from ledgerloom.operators.lookup import fits
+from ledgerloom.sources.shared import stage
 
 # Up to this many candidates travel with the tasks; beyond it both sides are cut into blocks.
 LOCAL_CANDIDATES = 50_000
 # Names and candidates per block.
 NAME_BLOCK = 5_000
 CANDIDATE_BLOCK = 50_000
+# Names that one task compares with all local candidates.
+LOCAL_NAMES = 1_000
+# Candidates before and after a name in the order of spelling that it meets first.
+NEIGHBOURS = 4
+# Names and candidates in order that one task goes through.
+ORDERED_WORDS = 20_000
 
 _FOUND = "folded string, n_close long, close string, n_held long, held string"
 
@@ -46,11 +55,12 @@ def resolve_names(
         .distinct()
         .withColumn("folded", fold_name(F.col("input")))
     )
-    known = (
+    known = stage(
         candidates.select(F.col(candidate).alias("name"))
         .where(F.col("name").isNotNull())
         .groupBy(fold_name(F.col("name")).alias("key"))
-        .agg(F.max("name").alias("name"))
+        .agg(F.max("name").alias("name")),
+        "names-known",
     )
     prefixes = (
         known.select(
@@ -64,7 +74,7 @@ def resolve_names(
         .where(F.col("n_started") == 1)
         .select("prefix", "started")
     )
-    settled = (
+    settled = stage(
         inputs.join(known, inputs.folded == known.key, "left")
         .join(prefixes, inputs.folded == prefixes.prefix, "left")
         .select(
@@ -72,13 +82,21 @@ def resolve_names(
             "folded",
             F.coalesce("name", "started").alias("match"),
             F.when(F.col("name").isNotNull(), "exact").when(F.col("started").isNotNull(), "prefix").alias("method"),
-        )
+        ),
+        "names-settled",
     )
     open_names = settled.where(F.col("method").isNull()).select("folded").distinct()
+    crowded = []
+    for spelling in (F.reverse, F.col):
+        met = stage(_meet_neighbours(open_names, known, spelling), "names-met")
+        crowded.append(met.where(F.col("n_close") == CLOSE_MATCHES))
+        open_names = met.where(F.col("n_close") < CLOSE_MATCHES).select("folded")
     if fits(known, local_candidates):
         found = _compare_locally(open_names, [row.key for row in known.select("key").collect()])
     else:
         found = _compare_in_blocks(open_names, known, name_block, candidate_block)
+    for rows in crowded:
+        found = found.unionByName(rows, allowMissingColumns=True)
 
     decided = found.select(
         F.col("folded").alias("open"),
@@ -106,21 +124,50 @@ def resolve_names(
     )
 
 
+def _meet_neighbours(open_names: DataFrame, known: DataFrame, spelling: Callable[[Column | str], Column]) -> DataFrame:
+    """`folded`, `n_close`: how many of the candidates next to a name in the order of `spelling` are close to it.
+
+    A name sees the candidates around it in its range of spellings and its batch of rows, so that no more is held.
+    """
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words, is_key = batch["word"].to_numpy(), batch["is_key"].to_numpy()
+            keys, places = words[is_key], is_key.cumsum()
+            rows = []
+            for at in (~is_key).nonzero()[0]:
+                around = keys[max(0, places[at] - NEIGHBOURS) : places[at] + NEIGHBOURS]
+                rows.append((words[at], len(close_among(words[at], around))))
+            yield pd.DataFrame(rows, columns=["folded", "n_close"])
+
+    words = open_names.select(F.col("folded").alias("word"), F.lit(False).alias("is_key")).unionByName(
+        known.select(F.col("key").alias("word"), F.lit(True).alias("is_key"))
+    )
+    parts = max(1, -(-words.count() // ORDERED_WORDS))
+    ordered = words.withColumn("_order", spelling("word")).repartitionByRange(parts, "_order").sortWithinPartitions("_order")
+    return ordered.select("word", "is_key").mapInPandas(meet, "folded string, n_close long")
+
+
 def _search(queries: Iterator[str], index: CloseNames) -> pd.DataFrame:
     rows = []
     for query in queries:
-        close, held = index.similar(query), index.containing(query)
+        close = index.similar(query)
+        # Names that hold the query are asked only if nothing is close, in this block or another.
+        held = [] if close else index.containing(query)
         rows.append((query, len(close), max(close, default=None), len(held), max(held, default=None)))
     return pd.DataFrame(rows, columns=["folded", "n_close", "close", "n_held", "held"])
 
 
 def _compare_locally(open_names: DataFrame, keys: list[str]) -> DataFrame:
+    """Names in parts of LOCAL_NAMES, however few bytes they have, against all candidates."""
+    parts = max(1, -(-open_names.count() // LOCAL_NAMES))
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = CloseNames(keys)
         for batch in batches:
             yield _search(batch["folded"], index)
 
-    return open_names.mapInPandas(search, _FOUND)
+    return open_names.repartition(parts, "folded").mapInPandas(search, _FOUND)
 
 
 def _compare_in_blocks(

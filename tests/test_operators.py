@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ledgerloom import Action, Condition, Matches, PerValue, Rule, Text, category_rule, filter_frame, filter_ledger
 from ledgerloom.functions.cleaning import clean_money, decode_html, null_if_na, quantise
 from ledgerloom.functions.dates import as_timestamp, parse_dates
-from ledgerloom.functions.names import AmbiguousMatch, NoMatch, fold, match_name, resolve_name
+from ledgerloom.functions.names import AmbiguousMatch, CloseNames, NoMatch, fold, match_name, resolve_name
 from ledgerloom.operators import relations
 from ledgerloom.operators.dedupe import first_wins
 from ledgerloom.operators.filtering import NoRows
 from ledgerloom.operators.lookup import lookup
+from ledgerloom.operators import resolve
 from ledgerloom.operators.resolve import resolve_names
 from ledgerloom.operators.rules import apply_rules, load_rules, rules_from_json, rules_table, tag_rules
 from ledgerloom.schema import DIRECTIONS
@@ -292,6 +293,34 @@ def test_similarity_in_blocks_equals_brute_force(spark):
         assert {row.input: row.match for row in found.collect()} == expected
 
 
+def test_names_among_many_alike_are_not_compared_with_all(spark, monkeypatch):
+    candidates = [f"Customer#{n:09d}" for n in range(500)] + ["baker", "tailor", "a greengrocer", "greengrocers b"]
+    queries = [c[:2] + c[3:] for c in candidates[:500]] + ["bakre", "grocer", "zzz", "ailor", "Customer#000000007"]
+    for limits in ({}, {"local_candidates": 0, "name_block": 2, "candidate_block": 100}):
+        compared = []
+        for name in ("_compare_locally", "_compare_in_blocks"):
+            compare = getattr(resolve, name)
+            monkeypatch.setattr(
+                resolve, name, lambda names, *rest, compare=compare: compared.append(names.count()) or compare(names, *rest)
+            )
+        rows = resolve_names(column(spark, queries), "v", column(spark, candidates), "v", **limits).collect()
+        monkeypatch.undo()
+        assert sum(compared) == 4
+        expected = {query: match_name(query, candidates) for query in queries[::50] + queries[500:]}
+        found = {r.input: (r.match, r.method, r.n_candidates) for r in rows}
+        assert len(rows) == len(queries)
+        assert {query: found[query] for query in expected} == {
+            query: (m.match, m.method, m.n_candidates) for query, m in expected.items()
+        }
+
+
+def test_names_with_the_same_letters_are_all_found():
+    folded = ["abcdef", "fedcba", "abcdfe", "abcde", "uvwxyz"]
+    assert sorted(CloseNames(folded).similar("abcdef")) == ["abcde", "abcdef", "abcdfe"]
+    assert CloseNames(folded).similar("fedcbx") == ["fedcba"]
+    assert CloseNames([]).similar("abc") == CloseNames(folded).similar("") == []
+
+
 def test_bank_steps(spark):
     rows = spark.createDataFrame(
         [
