@@ -11,6 +11,8 @@ _SETTINGS = {
     # Sizes are not known before a job runs: join strategy, skew and partition counts are decided then.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Folders that one listing task goes through: by default each has a task of its own, up to 10 000.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "200",
 }
 
 

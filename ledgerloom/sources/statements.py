@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_
@@ -13,7 +15,7 @@ from pyspark.sql import types as T
 from ledgerloom.functions.cleaning import null_if_na
 from ledgerloom.operators.lookup import HOT_ROWS
 from ledgerloom.sources.layouts import Layout
-from ledgerloom.sources.shared import stage
+from ledgerloom.sources.shared import in_parts, shared_folder, stage
 
 RAW_LINE = "_raw_line"
 
@@ -22,6 +24,8 @@ RAW_LINE = "_raw_line"
 LARGE_FILE = 64 * 1024 * 1024
 # A quoted cell that is still open after so many lines makes the row a misfit, shown by these lines.
 RECORD_LINES = 1000
+# Bytes that opening a file is worth when files are given to tasks.
+OPEN_COST = 128 * 1024
 
 
 @dataclass(frozen=True)
@@ -81,22 +85,58 @@ def read_statements(
     Ordinary files are read whole, each by one task. Large files are cut into blocks for many tasks, also where
     quoted cells run over line ends (`split_records`). `multi_line` forces whole files (True) or blocks of lines
     (False). `staged` writes the numbered rows to a shared folder first, so the files are parsed only once; it
-    is implied by large files.
+    is implied by large files. Many files are then read in parts, so that the driver holds one part's list of files.
     """
+    if not staged:
+        numbered, cut = _numbered(spark, paths, layout, multi_line, large_file)
+        raw = place_rows(numbered, layout, blocks=cut, staged=cut and multi_line is None)
+        return raw if cut or multi_line is not None else replace(raw, hot_rows=None)
+    return read_parts(spark, in_parts(spark, paths), layout, multi_line, large_file)
+
+
+def read_parts(
+    spark: SparkSession,
+    parts: Iterable[list[str]],
+    layout: Layout,
+    multi_line: bool | None = None,
+    large_file: int = LARGE_FILE,
+) -> RawStatements:
+    """`read_statements` for paths in parts, one part after the other; the numbered rows are written to a shared folder."""
+    folder, any_cut = shared_folder(spark, "statement-rows"), False
+    with _small_files(spark):
+        for part in parts:
+            numbered, cut = _numbered(spark, part, layout, multi_line, large_file)
+            numbered.write.mode("append").parquet(folder)
+            any_cut = any_cut or cut
+    raw = place_rows(spark.read.schema(numbered.schema).parquet(folder), layout, blocks=True)
+    return raw if any_cut or multi_line is not None else replace(raw, hot_rows=None)
+
+
+def _numbered(
+    spark: SparkSession, paths: list[str], layout: Layout, multi_line: bool | None, large_file: int
+) -> tuple[DataFrame, bool]:
+    """The rows with their places, and whether files were cut into blocks."""
     if multi_line is not None:
-        numbered = number_rows(locate(_cells(spark, paths, layout, multi_line)), blocks=not multi_line)
-        return place_rows(numbered, layout, blocks=not multi_line, staged=staged)
+        return number_rows(locate(_cells(spark, paths, layout, multi_line)), blocks=not multi_line), not multi_line
     cells = _cells(spark, paths, layout, True)
     # Filters on file metadata choose files before any is opened.
     large = F.col("_metadata.file_size") > large_file
     if cells.where(large).isEmpty():
-        numbered = number_rows(locate(cells), blocks=False)
-        return replace(place_rows(numbered, layout, blocks=False, staged=staged), hot_rows=None)
-
-    numbered = number_rows(locate(cells.where(~large)), blocks=False).unionByName(
+        return number_rows(locate(cells), blocks=False), False
+    return number_rows(locate(cells.where(~large)), blocks=False).unionByName(
         split_records(spark.read.text(paths).where(large), layout)
-    )
-    return place_rows(numbered, layout, blocks=True, staged=True)
+    ), True
+
+
+@contextmanager
+def _small_files(spark: SparkSession) -> Iterator[None]:
+    """Tasks take files by their size, not some thirty of whatever size."""
+    cost, before = "spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set(cost, str(OPEN_COST))
+    try:
+        yield
+    finally:
+        spark.conf.set(cost, before)
 
 
 def _cells(spark: SparkSession, paths: list[str], layout: Layout, multi_line: bool) -> DataFrame:

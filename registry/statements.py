@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
 from datetime import datetime
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,21 +130,55 @@ _MONZO_SQL = """monzo as (
 _LINES = {"Chase": (_CHASE_HEAD, _chase_line), "LloydsCC": (_LLOYDS_HEAD, _lloyds_line), "Monzo": (_MONZO_HEAD, _monzo_line)}
 
 
+# Statement files in one folder.
+FOLDER_FILES = 30_000
+
+
 def write_statements(events: DataFrame, layout: Layout, folder: str) -> str:
-    """One statement file per user, with its head, under `folder`; returns the pattern that reads them."""
+    """One statement file per user, with its head, in folders below `folder`; returns the pattern that reads them."""
     head, line = _LINES[layout.name]
     body = events.select(
         F.concat(F.lit(f"{layout.name}-"), F.col("user_id").cast("string")).alias("account"),
         F.col("event_id").alias("place"),
         line().alias("line"),
     )
-    heads = body.select("account").distinct().select(
-        "account", F.posexplode(F.array(*[F.lit(text) for text in head])).alias("place", "line")
-    )
+    accounts = body.select("account").distinct()
+    heads = accounts.select("account", F.posexplode(F.array(*[F.lit(text) for text in head])).alias("place", "line"))
     above = heads.withColumn("place", (F.col("place") - len(head)).cast("bigint"))
-    files = above.unionByName(body).repartition("account").sortWithinPartitions("account", "place")
-    files.select("account", "line").write.partitionBy("account").text(folder)
-    return f"{folder}/account=*"
+    folders = max(1, -(-accounts.count() // FOLDER_FILES))
+    files = (
+        above.unionByName(body)
+        .withColumn("part", F.pmod(F.xxhash64("account"), F.lit(folders)))
+        .repartition("account")
+        .sortWithinPartitions("part", "account", "place")
+        .select("part", "account", "line")
+    )
+    if re.match("(file:)?/", folder):
+        # Spark's own writer starts processes for each file that it makes on a local disk.
+        files.mapInArrow(_write_files(re.sub("^file:/+", "/", folder)), "files long").agg(F.sum("files")).collect()
+    else:
+        files.write.partitionBy("part", "account").text(folder)
+    return f"{folder}/part=*/account=*"
+
+
+def _write_files(folder: str):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, out, files = None, None, 0
+        for batch in batches:
+            rows = zip(*(column.to_pylist() for column in batch.columns))
+            for at, lines in groupby(rows, key=lambda row: row[:2]):
+                if at != key:
+                    if out:
+                        out.close()
+                    own = f"{folder}/part={at[0]}/account={'__HIVE_DEFAULT_PARTITION__' if at[1] is None else at[1]}"
+                    os.makedirs(own, exist_ok=True)
+                    key, out, files = at, open(f"{own}/part-0.csv", "w", encoding="utf-8", newline=""), files + 1
+                out.writelines(f"{line}\n" for _, _, line in lines)
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"files": [files]})
+
+    return write
 
 
 def account_of(path: Column) -> Column:

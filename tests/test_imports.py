@@ -11,8 +11,9 @@ from ledgerloom import CHASE, LLOYDS_CC, MONZO, Ledger, Rule
 from ledgerloom.operators.rules import Action, Condition
 from ledgerloom.plans.imports import RejectedRows
 from ledgerloom.plans.standardise import rejected, standardise
-from ledgerloom.sources import statements
+from ledgerloom.sources import shared, statements
 from ledgerloom.sources.layouts import Layout
+from ledgerloom.sources.shared import in_parts
 from ledgerloom.sources.statements import LayoutMismatch, read_statements, require_all_files
 from ledgerloom.streaming.ingest import stream_statements
 
@@ -395,3 +396,35 @@ def test_date_filters_choose_months(spark, tmp_path):
         assert "PartitionFilters: []" not in plan and "month" in plan.split("PartitionFilters:")[1].split("]")[0]
     ledger.reclassify("rent", date="26/03/2026")
     assert {r.name: r.category for r in ledger.transactions.collect()} == {"one": "None", "two": "rent"}
+
+
+def test_many_small_files_share_tasks(spark, tmp_path, monkeypatch):
+    for number in range(600):
+        write(tmp_path / "in", f"{number}.csv", [LLOYDS_LINES[0], f"25/02/2026,x,k,n{number},1"])
+    tasks, number_rows = [], statements.number_rows
+    monkeypatch.setattr(
+        statements, "number_rows", lambda rows, blocks: tasks.append(rows.rdd.getNumPartitions()) or number_rows(rows, blocks)
+    )
+    raw = read_statements(spark, [str(tmp_path / "in")], LLOYDS_CC, staged=True)
+    assert raw.rows.select("_c3").distinct().count() == 600
+    assert max(tasks) <= 10
+
+
+def test_statement_files_of_many_users(spark, tmp_path, monkeypatch):
+    from registry import statements as registry
+
+    monkeypatch.setattr(registry, "FOLDER_FILES", 5)
+    rows = [(event, datetime(2025, 1, 1), event % 17, "view", 1.5, None) for event in range(100)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    for layout, head in ((CHASE, 2), (LLOYDS_CC, 1), (MONZO, 1)):
+        pattern = registry.write_statements(events, layout, f"file://{tmp_path}/{layout.name}")
+        files = list((tmp_path / layout.name).glob("part=*/account=*/*"))
+        assert len({file.parent.parent for file in files}) > 1
+        lines = {file.parent.name: file.read_text().splitlines() for file in files}
+        assert {name: len(own) for name, own in lines.items()} == {
+            f"account={layout.name}-{user}": head + len(range(user, 100, 17)) for user in range(17)
+        }
+        raw = read_statements(spark, [pattern], layout, staged=True)
+        assert raw.rows.count() == 100 and raw.files.count() == 17
+        if layout is MONZO:
+            assert [line.split(",")[0] for line in lines["account=Monzo-3"]] == ["Key", *(f'"{n}"' for n in range(3, 100, 17))]
