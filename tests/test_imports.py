@@ -5,6 +5,7 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ledgerloom import CHASE, LLOYDS_CC, MONZO, Ledger, Rule
@@ -428,3 +429,30 @@ def test_statement_files_of_many_users(spark, tmp_path, monkeypatch):
         assert raw.rows.count() == 100 and raw.files.count() == 17
         if layout is MONZO:
             assert [line.split(",")[0] for line in lines["account=Monzo-3"]] == ["Key", *(f'"{n}"' for n in range(3, 100, 17))]
+
+
+def test_folders_are_read_in_parts(spark, tmp_path, monkeypatch):
+    names = ["a.csv", "b [1].csv", "c{d,e}.csv", "f*g.csv", "h+i j%20.csv", "k.csv", "l.csv"]
+    for name in names:
+        write(tmp_path / "flat", name, [LLOYDS_LINES[0], f"25/02/2026,x,k,{name},1"])
+        write(tmp_path / "deep" / f"part={len(name)}" / f"of={name[0]}", "s.csv", [LLOYDS_LINES[0], f"25/02/2026,x,k,{name},1"])
+    for name in ("_no.csv", ".no.csv"):
+        write(tmp_path / "flat", name, ["a,b", "1,2"])
+    # A folder that the pattern does not find anything in.
+    write(tmp_path / "deep" / "part=other", "s.txt", ["a,b"])
+    patterns = [str(tmp_path / "flat"), f"{tmp_path}/flat/*.csv", f"{tmp_path}/deep/part=*/of=*", f"{tmp_path}/deep/*/of=?"]
+    for pattern in patterns:
+        whole = read_statements(spark, [pattern], LLOYDS_CC)
+        expected = sorted((r._c3, r._src_file, r._row) for r in whole.rows.collect())
+        assert len(expected) == len(names)
+        for most in (2, 3, 100):
+            monkeypatch.setattr(shared, "LISTED", most)
+            parts = list(in_parts(spark, [pattern]))
+            assert most == 100 or len(parts) > 2
+            files = [spark.read.text(part).inputFiles() for part in parts]
+            assert max(map(len, files)) <= most and sum(map(len, files)) == len(names)
+            raw = read_statements(spark, [pattern], LLOYDS_CC, staged=True)
+            assert sorted((r._c3, r._src_file, r._row) for r in raw.rows.collect()) == expected
+            monkeypatch.undo()
+    with pytest.raises(AnalysisException):
+        read_statements(spark, [f"{tmp_path}/nothing/*/here"], LLOYDS_CC, staged=True)
