@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
+from itertools import islice
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
@@ -20,10 +21,12 @@ from ledgerloom.plans.standardise import REASON, to_canonical, to_ledger_values,
 from ledgerloom.schema import TRANSACTIONS, UNIQUE_KEY
 from ledgerloom.sources.journal import Change, commit
 from ledgerloom.sources.layouts import Layout, find_layout
-from ledgerloom.sources.shared import stage
+from ledgerloom.sources import shared
+from ledgerloom.sources.shared import in_parts, literal, shared_folder, stage
 from ledgerloom.sources.statements import (
     RAW_LINE,
     RawStatements,
+    read_parts,
     read_statements,
     require_all_files,
 )
@@ -60,7 +63,7 @@ def import_statements(
     """Import `(account, path)` pairs; a path may be a file, a folder or a pattern.
 
     A file that an account lists several times counts once; one that several accounts list goes to each of them.
-    The driver holds the list of files, as it does for any scan, and never their rows.
+    Files are listed and read in parts, so the driver holds one part's names and never their rows.
     """
     spark = store.spark
     stamp = imported_at or datetime.now()
@@ -73,19 +76,50 @@ def import_statements(
     by_path: dict[str, list[str]] = defaultdict(list)
     for account, path in asked:
         by_path[path].append(account)
-    listed = {path: _files(store, path) for path in by_path}
-    files = sorted({(file, account) for path, owners in by_path.items() for file in listed[path] for account in owners})
-    by_bank: dict[str, list[tuple[str, str]]] = defaultdict(list)
-    for file, account in files:
-        by_bank[banks[account]].append((file, account))
+    listed, sizes = _listed(store, by_path, banks)
     parts = []
-    for bank, own in sorted(by_bank.items()):
-        layout = find_layout(bank)
-        raw = read_statements(spark, sorted({file for file, _ in own}), layout, multi_line, staged=True)
-        parts.append((layout, raw, spark.createDataFrame(own, "path string, account_name string")))
+    for bank in sorted(set(banks.values())):
+        layout, own = find_layout(bank), listed.where(F.col("bank") == bank).select("path", "account_name")
+        paths = [path for path, owners in by_path.items() if bank in (banks[owner] for owner in owners)]
+        files = own.select("path").distinct()
+        if files.count() == sum(sizes[path] for path in paths):
+            raw = read_statements(spark, paths, layout, multi_line, staged=True)
+        else:
+            # Files that several paths list are read once.
+            raw = read_parts(spark, _in_names(files), layout, multi_line)
+        parts.append((layout, raw, own))
     return import_rows(store, parts, f"{stamp:%Y-%m-%dT%H:%M:%S.%f}", stamp, rules, strict)
 
 
+def _listed(store: Store, by_path: dict[str, list[str]], banks: dict[str, str]) -> tuple[DataFrame, dict[str, int]]:
+    """`path`, `account_name` and `bank` of all files once for each account, and the number of files of each path."""
+    spark, rows, sizes = store.spark, [], dict.fromkeys(by_path, 0)
+    folder = shared_folder(spark, "manifest")
+
+    def put() -> None:
+        frame = spark.createDataFrame(rows, "path string, account_name string, bank string")
+        frame.write.mode("append").parquet(folder)
+        rows.clear()
+
+    for path, owners in by_path.items():
+        for part in in_parts(spark, [path]):
+            files = _files(store, part)
+            sizes[path] += len(files)
+            for owner in owners:
+                rows += [(file, owner, banks[owner]) for file in files]
+                if len(rows) >= shared.LISTED:
+                    put()
+    put()
+    return stage(spark.read.parquet(folder).distinct(), "manifest-files"), sizes
+
+
+def _in_names(files: DataFrame) -> Iterator[list[str]]:
+    """The names, so many at a time."""
+    names = (literal(row.path) for row in files.toLocalIterator())
+    while part := list(islice(names, shared.LISTED)):
+        yield part
+
+
 def import_folder(
     store: Store,
     folder: str,
@@ -115,8 +149,8 @@ def require_accounts(store: Store, files: DataFrame) -> None:
         raise ValueError(f"No such account: {unknown[0].account_name} ({unknown[0].path})")
 
 
-def _files(store: Store, path: str) -> list[str]:
-    listed = store.spark.read.text(path).inputFiles()
+def _files(store: Store, paths: list[str]) -> list[str]:
+    listed = store.spark.read.text(paths).inputFiles()
     return sorted(re.sub("^file:/+", "/", unquote(file)) for file in listed)
 
 

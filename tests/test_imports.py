@@ -456,3 +456,31 @@ def test_folders_are_read_in_parts(spark, tmp_path, monkeypatch):
             monkeypatch.undo()
     with pytest.raises(AnalysisException):
         read_statements(spark, [f"{tmp_path}/nothing/*/here"], LLOYDS_CC, staged=True)
+
+
+def test_manifest_names_are_held_in_parts(spark, tmp_path, monkeypatch):
+    for name in ("a", "b [1]", "c", "d e+f", "g", "h", "i"):
+        write(tmp_path / "in", f"{name}.csv", ["a,b,c,d,e", f"25/02/2026,x,k,{name},1"])
+    folder, one = str(tmp_path / "in"), str(tmp_path / "in" / "a.csv")
+    manifests = {
+        "once": [("Mine", folder), ("Mine", folder), ("Ours", folder)],
+        "overlapping": [("Mine", folder), ("Ours", one), ("Mine", f"{folder}/*.csv"), ("Ours", folder), ("Mine", one)],
+    }
+    monkeypatch.setattr(shared, "LISTED", 2)
+    sizes, create = [], type(spark).createDataFrame
+
+    def counted(self, data, *rest, **more):
+        sizes.append(len(data) if isinstance(data, list) else 0)
+        return create(self, data, *rest, **more)
+
+    for case, manifest in manifests.items():
+        ledger = Ledger(spark, str(tmp_path / case))
+        ledger.add_accounts([("Mine", "lloyds", "credit"), ("Ours", "lloyds", "credit")])
+        monkeypatch.setattr(type(spark), "createDataFrame", counted)
+        ledger.import_statements(manifest)
+        monkeypatch.setattr(type(spark), "createDataFrame", create)
+        rows = sorted((r.account_name, r.name, r.balance) for r in ledger.transactions.collect())
+        names = sorted(["a", "b [1]", "c", "d e+f", "g", "h", "i"])
+        assert rows == [(account, name, Decimal("-1.00")) for account in ("Mine", "Ours") for name in names]
+        assert ledger.count("imported_statements") == 14
+    assert max(sizes) <= 4
