@@ -373,7 +373,7 @@ def stream_import(spark, sf):
     rules = [category_rule({"notes": "purchase"}, "groceries")]
     for _ in range(2):
         stream_statements(
-            store, pattern, LLOYDS_CC, account_of, f"{store.root}/stream-checkpoint", rules, multi_line=False
+            store, pattern, LLOYDS_CC, account_of, f"{store.root}/stream-checkpoint", rules, multi_line=False, by_folder=True
         ).awaitTermination()
     return retrieve_transactions(store.read("transactions"))
 

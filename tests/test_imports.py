@@ -484,3 +484,31 @@ def test_manifest_names_are_held_in_parts(spark, tmp_path, monkeypatch):
         assert rows == [(account, name, Decimal("-1.00")) for account in ("Mine", "Ours") for name in names]
         assert ledger.count("imported_statements") == 14
     assert max(sizes) <= 4
+
+
+def test_stream_by_folder(ledger, tmp_path, spark):
+    drops, checkpoint = tmp_path / "drops", str(tmp_path / "checkpoint")
+
+    def run(**more):
+        account = lambda path: F.element_at(F.split(path, "/"), -2)
+        pattern = f"{drops}/part=*/*"
+        return stream_statements(ledger.store, pattern, LLOYDS_CC, account, checkpoint, by_folder=True, files_at_once=2, **more)
+
+    for part in range(3):
+        for number in range(3):
+            write(drops / f"part={part}" / "Card", f"{number}.csv", [LLOYDS_LINES[0], f"25/02/2026,x,k,n{part}{number},1"])
+    (drops / "part=empty").mkdir()
+    for _ in range(2):
+        query = run()
+        query.awaitTermination()
+        assert ledger.count("transactions") == ledger.count("imported_statements") == 9
+    # One stream for each folder that holds files, batches of two files.
+    assert len([found for found in (tmp_path / "checkpoint").iterdir() if found.is_dir()]) == 3
+    assert ledger.statements.select("id", "source_file").distinct().count() == 9
+    batches = [sorted(int(b.name) for b in (found / "commits").glob("[0-9]")) for found in (tmp_path / "checkpoint").iterdir()]
+    assert batches == [[0, 1]] * 3
+    write(drops / "part=1" / "Card", "late.csv", [LLOYDS_LINES[0], "25/02/2026,x,k,late,1"])
+    run().awaitTermination()
+    assert ledger.count("transactions") == ledger.count("imported_statements") == 10
+    with pytest.raises(ValueError):
+        run(available_now=False)
