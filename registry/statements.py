@@ -145,10 +145,14 @@ def write_statements(events: DataFrame, layout: Layout, folder: str) -> str:
     accounts = body.select("account").distinct()
     heads = accounts.select("account", F.posexplode(F.array(*[F.lit(text) for text in head])).alias("place", "line"))
     above = heads.withColumn("place", (F.col("place") - len(head)).cast("bigint"))
+    # Folders take ranges of accounts, so that the files of all folders are in the order of their accounts.
     folders = max(1, -(-accounts.count() // FOLDER_FILES))
+    parts = accounts.repartitionByRange(folders, "account").select(
+        F.col("account").alias("_account"), F.lpad(F.spark_partition_id().cast("string"), 6, "0").alias("part")
+    )
     files = (
         above.unionByName(body)
-        .withColumn("part", F.pmod(F.xxhash64("account"), F.lit(folders)))
+        .join(parts, F.col("account").eqNullSafe(F.col("_account")))
         .repartition("account")
         .sortWithinPartitions("part", "account", "place")
         .select("part", "account", "line")
